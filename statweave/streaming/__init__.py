@@ -1,0 +1 @@
+"""Reserved: none of the operators in scope is a streaming operator."""
