@@ -63,8 +63,12 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
 
 
 def literal(value, data_type: T.DataType) -> Column:
-    if isinstance(value, (list, tuple)):
-        return F.array(*[F.lit(v) for v in value]).cast(data_type)
+    if value is None:
+        return F.lit(None).cast(data_type)
+    if isinstance(data_type, T.StructType):
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in data_type.fields])
+    if isinstance(data_type, T.ArrayType):
+        return F.array(*[literal(v, data_type.elementType) for v in value]).cast(data_type)
     return F.lit(value).cast(data_type)
 
 
