@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,3 +167,12 @@ def text_list(*items: Column) -> Column:
     if not items:
         return F.array().cast("array<string>")
     return F.array_compact(F.array(*[i.cast("string") for i in items]))
+
+
+def drop_missing(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows where all named columns are known.
+
+    A conjunction, which Catalyst splits: one indivisible predicate over many
+    derived columns makes its constraint inference grow exponentially.
+    """
+    return df.where(reduce(and_, [col(name).isNotNull() for name in names]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions import dist
-from statweave.functions.columns import col, known, num, p_format, raw_label, require, text_list
+from statweave.functions.columns import col, drop_missing, known, num, p_format, raw_label, require, text_list
 from statweave.functions.tails import f_sf
 from statweave.operators.groups import G, Y, between_within, f_ratio, group_medians, group_moments, grouped, levene_table, side_by_side
 from statweave.plans.gram import Moments, gram
@@ -138,7 +138,7 @@ def twoway_anova(df: DataFrame, y: str, factor1: str, factor2: str, by: Sequence
     by = list(by)
     require(df, y, factor1, factor2, *by)
     rows = df.select(*[col(b) for b in by], num(df, y).alias(Y), raw_label(known(df, factor1)).alias("_a"), raw_label(known(df, factor2)).alias("_b"))
-    rows = rows.dropna(subset=[Y, "_a", "_b"])
+    rows = drop_missing(rows, [Y, "_a", "_b"])
     cells = cut(
         rows.groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("n"), F.avg(Y).alias("mean"), F.coalesce(F.var_samp(Y), F.lit(0.0)).alias("var"))
     )
@@ -210,7 +210,7 @@ def ancova(df: DataFrame, y: str, x: str, covariate: str, by: Sequence[str] = ()
     """Group effect after a covariate, from per-group sums and cross products alone."""
     by = list(by)
     require(df, y, x, covariate, *by)
-    rows = df.select(*[col(b) for b in by], num(df, y).alias(Y), num(df, covariate).alias("_x"), raw_label(known(df, x)).alias(G)).dropna(subset=[Y, "_x", G])
+    rows = drop_missing(df.select(*[col(b) for b in by], num(df, y).alias(Y), num(df, covariate).alias("_x"), raw_label(known(df, x)).alias(G)), [Y, "_x", G])
     groups = rows.groupBy(*by, G).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(Y).alias("my"),
@@ -260,7 +260,7 @@ def repeated_anova(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     if len(columns) < 2:
         raise ValueError("Repeated-measures ANOVA needs ≥ 2 measure columns (wide format).")
     require(df, *columns, *by)
-    rows = df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)]).dropna(subset=[f"_c{i}" for i in range(len(columns))])
+    rows = drop_missing(df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)]), [f"_c{i}" for i in range(len(columns))])
     table = gram(rows, [f"_c{i}" for i in range(len(columns))], by)
     k = len(columns)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, num, numeric_columns, require, text_list
+from statweave.functions.columns import col, drop_missing, num, numeric_columns, require, text_list
 from statweave.functions.tails import kendall_p, t_p
 from statweave.operators.groups import side_by_side
 from statweave.plans.dominance import dense_rank, ordered_pairs
@@ -203,7 +203,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     both_ways = F.array_distinct(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
     pairwise = half.select(*by, F.inline(both_ways).alias("x", "y"), "r", "p", "n")
     matrix = pairwise.groupBy(*by, F.col("x").alias("variable")).agg(*[F.max(F.when(F.col("y") == c, F.col("r"))).alias(c) for c in columns])
-    complete = df.select(*[col(b) for b in by], *[num(df, c).alias(c) for c in columns]).dropna(subset=columns)
+    complete = drop_missing(df.select(*[col(b) for b in by], *[num(df, c).alias(c) for c in columns]), columns)
     stats = complete.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
         *by,
         F.lit(method).alias("method"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, num, p_format, require, text_list
+from statweave.functions.columns import col, drop_missing, num, p_format, require, text_list
 from statweave.functions.tails import (
     chi2_sf,
     mannwhitney_p,
@@ -389,9 +389,8 @@ def friedman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> S
         raise ValueError("Friedman test needs ≥ 3 repeated-measure columns.")
     require(df, *columns, *by)
     k = len(columns)
-    rows = df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)]).dropna(
-        subset=[f"_c{i}" for i in range(k)]
-    )
+    rows = df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    rows = drop_missing(rows, [f"_c{i}" for i in range(k)])
     values = [F.col(f"_c{i}") for i in range(k)]
 
     def below(i: int) -> Column:

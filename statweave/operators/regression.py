@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions import dist
-from statweave.functions.columns import col, known, num, p_format, raw_label, require, text_list
+from statweave.functions.columns import col, drop_missing, known, num, p_format, raw_label, require, text_list
 from statweave.functions.tails import chi2_sf
 from statweave.operators.anova import COEF_FIELDS, coefficient_table
 from statweave.operators.groups import as_list, side_by_side
@@ -38,7 +38,7 @@ def design(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], keep: Se
         *[num(df, x).alias(n) for x, n in zip(xs, names)],
         *[col(k).alias(f"_keep{i}") for i, k in enumerate(keep)],
     )
-    return rows.dropna(subset=[Y, *names]), names
+    return drop_missing(rows, [Y, *names]), names
 
 
 class LinearFit:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions import dist
-from statweave.functions.columns import col, known, num, raw_label, require, text_list
+from statweave.functions.columns import col, drop_missing, known, num, raw_label, require, text_list
 from statweave.operators.groups import as_list, side_by_side
 from statweave.plans.dominance import dense_rank, ordered_pairs
 from statweave.plans.gram import dot, gram, solve
@@ -32,7 +32,7 @@ def _sample(df: DataFrame, duration: str, event: str, group: str | None, by: lis
         label.alias("_g"),
         *[num(df, x).alias(f"_x{i}") for i, x in enumerate(xs)],
     )
-    return rows.dropna(subset=["_t", "_e", *[f"_x{i}" for i in range(len(xs))]])
+    return drop_missing(rows, ["_t", "_e", *[f"_x{i}" for i in range(len(xs))]])
 
 
 def survival_curve(rows: DataFrame, by: list[str]) -> DataFrame:
