@@ -42,8 +42,11 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), rows_
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order_cols)
         return df.withColumn(POS, F.row_number().over(window).cast("long") - 1)
     parts = max(2, -(-total // limit))
+    # A last tie-breaker lets the range exchange split rows that are equal in all order columns.
+    order_cols.append(col("_tie"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
     # Range bounds come from sampling, so the assignment is pinned before it is used twice.
-    ranged = cut(df.repartitionByRange(parts, *keys, *order_cols).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(tied.repartitionByRange(parts, *keys, *order_cols).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, col("_part")).orderBy(*order_cols)
     counts = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +54,7 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), rows_
     numbered = ranged.withColumn(POS, F.row_number().over(inside).cast("long") - 1)
     small = not by  # one row per partition of the range exchange
     joined = null_safe(numbered, F.broadcast(offsets) if small else offsets, [*by, "_part"])
-    return joined.withColumn(POS, col(POS) + col("_offset")).drop("_part", "_offset")
+    return joined.withColumn(POS, col(POS) + col("_offset")).drop("_part", "_offset", "_tie")
 
 
 def chunked(df: DataFrame, halo: int, rows_per_chunk: int | None = None) -> DataFrame:
