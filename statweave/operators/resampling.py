@@ -93,14 +93,12 @@ def _per_range(ranged: DataFrame, draws: DataFrame, by: list[str], fn, fields: l
     keys = [*by, RANGE]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=schema.names)
         left = left.sort_values("_v")
         key = tuple(right[by].iloc[0]) if by else ()
         out = fn(left, right.iloc[0], (*key, int(right[RANGE].iloc[0])))
-        for i, b in enumerate(by):
-            out.insert(i, b, [key[i]] * len(out))
-        return out[schema.names]
+        # Keys are repeated from the input, which keeps their type when nothing was drawn here.
+        keys = right[by].iloc[np.zeros(len(out), int)].reset_index(drop=True)
+        return pd.concat([keys, out.reset_index(drop=True)], axis=1)[schema.names]
 
     return ranged.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInPandas(run, schema)
 
@@ -171,14 +169,15 @@ def _bootstrap_medians(ranged: DataFrame, draws: DataFrame, by: list[str], reps:
         rng = _generator(seed + 1, key)
         v, c = values["_v"].to_numpy(float), values["_c"].to_numpy(float)
         n = int(split["_n"])
-        rows = []
+        reps_held, drawn = [], []
         for r, (m, before) in enumerate(zip(split["_m"], split["_before"])):
             wanted = [k - before for k in ((n - 1) // 2, n // 2) if before <= k < before + m]
             if not wanted:
                 continue
             upto = np.cumsum(rng.multinomial(int(m), c / c.sum()))
-            rows += [(r, float(v[np.searchsorted(upto, w, side="right")])) for w in wanted]
-        return pd.DataFrame(rows, columns=["_rep", "_x"])
+            reps_held += [r] * len(wanted)
+            drawn += [float(v[np.searchsorted(upto, w, side="right")]) for w in wanted]
+        return pd.DataFrame({"_rep": np.array(reps_held, np.int32), "_x": np.array(drawn, float)})
 
     fields = [T.StructField("_rep", T.IntegerType()), T.StructField("_x", T.DoubleType())]
     return _per_range(ranged, sized, by, resample, fields).groupBy(*by, "_rep").agg(F.avg("_x").alias("_stat"))
