@@ -73,7 +73,7 @@ def rank_correlation(base: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     hot = max(1, total // HOT_SHARE)
     for key, out in (("_x", "_rx"), ("_y", "_ry")):
         ranks = midranks(base, key, by, cuts=cut_points(base, key)).select(*by, key, "ties", F.col("rank").alias(out))
-        pairs = attach_ranks(pairs, ranks, key, by, hot).drop("ties") if total > HOT_SHARE else null_safe(pairs, ranks.drop("ties"), [*by, key])
+        pairs = attach_ranks(pairs, ranks, key, by, hot).drop("ties")
     # Ranks are centred on their known mean (n + 1) / 2 per segment before multiplying.
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     staged = side_by_side(pairs, sizes, by)
@@ -163,6 +163,21 @@ def _long_pairs(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return df.select(*[col(b) for b in by], F.inline(F.array(*structs))).where("_x is not null and _y is not null")
 
 
+def _no_gaps(df: DataFrame, columns: list[str]) -> bool:
+    return not any(df.agg(*[F.count_if(num(df, c).isNull()).alias(f"h{i}") for i, c in enumerate(columns)]).first())
+
+
+def _as_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Columns without gaps replaced by their average ranks: each is ranked once for all its pairs."""
+    rows = df.select(*[col(b) for b in by], *[num(df, c).alias(c) for c in columns])
+    hot = max(1, rows.count() // HOT_SHARE)
+    out = rows
+    for c in columns:
+        ranks = midranks(rows, c, by).select(*by, c, "ties", "rank")
+        out = attach_ranks(out, ranks, c, by, hot).drop("ties", c).withColumnRenamed("rank", c)
+    return out
+
+
 def _diagonal(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Every column with itself: 1, unless it is constant."""
     wide = df.groupBy(*[col(b) for b in by]).agg(
@@ -186,8 +201,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     columns = list(columns or numeric_columns(df, by))
     require(df, *columns, *by)
     keys = [*by, "x", "y"]
-    if method == "pearson":
-        half = _pearson_pairs(df, columns, by).withColumn("p", F.when(F.col("n") > 3, r_p(F.col("r"), F.col("n"))))
+    complete_ranks = method == "spearman" and _no_gaps(df, columns)
+    if method == "pearson" or complete_ranks:
+        numbers = _as_ranks(df, columns, by) if complete_ranks else df
+        half = _pearson_pairs(numbers, columns, by).withColumn("p", F.when(F.col("n") > 3, r_p(F.col("r"), F.col("n"))))
     elif method in ("spearman", "kendall"):
         base = cut(_long_pairs(df, columns, by))
         if method == "spearman":
@@ -198,7 +215,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     else:
         raise ValueError(f"Unknown correlation method '{method}'.")
     half = half.select(*keys, "r", "p", "n")
-    if method != "pearson":
+    if method != "pearson" and not complete_ranks:
         half = half.unionByName(_diagonal(df, columns, by))
     both_ways = F.array_distinct(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
     pairwise = half.select(*by, F.inline(both_ways).alias("x", "y"), "r", "p", "n")

@@ -149,7 +149,8 @@ def kmeans(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, seed
     if not facts["n"]:
         raise ValueError("No complete cases for the selected variables.")
     scaled = rows.select(*[((col(n) - facts[f"m{n}"]) / (facts[f"s{n}"] or 1.0)).alias(n) for n in names])
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+    # Every iteration reads the vectors again, so they are kept.
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).persist()
     models = [KMeans(k=int(k), seed=seed + i, maxIter=300, tol=1e-4).fit(vectors) for i in range(n_init)]
     model = min(models, key=lambda m: m.summary.trainingCost)
     centers = np.array(model.clusterCenters())
@@ -164,6 +165,7 @@ def kmeans(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, seed
     silhouette = None
     if len(centers) > 1 and facts["n"] > len(centers):
         silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(labelled))
+    vectors.unpersist()
     stats = sizes.agg(F.sum("_off").alias("inertia"), F.sum("n").alias("n")).select(
         F.lit(int(k)).cast("long").alias("k"), "inertia", F.lit(silhouette).cast("double").alias("silhouette"), "n", text_list().alias("warnings")
     )

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.functions.columns import col
-from statweave.plans.tables import BROADCAST_ROWS, null_safe
+from statweave.plans import tables
+from statweave.plans.tables import cut, null_safe
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 20_000
@@ -81,7 +82,7 @@ def running(
     earlier = Window.partitionBy(*[col(b) for b in by]).orderBy(order_ranges).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, RANGE, *[F.coalesce(F.sum(f"_total_{w}").over(earlier), F.lit(0)).alias(f"_offset_{w}") for w in weights])
     # One row per range when there are no segments: at most MAX_RANGES rows.
-    small = not by and len(cuts) < BROADCAST_ROWS
+    small = not by and len(cuts) < tables.BROADCAST_ROWS
     joined = null_safe(out, F.broadcast(offsets) if small else offsets, [*by, RANGE])
     return joined.withColumns({f"{w}_before": col(f"{w}_before") + col(f"_offset_{w}") for w in weights}).drop(
         RANGE, *[f"_offset_{w}" for w in weights]
@@ -102,12 +103,18 @@ def midranks(df: DataFrame, key: str, by: Sequence[str] = (), extra: Sequence[st
 def attach_ranks(cells: DataFrame, ranks: DataFrame, key: str, by: Sequence[str], hot_rows: int) -> DataFrame:
     """Join rank columns to cells by value, keeping frequent values away from the shuffle.
 
-    ``ranks`` holds one row per (by, key) with its count in ``ties``.  Values
-    with at least ``hot_rows`` occurrences are few by construction, so they are
-    broadcast; the rest are spread evenly and joined by key.
+    ``ranks`` holds one row per (by, key) with its count in ``ties``.  A short
+    rank table is broadcast whole.  Of a long one, values with at least
+    ``hot_rows`` occurrences are few by construction, so they are broadcast;
+    the rest are spread evenly and joined by key.
     """
     keys = [*by, key]
+    ranks = cut(ranks)
+    if ranks.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS:
+        return null_safe(cells, F.broadcast(ranks), keys)
     hot = ranks.where(col("ties") >= hot_rows)
+    if hot.isEmpty():
+        return null_safe(cells, ranks, keys)
     marked = null_safe(cells, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     columns = [c for c in ranks.columns if c not in keys]
     warm = marked.where(col("_hot")).drop("_hot")
