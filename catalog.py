@@ -941,7 +941,7 @@ def _(t):
 @query(
     "kaplan_meier_medians",
     KM_SQL
-    + """, m as (select g, min(t) filter (survival <= 0.5) as median_survival from k group by 1)
+    + """, m as (select g, min(t) filter (survival <= 0.5 + 1e-12) as median_survival from k group by 1)
     select start as "group", count(*) as n, sum(event)::bigint as events, any_value(median_survival) as median_survival from s join m on m.g=s.start group by 1""",
     "median_survival:1",
 )

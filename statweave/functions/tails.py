@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.functions import dist
 
@@ -24,14 +25,14 @@ def result_column(fn: Callable[..., float]):
                 out.append(None if r != r else r)
         return pd.Series(out, dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, T.DoubleType())
 
 
 def _array_column(fn: Callable[[np.ndarray], np.ndarray]):
     def run(values: pd.Series) -> pd.Series:
         return pd.Series(fn(values.to_numpy(dtype=float)))
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, T.DoubleType())
 
 
 t_p = result_column(dist.t_p)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.functions.columns import col, known, raw_label, require, text_list
 from statweave.functions.tails import chi2_sf, fisher_p
@@ -26,7 +27,7 @@ def cells(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return pairs.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("observed"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _low_cells(rows: pd.Series, columns: pd.Series, n: pd.Series) -> pd.Series:
     """Cells with expected count below 5 from (total, how many levels have it) of both sides."""
     out = []

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.functions import dist
 from statweave.functions.columns import col, drop_missing, known, num, p_format, raw_label, require, text_list
@@ -486,7 +487,7 @@ def _exp(v: float) -> float:
     return math.exp(v) if v < 700 else math.inf
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _log_factorial(y: pd.Series) -> pd.Series:
     return y.map(lambda v: math.lgamma(v + 1.0)).astype("float64")
 

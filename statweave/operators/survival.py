@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.functions import dist
 from statweave.functions.columns import col, drop_missing, known, num, raw_label, require, text_list
@@ -20,6 +21,8 @@ from statweave.plans.tables import attach, centre, cut, null_safe, per_segment
 from statweave.result import StatResult
 
 MAX_GROUPS = 200
+# The product runs through logarithms: a curve that reaches one half exactly may land a rounding error above it.
+HALF = 0.5 + 1e-12
 
 
 def _sample(df: DataFrame, duration: str, event: str, group: str | None, by: list[str], xs: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +68,7 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
     keys = [*by, "_g"]
     curve = cut(survival_curve(grouped, by))
     sizes = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_e").cast("long").alias("events"), F.min("_t").alias("_first"))
-    halves = curve.groupBy(*keys).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median_survival"))
+    halves = curve.groupBy(*keys).agg(F.min(F.when(F.col("survival") <= HALF, F.col("time"))).alias("median_survival"))
     medians = attach(sizes.drop("_first"), halves, keys, "left").withColumnRenamed("_g", "group")
     # Every curve starts at (0, 1).
     origin = sizes.where("_first > 0").select(*keys, F.lit(0.0).alias("time"), F.col("n").alias("at_risk"), F.lit(0.0).alias("events"), F.lit(1.0).alias("survival"))
@@ -144,7 +147,7 @@ def _tie_terms(s0: float, d0: float, d: int) -> tuple[float, ...]:
     return float(w @ np.log(den)), float(inv.sum()), float(c @ inv), float((inv / den).sum()), float(c @ (inv / den)), float((c * c) @ (inv / den))
 
 
-@F.pandas_udf("struct<l double, a double, b double, e double, f double, g double>")
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in "labefg"]))
 def _efron(s0: pd.Series, d0: pd.Series, d: pd.Series) -> pd.DataFrame:
     """Efron's tie sums per event time."""
     out = np.zeros((len(s0), 6))
