@@ -78,6 +78,20 @@ def num(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def present(df: DataFrame, *names: str) -> Column:
+    """Rows on which the columns hold numbers, said on the stored columns so that scans can skip NULLs."""
+    conditions = []
+    for name in names:
+        dt = df.schema[name].dataType
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            conditions += [col(name).isNotNull(), ~F.isnan(col(name))]
+        elif isinstance(dt, (T.NumericType, T.BooleanType)):
+            conditions.append(col(name).isNotNull())
+        else:
+            conditions.append(num(df, name).isNotNull())
+    return reduce(and_, conditions)
+
+
 def is_missing(df: DataFrame, name: str) -> Column:
     c = col(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -116,6 +130,25 @@ def norm_label(c: Column) -> Column:
     return title_case(strip(c.cast("string")))
 
 
+# Up to this many raw labels are mapped by a plain comparison chain.
+MAPPED_LABELS = 64
+
+
+def label_column(df: DataFrame, name: str) -> Column:
+    """Normalised label of a column, worked out once per distinct raw label when there are few."""
+    raw = known(df, name).cast("string")
+    found = df.select(raw.alias("raw")).where("raw is not null").distinct().limit(MAPPED_LABELS + 1)
+    pairs = found.select("raw", norm_label(F.col("raw")).alias("label")).collect()
+    if len(pairs) > MAPPED_LABELS:
+        return norm_label(raw)
+    if all(r["raw"] == r["label"] for r in pairs):
+        return raw
+    mapped = F.lit(None).cast("string")
+    for r in pairs:
+        mapped = F.when(raw == r["raw"], r["label"]).otherwise(mapped)
+    return mapped
+
+
 def raw_label(c: Column) -> Column:
     return c.cast("string")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, drop_missing, num, numeric_columns, require, text_list
+from statweave.functions.columns import col, drop_missing, num, numeric_columns, present, require, text_list
 from statweave.functions.tails import kendall_p, t_p
 from statweave.operators.groups import side_by_side
 from statweave.plans.dominance import dense_rank, ordered_pairs
@@ -23,8 +23,7 @@ HOT_SHARE = 1000
 
 def pair(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     require(df, x, y, *by)
-    out = df.select(*[col(b) for b in by], num(df, x).alias("_x"), num(df, y).alias("_y"))
-    return out.where("_x is not null and _y is not null")
+    return df.where(present(df, x, y)).select(*[col(b) for b in by], num(df, x).alias("_x"), num(df, y).alias("_y"))
 
 
 def r_p(r: Column, n: Column) -> Column:

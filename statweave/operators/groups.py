@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, known, norm_label, num, raw_label, require
+from statweave.functions.columns import col, is_missing, known, label_column, num, present, raw_label, require
 from statweave.functions.tails import f_sf
 from statweave.plans.quantiles import exact_quantiles
 from statweave.plans.tables import attach, centre, null_safe
@@ -24,15 +24,15 @@ def as_list(value) -> list[str]:
 def outcome(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Segment keys and the numeric, non-missing outcome."""
     require(df, y, *by)
-    return df.select(*[col(b) for b in by], num(df, y).alias(Y)).where(f"{Y} is not null")
+    return df.where(present(df, y)).select(*[col(b) for b in by], num(df, y).alias(Y))
 
 
 def grouped(df: DataFrame, y: str, g: str, by: Sequence[str] = (), levels: Sequence[str] | None = None, normalize: bool = True) -> DataFrame:
     """Segment keys, numeric outcome and group label of the complete rows."""
     require(df, y, g, *by)
-    make = norm_label if normalize else raw_label
-    out = df.select(*[col(b) for b in by], num(df, y).alias(Y), make(known(df, g)).alias(G))
-    out = out.where(col(Y).isNotNull() & col(G).isNotNull())
+    label = label_column(df, g) if normalize else raw_label(known(df, g))
+    rows = df.where(present(df, y) & ~is_missing(df, g))
+    out = rows.select(*[col(b) for b in by], num(df, y).alias(Y), label.alias(G))
     if levels:
         out = out.where(col(G).isin([str(v).strip().title() if normalize else str(v) for v in levels]))
     return out

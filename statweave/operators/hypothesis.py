@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, drop_missing, num, p_format, require, text_list
+from statweave.functions.columns import col, drop_missing, num, p_format, present, require, text_list
 from statweave.functions.tails import (
     chi2_sf,
     mannwhitney_p,
@@ -104,7 +104,7 @@ def z_test(df: DataFrame, y: str, mu: float = 0.0, sigma: float | None = None, b
 def paired_t(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> StatResult:
     by = list(by)
     require(df, y, x, *by)
-    diff = df.select(*[col(b) for b in by], (num(df, y) - num(df, x)).alias("_d")).where("_d is not null")
+    diff = df.where(present(df, y, x)).select(*[col(b) for b in by], (num(df, y) - num(df, x)).alias("_d"))
     base = diff.groupBy(*by).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean_diff"), F.stddev_samp("_d").alias("sd_diff"))
     n, mean, sd = F.col("n"), F.col("mean_diff"), F.col("sd_diff")
     ok = n >= 3
@@ -357,7 +357,7 @@ def kruskal(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = None,
 def wilcoxon(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> StatResult:
     by = list(by)
     require(df, y, x, *by)
-    diff = df.select(*[col(b) for b in by], (num(df, y) - num(df, x)).alias("_d")).where("_d is not null and _d != 0")
+    diff = df.where(present(df, y, x)).select(*[col(b) for b in by], (num(df, y) - num(df, x)).alias("_d")).where("_d != 0")
     sided = diff.select(*by, F.abs("_d").alias("_a"), (F.col("_d") > 0).alias("_up"))
     ranked = midranks(sided, "_a", by, ["_up"], cut_points(sided, "_a"))
     n, ties = F.col("n").cast("double"), F.col("ties").cast("double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions import dist
-from statweave.functions.columns import col, drop_missing, known, num, numeric_columns, raw_label, require, text_list
+from statweave.functions.columns import col, drop_missing, known, num, numeric_columns, present, raw_label, require, text_list
 from statweave.plans.gram import Moments, dot, gram, solve
 from statweave.plans.tables import attach, cut, per_segment
 from statweave.result import StatResult
@@ -22,8 +22,8 @@ from statweave.result import StatResult
 def complete(df: DataFrame, columns: Sequence[str], by: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     require(df, *columns, *by, *keep)
     names = [f"_c{i}" for i in range(len(columns))]
-    rows = df.select(*[col(b) for b in by], *[col(k) for k in keep], *[num(df, c).alias(n) for c, n in zip(columns, names)])
-    return drop_missing(rows, names), names
+    rows = df.where(present(df, *columns))
+    return rows.select(*[col(b) for b in by], *[col(k) for k in keep], *[num(df, c).alias(n) for c, n in zip(columns, names)]), names
 
 
 def _correlation(m: Moments) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statweave.functions import dist
-from statweave.functions.columns import col, drop_missing, known, num, p_format, raw_label, require, text_list
+from statweave.functions.columns import col, known, num, p_format, present, raw_label, require, text_list
 from statweave.functions.tails import chi2_sf
 from statweave.operators.anova import COEF_FIELDS, coefficient_table
 from statweave.operators.groups import as_list, side_by_side
@@ -33,13 +33,13 @@ def design(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], keep: Se
     """Complete numeric rows: outcome ``_y`` and predictors ``_x0``...; plus columns to keep."""
     require(df, y, *xs, *by, *keep)
     names = [f"_x{i}" for i in range(len(xs))]
-    rows = df.select(
+    rows = df.where(present(df, y, *xs)).select(
         *[col(b) for b in by],
         num(df, y).alias(Y),
         *[num(df, x).alias(n) for x, n in zip(xs, names)],
         *[col(k).alias(f"_keep{i}") for i, k in enumerate(keep)],
     )
-    return drop_missing(rows, [Y, *names]), names
+    return rows, names
 
 
 class LinearFit:

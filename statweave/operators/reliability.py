@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions import dist
-from statweave.functions.columns import col, drop_missing, num, require, text_list
+from statweave.functions.columns import col, num, present, require, text_list
 from statweave.plans.gram import Moments, gram
 from statweave.plans.tables import per_segment
 from statweave.result import StatResult
@@ -23,7 +23,7 @@ def cronbach_alpha(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         raise ValueError("Cronbach's alpha needs ≥ 2 item columns.")
     require(df, *columns, *by)
     names = [f"_c{i}" for i in range(len(columns))]
-    rows = drop_missing(df.select(*[col(b) for b in by], *[num(df, c).alias(a) for c, a in zip(columns, names)]), names)
+    rows = df.where(present(df, *columns)).select(*[col(b) for b in by], *[num(df, c).alias(a) for c, a in zip(columns, names)])
     table = gram(rows, names, by)
     k = len(columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statweave.functions import dist
-from statweave.functions.columns import col, drop_missing, num, require, text_list, to_timestamp_any
+from statweave.functions.columns import col, drop_missing, num, present, require, text_list, to_timestamp_any
 from statweave.functions.tails import t_p
 from statweave.operators.groups import Y, as_list, side_by_side
 from statweave.plans.gram import solve
@@ -29,16 +29,16 @@ def series(df: DataFrame, y: str, time: str | None = None, by: Sequence[str] = (
     by = list(by)
     require(df, y, *by)
     keys = [col(b) for b in by]
+    df = df.where(present(df, y))
     if time:
         require(df, time)
         ties = as_list(order_by)
         rows = df.select(*keys, to_timestamp_any(df, time).alias(TIME), num(df, y).alias(Y), *[col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
-        rows = drop_missing(rows, [TIME, Y])
+        rows = drop_missing(rows, [TIME])
         order = [TIME, *[f"_tie{i}" for i in range(len(ties))], Y]
     else:
         cols = order_columns(df, order_by)
         rows = df.select(*keys, F.lit(None).cast("timestamp").alias(TIME), num(df, y).alias(Y), *[col(c).alias(f"_tie{i}") for i, c in enumerate(cols)])
-        rows = drop_missing(rows, [Y])
         order = [f"_tie{i}" for i in range(len(cols))]
     return positions(rows, order, by).select(*by, TIME, Y, POS)
 
