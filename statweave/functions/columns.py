@@ -36,7 +36,7 @@ def col(name: str) -> Column:
 def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' was not found in the dataset.")
+            raise ValueError(f"There is no column '{name}'.")
 
 
 def data_columns(df: DataFrame) -> list[str]:

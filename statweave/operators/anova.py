@@ -37,7 +37,7 @@ def oneway_anova(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = N
     omega = F.when(n > k, F.try_divide(ssb - (k - 1) * msw, ssb + ssw + msw))
     stats = both.select(
         *by,
-        failing(by, ok, f, "ANOVA requires ≥ 2 groups.").alias("F"),
+        failing(by, ok, f, "Needs two groups or more.").alias("F"),
         f_sf(f, k - 1, n - k).alias("p_value"),
         (k - 1).alias("df_between"),
         (n - k).alias("df_within"),
@@ -54,8 +54,8 @@ def oneway_anova(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = N
         F.lit(None).cast("string").alias("effect_magnitude"),
         text_list(
             F.when(~ok, F.lit("requires at least 2 groups")),
-            F.when(F.col("levene_p") < 0.05, F.concat(F.lit("Levene p="), p_format(F.col("levene_p")), F.lit(": variances may be unequal. Consider Welch ANOVA or Kruskal–Wallis."))),
-            F.when(F.col("min_n") < 5, F.lit("At least one group has n < 5; ANOVA F is sensitive in small samples.")),
+            F.when(F.col("levene_p") < 0.05, F.concat(F.lit("Levene p="), p_format(F.col("levene_p")), F.lit(": unequal variances; a rank test may fit better."))),
+            F.when(F.col("min_n") < 5, F.lit("A group has fewer than 5 rows.")),
         ).alias("warnings"),
     )
     table = attach(moments, medians, [*by, G]).select(*by, F.col(G).alias("group"), "n", "mean", F.when(F.col("n") > 1, F.sqrt("var")).alias("sd"), "median")
@@ -104,7 +104,7 @@ def tukey_hsd(df: DataFrame, y: str, x: str, alpha: float = 0.05, by: Sequence[s
         F.lit(float(alpha)).alias("alpha"),
         failing(by, k >= 2, (k * (k - 1) / 2).cast("long"), "Tukey HSD needs at least 2 groups.").alias("n_pairs"),
         "n",
-        text_list(F.lit("Tukey HSD assumes equal variances and (approximately) normality.")).alias("warnings"),
+        text_list(F.lit("Assumes normal groups of equal variance.")).alias("warnings"),
     )
     return StatResult("tukey_hsd", "Tukey HSD pairwise comparisons", stats, {"comparisons": table}, by=by)
 
@@ -250,7 +250,7 @@ def ancova(df: DataFrame, y: str, x: str, covariate: str, by: Sequence[str] = ()
         yield {"Source": "Residual", "SS": full, "DF": dof, "F": None, "p_unc": None, "np2": None}
 
     fields = [("Source", "string"), ("SS", "double"), ("DF", "long"), ("F", "double"), ("p_unc", "double"), ("np2", "double")]
-    stats = sums.select(*by, "n", text_list(F.lit("Verify the homogeneity-of-regression-slopes assumption (group × covariate interaction).")).alias("warnings"))
+    stats = sums.select(*by, "n", text_list(F.lit("Assumes the same covariate slope in every group.")).alias("warnings"))
     return StatResult("ancova", "ANCOVA", stats, {"ancova": per_segment(sums, by, fields, finish)}, by=by)
 
 
@@ -258,7 +258,7 @@ def repeated_anova(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     """Within-subject F with Greenhouse–Geisser epsilon and Mauchly's W, from one covariance pass."""
     by, columns = list(by), list(columns or [])
     if len(columns) < 2:
-        raise ValueError("Repeated-measures ANOVA needs ≥ 2 measure columns (wide format).")
+        raise ValueError("Needs two measure columns or more.")
     require(df, *columns, *by)
     rows = drop_missing(df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)]), [f"_c{i}" for i in range(len(columns))])
     table = gram(rows, [f"_c{i}" for i in range(len(columns))], by)

@@ -101,7 +101,7 @@ def chi_square(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: st
     chi2 = F.when(ok, F.when(dof == 1, _yates(n)).otherwise(F.greatest(F.col("_share") + n, F.lit(0.0))))
     v = F.sqrt(chi2 / (n * (F.least(r, c) - 1)))
     low = _low_cells(F.col("row_totals"), F.col("column_totals"), n)
-    staged = sums.select(*by, n, dof.alias("df"), failing(by, ok, chi2, "Chi-square requires at least a 2×2 table.").alias("chi2"), F.when(ok, v).alias("cramers_v"), low.alias("low_expected_cells"))
+    staged = sums.select(*by, n, dof.alias("df"), failing(by, ok, chi2, "The table needs two levels on both sides.").alias("chi2"), F.when(ok, v).alias("cramers_v"), low.alias("low_expected_cells"))
     v, low = F.col("cramers_v"), F.col("low_expected_cells")
     magnitude = F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium").when(v.isNotNull(), "large")
     stats = staged.select(
@@ -117,7 +117,7 @@ def chi_square(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: st
         magnitude.alias("effect_magnitude"),
         text_list(
             F.when(v.isNull(), F.lit("requires at least a 2×2 table")),
-            F.when(low > 0, F.concat(low.cast("string"), F.lit(" expected cell count(s) are < 5. Chi-square approximation may be poor."))),
+            F.when(low > 0, F.concat(low.cast("string"), F.lit(" cell(s) expect fewer than 5 rows; the approximation is rough."))),
         ).alias("warnings"),
     )
     label = "Cramér's V" if method == "cramers_v" else "Chi-square test of independence"
@@ -171,7 +171,7 @@ def fisher_exact(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> StatR
     odds = F.try_divide(a.cast("double") * d, b.cast("double") * c)
     stats = table.select(
         *by,
-        failing(by, ok, odds, "Fisher's exact test requires a 2×2 table. Recode variables to two levels each.").alias("odds_ratio"),
+        failing(by, ok, odds, "The table must be 2×2.").alias("odds_ratio"),
         F.when(ok, fisher_p(a, b, c, d)).alias("p_value"),
         (a + b + c + d).alias("n"),
         a,

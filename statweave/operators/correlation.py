@@ -16,7 +16,7 @@ from statweave.plans.ranks import attach_ranks, cut_points, midranks
 from statweave.plans.tables import cut, failing, null_safe, per_segment
 from statweave.result import StatResult
 
-CAUSATION = "Correlation indicates association and does not establish causation."
+CAUSATION = "A correlation says nothing about cause."
 # A value seen this often is joined through a broadcast table of the frequent values.
 HOT_SHARE = 1000
 
@@ -43,7 +43,7 @@ def _pack(table: DataFrame, method: str, label: str, by: list[str], interval: bo
     z = F.atanh(F.least(F.greatest(r, F.lit(-0.999999)), F.lit(0.999999)))
     half = 1.96 / F.sqrt(F.when(n > 3, n - 3))
     low, high = (F.tanh(z - half), F.tanh(z + half)) if interval else (F.lit(None).cast("double"), F.lit(None).cast("double"))
-    stats = table.withColumn("_r", failing(by, ok, r, "Correlation requires at least 4 paired observations.")).select(
+    stats = table.withColumn("_r", failing(by, ok, r, "Needs at least 4 complete pairs.")).select(
         *by,
         r.alias("coefficient"),
         F.when(ok, p).alias("p_value"),
@@ -225,7 +225,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         F.lit(method).alias("method"),
         F.lit(len(columns)).cast("long").alias("n_vars"),
         "n",
-        text_list(F.lit("Multiple pairwise tests inflate the false-positive rate.")).alias("warnings"),
+        text_list(F.lit("Many pairs are tested; the p-values are not adjusted.")).alias("warnings"),
     )
     return StatResult("correlation_matrix", f"{method.title()} correlation matrix", stats, {"pairwise": pairwise, "matrix": matrix}, by=by)
 

@@ -63,7 +63,7 @@ def one_sample_t(df: DataFrame, y: str, mu: float = 0.0, by: Sequence[str] = ())
     d = F.coalesce(F.try_divide(mean - mu, sd), F.lit(0.0))
     stats = base.select(
         *by,
-        failing(by, n > 0, t, f"'{y}' has no numeric values after cleaning.").alias("t"),
+        failing(by, n > 0, t, f"'{y}' holds no numbers.").alias("t"),
         t_p(t, F.when(n > 1, n - 1)).alias("p_value"),
         (n - 1).alias("df"),
         mean,
@@ -86,11 +86,11 @@ def z_test(df: DataFrame, y: str, mu: float = 0.0, sigma: float | None = None, b
     s = F.lit(float(sigma)) if sigma else F.col("sd")
     z = F.try_divide(mean - mu, F.try_divide(s, F.sqrt(n)))
     warn = text_list() if sigma else text_list(
-        F.lit("σ is rarely known in practice. Prefer the t-test unless σ is specified from theory or a large census.")
+        F.lit("The standard deviation was taken from the sample; a t test accounts for that.")
     )
     stats = base.select(
         *by,
-        failing(by, n > 0, z, f"'{y}' has no numeric values after cleaning.").alias("z"),
+        failing(by, n > 0, z, f"'{y}' holds no numbers.").alias("z"),
         norm_p(z).alias("p_value"),
         mean,
         F.lit(float(mu)).alias("mu0"),
@@ -113,7 +113,7 @@ def paired_t(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> StatResul
     d = F.coalesce(F.try_divide(mean, sd), F.lit(0.0))
     stats = base.select(
         *by,
-        failing(by, ok, t, "Paired t-test needs at least 3 paired observations.").alias("t"),
+        failing(by, ok, t, "Needs at least 3 complete pairs.").alias("t"),
         t_p(F.when(ok, t), n - 1).alias("p_value"),
         (n - 1).alias("df"),
         mean,
@@ -158,7 +158,7 @@ def independent_t(
         "*",
         equal.alias("equal_var"),
         F.when(two, pooled_d()).alias("cohens_d"),
-        failing(by, two, t, "Independent t-test requires exactly 2 groups.").alias("t"),
+        failing(by, two, t, "Needs exactly 2 groups.").alias("t"),
         dof.alias("df"),
     )
     d = F.col("cohens_d")
@@ -187,11 +187,11 @@ def independent_t(
             F.when(~two, F.lit("requires exactly 2 groups")),
             F.when(
                 unequal,
-                F.when(F.col("equal_var"), F.concat(F.lit("Levene's test p="), p_format(F.col("levene_p")), F.lit("; consider Welch's t-test."))).otherwise(
-                    F.concat(F.lit("Levene's test suggests unequal variances (p="), p_format(F.col("levene_p")), F.lit("). Welch's t-test is reported."))
+                F.when(F.col("equal_var"), F.concat(F.lit("Levene p="), p_format(F.col("levene_p")), F.lit("; the Welch form may fit better."))).otherwise(
+                    F.concat(F.lit("Unequal variances by Levene (p="), p_format(F.col("levene_p")), F.lit("); the Welch form is given."))
                 ),
             ),
-            F.when(F.least(n1, n2) < 15, F.lit("Small group size: t-test p-values are sensitive to non-normality.")),
+            F.when(F.least(n1, n2) < 15, F.lit("A group has fewer than 15 rows; its shape matters for this test.")),
         ).alias("warnings"),
     )
     return StatResult("independent_t", "Independent-samples t-test", stats, formula="t = (x̄₁ − x̄₂) / (s_p √(1/n₁+1/n₂)), or Welch's form", by=by)
@@ -213,14 +213,14 @@ def levene(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = None, b
 
 def effect_size(df: DataFrame, y: str, x: str, kind: str = "cohens_d", levels: Sequence[str] | None = None, by: Sequence[str] = ()) -> StatResult:
     if kind not in ("cohens_d", "hedges_g"):
-        raise ValueError("Unsupported effect size kind")
+        raise ValueError("Known effect sizes: cohens_d, hedges_g.")
     by = list(by)
     pair = two_groups(group_moments(grouped(df, y, x, by, levels), by), by)
     two = F.col("n_groups") == 2
     n = F.col("n_1") + F.col("n_2")
     stats = pair.select(
         *by,
-        failing(by, two, pooled_d(), "Cohen's d needs two groups.").alias("cohens_d"),
+        failing(by, two, pooled_d(), "Needs two groups.").alias("cohens_d"),
         F.when(two, hedges(pooled_d(), n)).alias("hedges_g"),
         "n_1",
         "n_2",
@@ -300,7 +300,7 @@ def mannwhitney(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = No
     u = F.when(two, F.col("rank_sum_1") - n1 * (n1 + 1) / 2)
     stats = pair.select(
         *by,
-        failing(by, two, u, "Mann–Whitney U requires exactly 2 groups.").alias("U"),
+        failing(by, two, u, "Needs exactly 2 groups.").alias("U"),
         mannwhitney_p(u, n1, n2, F.col("tie_sum_1") + F.col("tie_sum_2")).alias("p_value"),
         "n_1",
         "n_2",
@@ -342,7 +342,7 @@ def kruskal(df: DataFrame, y: str, x: str, levels: Sequence[str] | None = None,
     eta = F.when(total > k, (h - k + 1) / F.when(total > k, total - k))
     stats = base.select(
         *by,
-        failing(by, ok, h, "Kruskal–Wallis requires ≥ 2 groups.").alias("H"),
+        failing(by, ok, h, "Needs two groups or more.").alias("H"),
         chi2_sf(h, k - 1).alias("p_value"),
         k,
         F.col("n"),
@@ -373,7 +373,7 @@ def wilcoxon(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> StatResul
     w = F.when(ok, F.least("_plus", "_minus"))
     stats = both.select(
         *by,
-        failing(by, F.coalesce(ok, F.lit(False)), w, "Wilcoxon signed-rank needs more non-zero paired differences.").alias("W"),
+        failing(by, F.coalesce(ok, F.lit(False)), w, "Needs six non-zero differences.").alias("W"),
         wilcoxon_p(F.when(ok, F.col("_plus")), F.col("_minus"), F.col("n"), F.col("_ties")).alias("p_value"),
         "n",
         "median_diff",
@@ -386,7 +386,7 @@ def friedman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> S
     """Ranks are taken inside each row, so one aggregate pass is enough."""
     by, columns = list(by), list(columns or [])
     if len(columns) < 3:
-        raise ValueError("Friedman test needs ≥ 3 repeated-measure columns.")
+        raise ValueError("Needs three measure columns or more.")
     require(df, *columns, *by)
     k = len(columns)
     rows = df.select(*[col(b) for b in by], *[num(df, c).alias(f"_c{i}") for i, c in enumerate(columns)])

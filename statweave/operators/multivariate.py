@@ -44,7 +44,7 @@ def pca(df: DataFrame, columns: Sequence[str] | None = None, n_components: int |
     """Components of the standardised columns, from one cross-product pass."""
     by, columns = list(by), list(columns or numeric_columns(df, by))
     if len(columns) < 2:
-        raise ValueError("PCA needs at least 2 numeric columns.")
+        raise ValueError("Needs two numeric columns or more.")
     k = int(n_components or min(5, len(columns)))
     rows, names = complete(df, columns, by, keep)
     table = cut(gram(rows, names, by))
@@ -147,7 +147,7 @@ def kmeans(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, seed
     rows, names = complete(df, columns, [])
     facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()
     if not facts["n"]:
-        raise ValueError("No complete cases for the selected variables.")
+        raise ValueError("No complete rows.")
     scaled = rows.select(*[((col(n) - facts[f"m{n}"]) / (facts[f"s{n}"] or 1.0)).alias(n) for n in names])
     # Every iteration reads the vectors again, so they are kept.
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).persist()
@@ -181,7 +181,7 @@ def manova(df: DataFrame, dvs: Sequence[str], group: str, by: Sequence[str] = ()
     """Wilks, Pillai, Hotelling–Lawley and Roy from the within and total cross products."""
     by, dvs = list(by), list(dvs or [])
     if not dvs or not group:
-        raise ValueError("MANOVA requires multiple DVs and a grouping factor.")
+        raise ValueError("Needs outcome columns and a group.")
     require(df, *dvs, group, *by)
     names = [f"_c{i}" for i in range(len(dvs))]
     rows = drop_missing(df.select(*[col(b) for b in by], raw_label(known(df, group)).alias("_g"), *[num(df, d).alias(n) for d, n in zip(dvs, names)]), ["_g", *names])
@@ -287,7 +287,7 @@ def lda(df: DataFrame, y: str, columns: Sequence[str] | None = None, by: Sequenc
     stats = joined.select(*by, (best == F.col("_g")).cast("double").alias("_hit"), F.size("_classes").alias("_k")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy_in_sample"), F.max("_k").cast("long").alias("n_classes")
     )
-    stats = stats.withColumn("warnings", text_list(F.lit("Reported accuracy is in-sample and overestimates generalization.")))
+    stats = stats.withColumn("warnings", text_list(F.lit("Accuracy is measured on the rows used for fitting.")))
     sizes = classes.groupBy(*by).agg(F.sum("n").alias("_all"))
     table = attach(classes.select(*by, F.col("_g").alias("class"), "n"), sizes, by).select(*by, "class", "n", (F.col("n") / F.col("_all")).alias("prior"))
     return StatResult("lda", "Linear discriminant analysis", stats, {"classes": table}, by=by)

@@ -59,7 +59,7 @@ def shapiro_wilk(df: DataFrame, column: str | Sequence[str], by: Sequence[str] =
     stats = table.select(
         *by,
         "variable",
-        failing([*by, *columns[1:]], ok, F.col("W"), "Shapiro–Wilk requires at least 3 observations.").alias("W"),
+        failing([*by, *columns[1:]], ok, F.col("W"), "Needs at least 3 values.").alias("W"),
         F.when(ok, F.col("p_value")).alias("p_value"),
         "n",
         "n_tested",
@@ -93,7 +93,7 @@ def anderson_darling(df: DataFrame, column: str, by: Sequence[str] = ()) -> Stat
     critical = [F.round(F.lit(p) / shrink, 3) for p in AD_POINTS]
     stats = table.select(
         *by,
-        failing(by, size > 0, a2, f"'{column}' has no numeric values after cleaning.").alias("A2"),
+        failing(by, size > 0, a2, f"'{column}' holds no numbers.").alias("A2"),
         *[c.alias(f"critical_{str(level).replace('.', '_')}") for level, c in zip(AD_LEVELS, critical)],
         (a2 > critical[2]).alias("reject_at_5pct"),
         size.cast("long").alias("n"),
@@ -111,9 +111,9 @@ def kolmogorov_smirnov(df: DataFrame, column: str, by: Sequence[str] = ()) -> St
     table = staged.groupBy(*by).agg(F.max(gap).alias("D"), F.max("_n").alias("n"))
     stats = table.select(
         *by,
-        failing(by, F.col("n") > 0, F.col("D"), f"'{column}' has no numeric values after cleaning.").alias("D"),
+        failing(by, F.col("n") > 0, F.col("D"), f"'{column}' holds no numbers.").alias("D"),
         kolmogorov_sf(F.col("D"), F.col("n")).alias("p_value"),
         "n",
-        text_list(F.lit("Parameters estimated from data: KS p-value is anti-conservative. Prefer Shapiro–Wilk or Anderson–Darling.")).alias("warnings"),
+        text_list(F.lit("Mean and deviation come from the same sample, so the p-value is too large.")).alias("warnings"),
     )
     return StatResult("kolmogorov_smirnov", "Kolmogorov–Smirnov test (normal)", stats, by=by)

@@ -115,7 +115,7 @@ def residuals(rows: DataFrame, names: list[str], table: DataFrame, by: list[str]
 
     fits = per_segment(table, by, FIT_FIELDS, finish)
     if not by and fits.isEmpty():
-        raise ValueError("Not enough complete cases for regression.")
+        raise ValueError("Not enough complete rows.")
     p = len(names)
     joined = attach(rows, fits, by)
     fitted = dot([col(n) for n in names], [F.col("_beta")[i + 1] for i in range(p)]) + F.col("_beta")[0]
@@ -180,12 +180,12 @@ def linear_regression(
     """Least squares with the usual table and diagnostics; HC3 errors when ``robust``."""
     by, xs = list(by), as_list(x)
     if not xs:
-        raise ValueError("Provide predictor column(s).")
+        raise ValueError("Name at least one predictor.")
     keep = as_list(order_by)
     rows, names = design(df, y, xs, by, keep)
     table = cut(gram(rows, [*names, Y], by))
     if not by and not _enough(Moments(table.first().asDict(recursive=True))):
-        raise ValueError("Not enough complete cases for regression.")
+        raise ValueError("Not enough complete rows.")
     resid = residuals(rows, names, table, by)
     terms = ["const", *xs]
 
@@ -208,13 +208,13 @@ def linear_regression(
     both = side_by_side(stats, _diagnostics(resid, names, by, [f"_keep{i}" for i in range(len(keep))]), by)
     vif = per_segment(table, by, [("term", "string"), ("VIF", "double")], _vif_rows(xs)) if len(xs) >= 2 else None
     notes = [
-        F.when(F.col("breusch_pagan_p") < 0.05, F.concat(F.lit("Breusch–Pagan p="), p_format(F.col("breusch_pagan_p")), F.lit(": possible heteroscedasticity."))),
-        F.when(F.col("n") < 10 * (len(xs) + 1), F.lit("Rule of thumb: fewer than ~10 observations per parameter.")),
+        F.when(F.col("breusch_pagan_p") < 0.05, F.concat(F.lit("Breusch–Pagan p="), p_format(F.col("breusch_pagan_p")), F.lit(": the residual spread is not constant."))),
+        F.when(F.col("n") < 10 * (len(xs) + 1), F.lit("Fewer than 10 rows per parameter.")),
     ]
     if vif is not None:
         worst = vif.groupBy(*by).agg(F.max("VIF").alias("_vif"))
         both = side_by_side(both, worst, by)
-        notes.insert(0, F.when(F.col("_vif") > 5, F.lit("One or more predictors have VIF > 5 (multicollinearity).")))
+        notes.insert(0, F.when(F.col("_vif") > 5, F.lit("Predictors overlap (VIF above 5).")))
     stats = both.withColumn("warnings", text_list(*notes)).drop("_vif")
     name = method or ("robust_regression" if robust else "multiple_regression" if len(xs) > 1 else "linear_regression")
     label = {
@@ -358,7 +358,7 @@ def _newton(rows: DataFrame, names: list[str], family: Family, by: list[str]) ->
     state = cut(start)
     total = state.agg(F.sum("_n")).first()[0] or 0
     if not total:
-        raise ValueError("Not enough complete cases for regression.")
+        raise ValueError("Not enough complete rows.")
     if total > 4 * WARM_ROWS and not by:
         # Early steps on a sample; the last ones, and the result, use every row.
         state = _steps(rows.sample(WARM_ROWS / total, 7), names, family, by, state)
@@ -443,11 +443,11 @@ def _binary(df: DataFrame, y: str) -> Column:
         text = raw_label(known(df, y))
         other = df.where(text.isNotNull() & ~text.isin(seen["t0"], seen["t1"])).isEmpty()
         if not other or seen["t0"] == seen["t1"]:
-            raise ValueError("Logistic regression requires a binary outcome (two levels).")
+            raise ValueError("The outcome must be binary.")
         return F.when(text == seen["t0"], 0.0).when(text == seen["t1"], 1.0)
     lo, hi = seen["lo"], seen["hi"]
     if lo is None or not df.where(numbers.isNotNull() & ~numbers.isin(lo, hi)).isEmpty():
-        raise ValueError("Logistic regression requires a binary outcome (two levels).")
+        raise ValueError("The outcome must be binary.")
     if lo in (0.0, 1.0) and hi in (0.0, 1.0):
         return numbers
     return F.when(numbers == lo, 0.0).when(numbers == hi, 1.0)
@@ -521,7 +521,7 @@ def poisson_regression(df: DataFrame, y: str, x: str | Sequence[str], by: Sequen
         (2 * p - 2 * (F.col("llf") - F.col("_lf"))).alias("aic"),
         n,
         text_list(
-            F.when(dispersion > 1.5, F.concat(F.lit("Deviance/df = "), F.format_string("%.2f", dispersion), F.lit(" suggests overdispersion. Consider negative binomial regression.")))
+            F.when(dispersion > 1.5, F.concat(F.lit("Deviance/df = "), F.format_string("%.2f", dispersion), F.lit(": counts vary more than Poisson; see the negative binomial model.")))
         ).alias("warnings"),
     )
     return StatResult("poisson_regression", "Poisson regression", stats, {"coefficients": table}, formula=f"log(E[{y}]) ~ " + " + ".join(as_list(x)), by=by)

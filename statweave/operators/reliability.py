@@ -20,7 +20,7 @@ def cronbach_alpha(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     """Alpha and item-rest correlations, all from the item covariance matrix."""
     by, columns = list(by), list(columns or [])
     if len(columns) < 2:
-        raise ValueError("Cronbach's alpha needs ≥ 2 item columns.")
+        raise ValueError("Needs two item columns or more.")
     require(df, *columns, *by)
     names = [f"_c{i}" for i in range(len(columns))]
     rows = df.where(present(df, *columns)).select(*[col(b) for b in by], *[num(df, c).alias(a) for c, a in zip(columns, names)])

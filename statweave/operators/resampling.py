@@ -122,7 +122,7 @@ def bootstrap_ci(df: DataFrame, column: str, stat: str = "mean", n_boot: int = 2
     joined = side_by_side(base, bounds, by)
     stats = joined.select(
         *by,
-        failing(by, F.col("n") > 0, F.col(stat), f"'{column}' has no numeric values after cleaning.").alias("estimate"),
+        failing(by, F.col("n") > 0, F.col(stat), f"'{column}' holds no numbers.").alias("estimate"),
         F.col("_q")[0].alias("ci95_low"),
         F.col("_q")[1].alias("ci95_high"),
         F.lit(n_boot).cast("long").alias("n_boot"),
@@ -192,7 +192,7 @@ def permutation_test(df: DataFrame, y: str, x: str, levels: Sequence[str] | None
     if not by:
         first = pair.first()
         if first is None or first["n_groups"] != 2:
-            raise ValueError("This permutation test compares two groups.")
+            raise ValueError("Needs two groups.")
     usable = pair.where(ok)
     counts = data.groupBy(*by, col(Y).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     counts = attach(counts, usable.select(*by, F.col("n_1").alias("_take")), by)

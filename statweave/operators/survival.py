@@ -195,7 +195,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, x: str | Sequence[str], by:
     """Proportional hazards with Efron ties: one grouped pass over the times per Newton step."""
     by, xs = list(by), as_list(x)
     if not xs:
-        raise ValueError("Provide predictor column(s).")
+        raise ValueError("Name at least one predictor.")
     rows = _sample(df, duration, event, None, by, xs).drop("_g")
     p = len(xs)
     middle = centre(rows, [f"_x{i}" for i in range(p)])
@@ -206,7 +206,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, x: str | Sequence[str], by:
     fields = [("_b", "array<double>"), ("_done", "boolean"), ("_cov", "array<double>"), ("_llf", "double")]
     state = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(*by, F.array(*[F.lit(0.0)] * p).alias("_b"), F.lit(False).alias("_done")))
     if state.isEmpty():
-        raise ValueError("No complete cases for the selected variables.")
+        raise ValueError("No complete rows.")
 
     def advance(r):
         if r["_score"] is None:
@@ -264,7 +264,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, x: str | Sequence[str], by:
         "concordance",
         F.col("_llf").alias("log_likelihood"),
         F.col("_done").alias("converged"),
-        text_list(F.lit("Proportional-hazards assumption was not automatically verified in this run.")).alias("warnings"),
+        text_list(F.lit("Proportional hazards were not checked.")).alias("warnings"),
     )
     return StatResult("cox_ph", "Cox proportional hazards", stats, {"coefficients": table}, formula="h(t|X) = h0(t) exp(Xβ)", by=by)
 

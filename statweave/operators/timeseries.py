@@ -77,7 +77,7 @@ def trend_analysis(df: DataFrame, y: str, time: str | None = None, by: Sequence[
         t_p(F.when(n > 2, t), F.when(n > 2, n - 2)).alias("p_value"),
         F.when(n > 2, F.sqrt(F.greatest(rest, F.lit(0.0)) * F.col("_syy") / F.col("_sxx") / F.when(n > 2, n - 2))).alias("se"),
         n,
-        text_list(F.lit("Time-series observations are often dependent. Treat this p-value as descriptive unless residuals are uncorrelated.")).alias("warnings"),
+        text_list(F.lit("Neighbouring rows may depend on each other; the p-value ignores that.")).alias("warnings"),
     )
     return StatResult("trend_analysis", "Linear trend", stats, by=by)
 
@@ -132,7 +132,7 @@ def seasonality(df: DataFrame, y: str, time: str | None = None, period: int = 12
     stats = side_by_side(sizes, spread, by).select(
         *by,
         F.lit(period).cast("long").alias("period"),
-        failing(by, ok, F.col("seasonal_amplitude"), "Need at least two full periods to inspect seasonality.").alias("seasonal_amplitude"),
+        failing(by, ok, F.col("seasonal_amplitude"), "Needs two whole periods.").alias("seasonal_amplitude"),
         (F.floor(n / period) * period).alias("n"),
         text_list(F.when(~ok, F.lit("fewer than two full periods"))).alias("warnings"),
     )
@@ -461,7 +461,7 @@ def exp_smoothing(
         maps = source.groupBy(*by, CHUNK).applyInPandas(_summariser(smoother, by, span, free, best is not None), chunk_schema)
         chunks = rows.agg(F.max(CHUNK)).first()[0]
         if chunks is None:
-            raise ValueError(f"'{y}' has no numeric values after cleaning.")
+            raise ValueError(f"'{y}' holds no numbers.")
         while chunks > 0:
             maps = maps.withColumn("_part", col(CHUNK)).withColumn(CHUNK, F.floor(col(CHUNK) / FAN_IN))
             maps = maps.groupBy(*by, CHUNK).applyInPandas(_composer(smoother, by), chunk_schema)

@@ -56,15 +56,15 @@ def validate_results(results: DataFrame, checks: DataFrame | None = None, by: Se
     staged = staged.withColumn("_again", again)
     significant = p < 0.05
     flags = F.array(
-        _flag(F.col("_failed").isNotNull() & m.isin(*FAIL_MATTERS), "warning", "assumptions_failed", "One or more statistical assumptions were not satisfied. The selected parametric method may not be appropriate.", F.col("_failed")),
-        _flag((n < 20) & ~m.isin("descriptive", "frequency"), "warning", "small_n", "The available sample may be insufficient for reliable inference.", F.concat(F.lit("n = "), n.cast("string"))),
-        _flag(significant & magnitude.isin("small", "negligible"), "warning", "sig_small_effect", "The result is statistically significant, but the effect size is small. Statistical significance should not automatically be interpreted as practical significance."),
-        _flag(significant, "info", "significance_not_importance", "A p-value below α indicates incompatibility with the null under the model; it does not measure importance, probability that H₁ is true, or replicability."),
-        _flag(m.isin(*ASSOCIATION), "info", "not_causation", "Association (including correlation) does not establish causation."),
-        _flag(m.isin(*MANY_TESTS), "warning", "multiple_testing", "Multiple testing increases the probability of false positives. Consider an appropriate correction."),
-        _flag((m == "independent_t") & (F.abs(F.col("_again") - p) > 1e-4), "warning", "inconsistent_p", "Internal cross-check of the t p-value did not match exactly. Inspect degrees of freedom (Welch vs Student).", F.concat(F.lit("reported p="), p.cast("string"), F.lit(", recomputed="), F.col("_again").cast("string"))),
-        _flag((p < 0) | (p > 1), "error", "invalid_p", "p-value is outside [0, 1]. The analysis should not be trusted."),
-        _flag(low > high, "error", "invalid_ci", "Confidence interval bounds are reversed."),
+        _flag(F.col("_failed").isNotNull() & m.isin(*FAIL_MATTERS), "warning", "assumptions_failed", "A checked assumption failed for this method.", F.col("_failed")),
+        _flag((n < 20) & ~m.isin("descriptive", "frequency"), "warning", "small_n", "Fewer than 20 rows.", F.concat(F.lit("n = "), n.cast("string"))),
+        _flag(significant & magnitude.isin("small", "negligible"), "warning", "sig_small_effect", "Significant, yet the effect is small."),
+        _flag(significant, "info", "significance_not_importance", "Significance is not importance."),
+        _flag(m.isin(*ASSOCIATION), "info", "not_causation", "Association is not cause."),
+        _flag(m.isin(*MANY_TESTS), "warning", "multiple_testing", "Several tests at once; adjust the p-values."),
+        _flag((m == "independent_t") & (F.abs(F.col("_again") - p) > 1e-4), "warning", "inconsistent_p", "The p-value does not follow from t and its degrees of freedom.", F.concat(F.lit("reported p="), p.cast("string"), F.lit(", recomputed="), F.col("_again").cast("string"))),
+        _flag((p < 0) | (p > 1), "error", "invalid_p", "The p-value is not a probability."),
+        _flag(low > high, "error", "invalid_ci", "The lower bound exceeds the upper one."),
     )
     notes = F.transform(
         F.coalesce(F.col("warnings"), F.array().cast("array<string>")),
