@@ -21,7 +21,8 @@ from statweave.functions.columns import (
 )
 from statweave.operators.descriptive import long_moments
 from statweave.plans.quantiles import exact_quantiles
-from statweave.plans.tables import null_safe
+from statweave.plans import tables
+from statweave.plans.tables import cut, null_safe
 
 # Texts read as yes/no, and names read as identifiers.
 YES_NO = ("true", "false", "yes", "no", "y", "n", "0", "1", "t", "f")
@@ -239,8 +240,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     columns = data_columns(df)
     marked = df.select(*[known(df, c).alias(c) for c in columns])
     marked = marked.withColumn("_print", F.xxhash64(*[col(c) for c in columns]))
-    repeated = marked.groupBy("_print").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_print")
-    candidates = marked.join(repeated, "_print", "left_semi").drop("_print")
+    repeated = cut(marked.groupBy("_print").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_print"))
+    # Few repeated fingerprints are broadcast, so the rows themselves are not shuffled.
+    small = repeated.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS
+    candidates = marked.join(F.broadcast(repeated) if small else repeated, "_print", "left_semi").drop("_print")
     return candidates.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
 
 
