@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -17,17 +16,11 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Point Spark at the cluster's shared checkpoint folder; local runs get a fresh one."""
+    """Point Spark at the folder in spark.checkpoint.dir; where that is unset, at one in the warehouse."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    else:
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
