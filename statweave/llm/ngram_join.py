@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 
 from statweave.llm.common import sized, small_batches, text_hashes, text_key, text_of, written
 from statweave.llm.components import components
-from statweave.llm.shingles import WordHashes, shingle_hashes
+from statweave.llm.shingles import shingle_hashes
 
 SIMILARITY = Fraction(3, 4)
 # A shingle in more documents than this goes to the end of the order.  Any order gives the same links.
 COMMON = 64
 # The list of common shingles that tasks hold; beyond it the rarest of them stay in the order of their hashes.
 COMMON_SLOTS = 1 << 22
-# Ids that tasks hold as a sorted array; with more, every set is written and the join picks.
-HELD_IDS = 1 << 22
+# Pairs of one class that are verified in one group; a class with more has several groups.
+GROUP_PAIRS = 500
 FLUSH = 4_000_000
 
 
@@ -48,10 +48,9 @@ def _class_id(shingles: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = WordHashes()
     for batch in batches:
         if batch.num_rows:
-            yield batch, [shingle_hashes(t.as_py(), hashes) for t in batch.column("text")]
+            yield batch, [shingle_hashes(t.as_py()) for t in batch.column("text")]
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -125,98 +124,100 @@ def prefix_length(n: int) -> int:
 
 
 def prefixes(texts: DataFrame, width: int, common) -> DataFrame:
-    """(cls, n, grp, place, key): the prefix of each class, and in place -1 its membership; rows may repeat."""
+    """(key, id, n, place): the prefix shingles of each group with its id, and, in place -1, each group's classes; rows may repeat."""
     shift = np.uint64(64 - 8 * width)
+    kinds = [("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]
 
     def run(batches):
         last, seen, groups = common.value, set(), set()
         for _, sets in _sets(batches):
-            out: list[tuple] = []
-            keys = []
+            keys, ids, sizes, places = [], [], [], []
             for s in sets:
                 if not len(s) or (c := _class_id(s)) in seen:
                     continue
                 seen.add(c)
+                n = len(s)
                 if len(last):
                     slots = s >> shift
                     late = last[np.minimum(np.searchsorted(last, slots), len(last) - 1)] == slots
                     s = np.concatenate([s[~late], s[late]])
-                head = s[: prefix_length(len(s))]
-                group = int.from_bytes(hashlib.blake2b(head.tobytes(), digest_size=8, salt=len(s).to_bytes(8, "little")).digest(), "little", signed=True)
-                out.append((c, len(s), group, -1, 1))
-                keys.append(np.array([group], dtype=np.int64))
+                head = s[: prefix_length(n)]
+                group = int.from_bytes(hashlib.blake2b(head.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
+                keys.append(np.array([group], dtype=np.int64)), ids.append((c, 1)), sizes.append(n), places.append(np.array([-1]))
                 if group not in groups:
                     groups.add(group)
-                    out.append((c, len(s), group, 0, len(head)))
-                    keys.append(head.view(np.int64))
-            if out:
-                c, n, g, p, m = (np.array(x, dtype=np.int64) for x in zip(*out, strict=True))
-                places = np.concatenate([np.arange(k) if start == 0 else [-1] for start, k in zip(p, m, strict=True)])
-                columns = [np.repeat(c, m), np.repeat(n, m), np.repeat(g, m), places, np.concatenate(keys)]
-                names = ["cls", "n", "grp", "place", "key"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names)
+                    keys.append(head.view(np.int64)), ids.append((group, len(head))), sizes.append(n), places.append(np.arange(len(head)))
+            if keys:
+                id_, times = (np.array(x, dtype=np.int64) for x in zip(*ids, strict=True))
+                columns = [np.concatenate(keys), np.repeat(id_, times), np.repeat(np.array(sizes), times), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+
+    return texts.mapInArrow(run, "key long, id long, n int, place int")
 
-    return texts.mapInArrow(run, "cls long, n int, grp long, place int, key long")
 
+def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The written pairs of classes (a, b) whose whole sets are similar enough.
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) whose whole sets are similar enough."""
-    spark = pairs.sparkSession
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    held = np.sort(wanted.toPandas()["cls"].to_numpy(dtype=np.int64)) if wanted.count() <= HELD_IDS else None
-    ids = spark.sparkContext.broadcast(held)
+    Of each class one text is read again.  Its set goes to the groups of its
+    pairs: those of one class a, GROUP_PAIRS at a time.
+    """
+    if pairs.isEmpty():
+        return pairs
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("_parts"))
+    dealt = written(pairs.join(degree, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_parts")).alias("grp")))
+    wanted = dealt.select(F.col("b").alias("cls"), "grp", "a").union(dealt.select(F.col("a").alias("cls"), "grp", "a").distinct())
+    per_class = wanted.groupBy("cls").agg(F.collect_list(F.struct("grp", "a")).alias("_to"))
+    text = rows.join(per_class, "cls").groupBy("cls").agg(F.min(F.struct("_k1", "_k2")).alias("_k"), F.first("_to").alias("_to"))
+    asked = sized(written(text.select("_k._k1", "_k._k2", "_to")))
+    found = documents.select(*text_key(text_of()), F.col("text").cast("string").alias("text")).join(asked, ["_k1", "_k2"]).select("text", "_to")
 
-    def sets(batches):
+    def send(batches):
         seen = set()
-        for _, found in _sets(batches):
-            rows = [(c, s) for s in found if len(s) and (c := _class_id(s)) not in seen]
-            if rows and ids.value is not None:
-                at = np.minimum(np.searchsorted(ids.value, [c for c, _ in rows]), max(0, len(ids.value) - 1))
-                rows = [r for r, i in zip(rows, at, strict=True) if len(ids.value) and ids.value[i] == r[0]]
-            rows = list(dict(rows).items())
-            seen.update(c for c, _ in rows)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["cls", "shingles"])
-
-    table = written(texts.mapInArrow(sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")))
-    left = table.select(F.col("cls").alias("a"), F.col("shingles").alias("_left"))
-    right = table.select(F.col("cls").alias("b"), F.col("shingles").alias("_right"))
-
-    def check(batches):
-        for batch in batches:
-            x, y = batch.column("_left"), batch.column("_right")
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(z[i].as_buffer(), dtype=np.uint64) for z in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * shared >= 75 * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(check, "a long, b long")
-
-
-def links(documents: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that connect all that is similar, and the components (node, root) they make."""
+        for batch, sets in _sets(batches):
+            out = []
+            for s, to in zip(sets, batch.column("_to").to_pylist(), strict=True):
+                if (c := _class_id(s)) not in seen:
+                    seen.add(c)
+                    out += [(x["grp"], x["a"], c, s.tobytes()) for x in to]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)], ["grp", "a", "cls", "shingles"])
+
+    def check(group: pa.Table) -> pa.Table:
+        a = group.column("a")[0].as_py()
+        classes_ = group.column("cls").to_pylist()
+        sets = {c: np.frombuffer(x.as_buffer(), dtype=np.uint64) for c, x in zip(classes_, group.column("shingles"), strict=True)}
+        p, near = sets.pop(a), []
+        for b, q in sets.items():
+            small, large = (p, q) if len(p) <= len(q) else (q, p)
+            shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * shared >= 75 * (len(p) + len(q) - shared):
+                near.append(b)
+        return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
+
+    sent = found.mapInArrow(send, "grp long, a long, cls long, shingles binary")
+    return written(sent.groupBy("grp").applyInArrow(check, "a long, b long"))
+
+
+def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between classes that connect all that is similar, and the components (node, root) they make; ``rows`` are the written classes."""
     spark = documents.sparkSession
     small_batches(spark)
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    width, slots = common_slots(texts, total)
-    rows = prefixes(texts, width, spark.sparkContext.broadcast(slots)).distinct()
-    per_key = Window.partitionBy("key")
-    # Memberships lie in a bucket of their group, prefix shingles in a bucket of their own; a bucket of one pairs nothing.
-    shared = written(rows.withColumn("_size", F.count("*").over(per_key)).where((F.col("_size") > 1) | (F.col("place") < 0)).drop("_size"))
-    members = shared.where("place < 0").select("grp", "cls")
+    width, slots = common_slots(texts, rows.agg(F.sum("n")).first()[0] or 0)
+    # One exchange by key serves for repeats and counts.  A bucket of one pairs nothing; classes lie in a bucket of their group.
+    sent = prefixes(texts, width, spark.sparkContext.broadcast(slots)).repartition("key").distinct()
+    counted = sent.withColumn("_size", F.count("*").over(Window.partitionBy("key")))
+    shared = written(counted.where("_size > 1 or place < 0").drop("_size"))
+    members = shared.where("place < 0").select(F.col("key").alias("grp"), F.col("id").alias("cls"))
     lead = members.groupBy("grp").agg(F.min("cls").alias("lead"))
-    buckets = shared.where("place >= 0").select("key", "grp", "n", "place")
+    buckets = shared.where("place >= 0").select("key", F.col("id").alias("grp"), "n", "place")
 
     # Round one: each group against the first group of its most telling bucket, members against the first of the group.
     hub = buckets.groupBy("key").agg(F.min(F.struct("n", "grp")).alias("hub"), F.count("*").alias("size"))
     best = buckets.join(hub, "key").where("grp <> hub.grp and 4 * hub.n >= 3 * n").groupBy("grp").agg(F.max_by("hub.grp", F.struct("size", "key")).alias("other"))
-    across = best.join(lead, "grp").join(lead.select(F.col("grp").alias("other"), F.col("lead").alias("b")), "other").select(F.col("lead").alias("a"), "b")
+    across = best.join(lead, "grp").join(lead.select(F.col("grp").alias("other"), F.col("lead").alias("b")), "other").select(F.col("b").alias("a"), F.col("lead").alias("b"))
     within = members.join(lead, "grp").where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-    first = written(verified(written(across.union(within).where("a <> b").distinct()), texts))
+    first = verified(written(across.union(within).where("a <> b").distinct()), rows, documents)
     roots = written(components(first))
 
     # Round two: all candidate pairs that lie in different components.
@@ -235,9 +236,9 @@ def links(documents: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     m, o = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("grp", "cls", "root")]) for s in "xy")
     expanded = group_pairs.union(own).join(m, "grp_x").join(o, "grp_y").where("root_x <> root_y")
     rest = written(expanded.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct())
-    second = written(verified(rest, texts))
+    second = verified(rest, rows, documents)
     found = first.union(second)
-    return found, written(components(found))
+    return found, roots if second.isEmpty() else written(components(found))
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -249,8 +250,7 @@ def join(documents: DataFrame) -> DataFrame:
     smallest unless a component has no other.
     """
     rows = written(classes(documents))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    _, roots = links(documents, total)
+    _, roots = links(documents, rows)
     rooted = rows.join(sized(roots), F.col("cls") == F.col("node"), "left").select("doc_id", "_k1", "_k2", "n", F.coalesce("root", "cls").alias("_root"))
     smallest = rooted.where("_root is not null").groupBy(F.col("_root").alias("_of")).agg(F.min("doc_id").alias("_least"))
     out = rooted.join(smallest, F.col("_root") == F.col("_of"), "left")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import decontaminate, lines, ngram_join, packing, toxicity
-from statweave.llm.common import table, written
+from statweave.llm import decontaminate, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
+from statweave.llm.common import table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,22 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+@query("op4_token_output")
+def token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return training_order.training_order(table(spark, folder, "documents"))
+
+
+@query("op5_token_counts")
+def token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@query("op6_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.score(table(spark, folder, "documents"), fold(7) != 2)
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_toxicity")
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
@@ -69,6 +85,20 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op8_document_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare(table(spark, folder, "documents"))
+
+
+@query("op9_sharding")
+def sharded(spark: SparkSession, folder: str) -> DataFrame:
+    size = (F.octet_length(text_of()) + 1).cast("long").alias("size")
+    crc = F.crc32(text_of().cast("binary")).alias("text_crc32")
+    rows = table(spark, folder, "documents").select("doc_id", "source", size, crc)
+    placed = sharding.interleave(rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
