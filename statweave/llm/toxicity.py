@@ -188,11 +188,11 @@ class Model:
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with each word (kind 1) and each beginning of a word (kind 2), by label, summed within a piece."""
+    """Rows with each word (kind 1) and each beginning of a word (kind 2) outside quotation marks, by label, summed within a piece."""
     for part in pieces(batches):
         counts: dict[tuple[str, int], list[int]] = {}
         for text, toxic in zip(part["text"], part["toxic"], strict=True):
-            words = set(WORD.findall((text or "").lower()))
+            words = set(WORD.findall(QUOTED.sub(" ", (text or "").lower())))
             keys = {(w, 1) for w in words if len(w) > 2} | {(w[:n], 2) for w in words for n in STEMS if len(w) > n}
             for key in keys:
                 counts.setdefault(key, [0, 0])[int(toxic)] += 1
