@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from statweave import autopilot as pilot
 from statweave import registry
+from statweave.functions import dist
+from statweave.functions.tails import norm_p
 from statweave.operators import (
     anova,
     association,
@@ -248,9 +250,9 @@ KRUSKAL_SQL = """with r as (select c_mktsegment as g, c_acctbal as y, rank() ove
 """
 
 
-@query("kruskal", KRUSKAL_SQL + "select H, k, n, (H-k+1)/(n-k) as eta2_approx from h", "H:5 eta2_approx:8")
+@query("kruskal", KRUSKAL_SQL + "select H, exp(-H/2)*(1+H/2) as p_value, k, n, (H-k+1)/(n-k) as eta2_approx from h", "H:5 p_value:7 eta2_approx:8")
 def _(t):
-    return hypothesis.kruskal(t.customer, "c_acctbal", "c_mktsegment").statistics.select("H", "k", "n", "eta2_approx")
+    return hypothesis.kruskal(t.customer, "c_acctbal", "c_mktsegment").statistics.select("H", "p_value", "k", "n", "eta2_approx")
 
 
 @query("kruskal_groups", KRUSKAL_SQL + f"select {title('g')} as \"group\", n, med as median, rs/n as mean_rank from s", "median mean_rank:5")
@@ -264,12 +266,12 @@ def _(t):
     r as (select 1+(b<a)::int+(c<a)::int+((b=a)::int+(c=a)::int)/2.0 as ra, 1+(a<b)::int+(c<b)::int+((a=b)::int+(c=b)::int)/2.0 as rb,
       1+(a<c)::int+(b<c)::int+((a=c)::int+(b=c)::int)/2.0 as rc, (a=b and b=c) as all3, ((a=b)::int+(b=c)::int+(a=c)::int) as eq from w),
     s as (select count(*) as n, sum(ra) as a, sum(rb) as b, sum(rc) as c, sum(case when all3 then 24 when eq=1 then 6 else 0 end) as ties from r)
-    select (12.0/(n*12)*(a*a+b*b+c*c)-12.0*n)/(1-ties/(n*24.0)) as chi2, 3 as k, n from s""",
-    "chi2:3",
+    select chi2, exp(-chi2/2) as p_value, 3 as k, n from (select (12.0/(n*12)*(a*a+b*b+c*c)-12.0*n)/(1-ties/(n*24.0)) as chi2, n from s)""",
+    "chi2:3 p_value:8",
 )
 def _(t):
     wide = t.lineitem.select("l_tax", "l_discount", (F.col("l_quantity") / 500).alias("q"))
-    return hypothesis.friedman(wide, ["l_tax", "l_discount", "q"]).statistics.select("chi2", F.col("k").cast("int").alias("k"), "n")
+    return hypothesis.friedman(wide, ["l_tax", "l_discount", "q"]).statistics.select("chi2", "p_value", F.col("k").cast("int").alias("k"), "n")
 
 
 # -- analysis of variance --------------------------------------------------------------
@@ -384,26 +386,28 @@ def _items(t: Tables, n: int) -> DataFrame:
     return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-ITEM_SQL = "select " + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(4)) + " from embeddings"
+ITEM_SQL = "select " + ", ".join(f"embedding[{i + 1}]::double as e{i}" for i in range(64)) + " from embeddings"
+ITEMS = [f"e{i}" for i in range(64)]
+ITEM_SUM = "+".join(ITEMS)
 
 
 @query(
     "cronbach_alpha",
-    f"with w as ({ITEM_SQL}) select 4.0/3*(1-(var_samp(e0)+var_samp(e1)+var_samp(e2)+var_samp(e3))/var_samp(e0+e1+e2+e3)) as alpha, 4::bigint as n_items, count(*) as n from w",
+    f"with w as ({ITEM_SQL}) select 64.0/63*(1-({'+'.join(f'var_samp({e})' for e in ITEMS)})/var_samp({ITEM_SUM})) as alpha, 64::bigint as n_items, count(*) as n from w",
     "alpha",
 )
 def _(t):
-    return reliability.cronbach_alpha(_items(t, 4), ["e0", "e1", "e2", "e3"]).statistics.select("alpha", "n_items", "n")
+    return reliability.cronbach_alpha(_items(t, 64), ITEMS).statistics.select("alpha", "n_items", "n")
 
 
 @query(
     "cronbach_alpha_items",
-    f"with w as ({ITEM_SQL}), t as (select *, e0+e1+e2+e3 as s from w) "
-    + " union all ".join(f"select 'e{i}' as item, corr(e{i}, s-e{i}) as item_total_r, avg(e{i}) as mean, stddev_samp(e{i}) as sd from t" for i in range(4)),
+    f"with w as ({ITEM_SQL}), t as (select *, {ITEM_SUM} as s from w) "
+    + " union all ".join(f"select '{e}' as item, corr({e}, s-{e}) as item_total_r, avg({e}) as mean, stddev_samp({e}) as sd from t" for e in ITEMS),
     "item_total_r mean:8 sd:8",
 )
 def _(t):
-    return reliability.cronbach_alpha(_items(t, 4), ["e0", "e1", "e2", "e3"]).tables["item_total"].select("item", "item_total_r", "mean", "sd")
+    return reliability.cronbach_alpha(_items(t, 64), ITEMS).tables["item_total"].select("item", "item_total_r", "mean", "sd")
 
 
 # -- description -----------------------------------------------------------------------
@@ -424,9 +428,16 @@ def _(t):
     return table.drop("ci95_low", "ci95_high")
 
 
-@query("descriptive_by_segment")
+def _segment_sql(c: str) -> str:
+    by = "l_returnflag, l_linestatus"
+    mode = f"(select {by}, {c} as mode from (select {by}, {c}, row_number() over (partition by {by} order by count(*) desc, {c}) as k from lineitem group by {by}, {c}) where k = 1)"
+    return _describe_sql(c).replace(f"select '{c}'", f"select {by}, '{c}'").replace(f"(select {c} from lineitem group by 1 order by count(*) desc, 1 limit 1) as mode", "any_value(mode) as mode") + f" join {mode} as m{c} using ({by}) group by {by}"
+
+
+@query("descriptive_by_segment", " union all ".join(_segment_sql(c) for c in NUMBERS), "mean median mode std variance:3 min max range:5 q1 q3 iqr p05 p95 skewness kurtosis se")
 def _(t):
-    return descriptive.descriptive(t.lineitem, NUMBERS, by=["l_returnflag", "l_linestatus"]).tables["descriptives"]
+    table = descriptive.descriptive(t.lineitem, NUMBERS, by=["l_returnflag", "l_linestatus"]).tables["descriptives"]
+    return table.drop("ci95_low", "ci95_high")
 
 
 @query(
@@ -526,14 +537,14 @@ def contingency_sql(table: str, x: str, y: str) -> str:
 
 @query(
     "chi_square",
-    contingency_sql("lineitem", "l_returnflag", "l_linestatus") + "select chi2, df, n, sqrt(chi2/(n*m)) as cramers_v, low as low_expected_cells from q, n",
-    "chi2 cramers_v:9",
+    contingency_sql("lineitem", "l_returnflag", "l_linestatus") + "select chi2, exp(-chi2/2) as p_value, df, n, sqrt(chi2/(n*m)) as cramers_v, low as low_expected_cells from q, n",
+    "chi2 p_value:8 cramers_v:9",
 )
 def _(t):
-    return association.chi_square(t.lineitem, "l_returnflag", "l_linestatus").statistics.select("chi2", "df", "n", "cramers_v", "low_expected_cells")
+    return association.chi_square(t.lineitem, "l_returnflag", "l_linestatus").statistics.select("chi2", "p_value", "df", "n", "cramers_v", "low_expected_cells")
 
 
-@query("chi_square_cells", contingency_sql("documents", "lang", "source") + "select x, y, o as observed, e as expected from e", "expected")
+@query("chi_square_cells", contingency_sql("documents", "lang", "source") + "select x, y, o as observed, e as expected from e where o > 0", "expected")
 def _(t):
     return association.chi_square(t.documents, "lang", "source").tables["cells"]
 
@@ -692,9 +703,42 @@ def _(t):
 # -- normality -----------------------------------------------------------------------------
 
 
-@query("shapiro_wilk")
+# Normal quantile after Acklam: fixed values of a rational approximation with relative error 1e-9.
+def quantile(p: str) -> str:
+    tail = f"sqrt(-2*ln(least({p}, 1-{p})))"
+    far = (
+        f"(((((-0.007784894002430293*{tail}-0.3223964580411365)*{tail}-2.400758277161838)*{tail}-2.549732539343734)*{tail}+4.374664141464968)*{tail}+2.938163982698783)"
+        f"/((((0.007784695709041462*{tail}+0.3224671290700398)*{tail}+2.445134137003754)*{tail}+3.754408661907416)*{tail}+1)"
+    )
+    q = f"({p}-0.5)"
+    r = f"({q}*{q})"
+    near = (
+        f"(((((-39.69683028665376*{r}+220.9460984245205)*{r}-275.9285104469687)*{r}+138.3577518672690)*{r}-30.66479806614716)*{r}+2.506628277459239)*{q}"
+        f"/(((((-54.47609879822406*{r}+161.5858368580409)*{r}-155.6989798598866)*{r}+66.80131188771972)*{r}-13.28068155288572)*{r}+1)"
+    )
+    return f"(case when {p} < 0.02425 then {far} when {p} > 0.97575 then -({far}) else {near} end)"
+
+
+def _poly_sql(coefficients: tuple, x: str) -> str:
+    return "(" + "+".join(f"({c})*power({x},{i})" for i, c in enumerate(coefficients)) + ")"
+
+
+def shapiro_sql(rows: str, by: str) -> str:
+    """CTEs ending in sw (by, n, w, p) for rows of (by, y), n above 11."""
+    z = f"((ln(1-w)-{_poly_sql(dist._SW_MEAN, 'ln(n)')})/exp({_poly_sql(dist._SW_SD, 'ln(n)')}))"
+    return f"""v as (select {by}, y, row_number() over (partition by {by} order by y)::double as i, count(*) over (partition by {by})::double as n from ({rows}) where y is not null),
+    m as (select *, {quantile('((i-0.375)/(n+0.25))')} as m from v),
+    s as (select {by}, any_value(n) as n, sum(m*y) as my, sum(m*m) as mm, var_samp(y)*(count(*)-1) as squares, max(m) filter (i=n) as m1, max(m) filter (i=n-1) as m2,
+      max(y) filter (i=n) - max(y) filter (i=1) as d1, max(y) filter (i=n-1) - max(y) filter (i=2) as d2 from m group by {by}),
+    a as (select *, m1/sqrt(mm)+{_poly_sql(dist._SW_LAST, '(1/sqrt(n))')} as a1, m2/sqrt(mm)+{_poly_sql(dist._SW_NEXT, '(1/sqrt(n))')} as a2 from s),
+    w as (select {by}, n, power((my-m1*d1-m2*d2)/sqrt((mm-2*m1*m1-2*m2*m2)/(1-2*a1*a1-2*a2*a2))+a1*d1+a2*d2, 2)/squares as w from a),
+    z as (select *, {z} as z from w),
+    sw as (select {by}, n::bigint as n, w, case when z > 0 then {upper_tail('z')} else 1-{upper_tail('(-z)')} end as p from z)"""
+
+
+@query("shapiro_wilk", f"with {shapiro_sql('select o_orderstatus, o_totalprice as y from orders', 'o_orderstatus')} select o_orderstatus, 'o_totalprice' as variable, w as W, p as p_value, n from sw", "W:6 p_value:5")
 def _(t):
-    return normality.shapiro_wilk(t.orders, "o_totalprice", by=["o_orderstatus"], key="o_orderkey").statistics.drop("warnings")
+    return normality.shapiro_wilk(t.orders, "o_totalprice", by=["o_orderstatus"]).statistics.drop("warnings")
 
 
 Z_SQL = f"""with s as (select avg({{c}}) as m, stddev_samp({{c}}) as sd, count(*) as n from {{t}}),
@@ -722,29 +766,44 @@ def _(t):
 # -- resampling -----------------------------------------------------------------------------
 
 
+# Standard errors in large samples: of the mean, of the standard deviation (from the fourth moment), and of the median of
+# a uniform variable, which the quantity is.
+BOOT_ERROR = {
+    "mean": lambda y: F.stddev_samp(y) / F.sqrt(F.count(y)),
+    "std": lambda y: F.stddev_samp(y) * F.sqrt((F.kurtosis(y) + 2) / (4 * F.count(y))),
+    "median": lambda y: (F.max(y) - F.min(y)) / (2 * F.sqrt(F.count(y))),
+}
+
+
 def _boot(t: Tables, stat: str) -> DataFrame:
+    """The interval's ends in standard errors from the estimate, to the nearest 1 (2 expected on either side)."""
     stats = resampling.bootstrap_ci(t.lineitem, "l_quantity", stat, n_boot=1000, by=["l_returnflag"]).statistics
-    inside = (F.col("ci95_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci95_high"))
-    return stats.select("l_returnflag", "estimate", inside.alias("inside"), "n_boot", "n")
+    error = t.lineitem.groupBy("l_returnflag").agg(BOOT_ERROR[stat]("l_quantity").alias("e"))
+    ends = [F.round((F.col(c) - F.col("estimate")) / F.col("e")).cast("int").alias(f"{c}_errors") for c in ("ci95_low", "ci95_high")]
+    return stats.join(error, "l_returnflag").select("l_returnflag", "estimate", *ends, "n_boot", "n")
 
 
 for _stat, _sql in (("mean", "avg(l_quantity)"), ("median", "quantile_cont(l_quantity, 0.5)"), ("std", "stddev_samp(l_quantity)")):
     query(
         f"bootstrap_{_stat}",
-        f"select l_returnflag, {_sql} as estimate, true as inside, 1000::bigint as n_boot, count(*) as n from lineitem group by 1",
+        f"select l_returnflag, {_sql} as estimate, -2 as ci95_low_errors, 2 as ci95_high_errors, 1000::bigint as n_boot, count(*) as n from lineitem group by 1",
         "estimate",
     )(lambda t, s=_stat: _boot(t, s))
 
 
 @query(
     "permutation_test",
-    """select l_returnflag, avg(l_quantity) filter (l_linestatus='F')-avg(l_quantity) filter (l_linestatus='O') as mean_diff, true as in_range,
+    """select l_returnflag, avg(l_quantity) filter (l_linestatus='F')-avg(l_quantity) filter (l_linestatus='O') as mean_diff, true as near,
     count(*) filter (l_linestatus='F') as n_1, count(*) filter (l_linestatus='O') as n_2 from lineitem group by 1""",
     "mean_diff:7",
 )
 def _(t):
     stats = resampling.permutation_test(t.lineitem, "l_quantity", "l_linestatus", n_perm=1000, by=["l_returnflag"]).statistics
-    return stats.select("l_returnflag", "mean_diff", F.col("p_value").between(1 / 1001, 1.0).alias("in_range"), "n_1", "n_2")
+    # In large samples the permutation distribution is normal with the pooled variance; 1,000 draws give p within 0.06.
+    spread = t.lineitem.groupBy("l_returnflag").agg(F.var_samp("l_quantity").alias("v"))
+    z = F.col("mean_diff") / F.sqrt(F.col("v") * (1 / F.col("n_1") + 1 / F.col("n_2")))
+    near = F.abs(F.col("p_value") - norm_p(z)) < 0.06
+    return stats.join(spread, "l_returnflag").select("l_returnflag", "mean_diff", near.alias("near"), "n_1", "n_2")
 
 
 # -- time series -----------------------------------------------------------------------------
@@ -780,13 +839,13 @@ def _(t):
 @query(
     "acf_pacf",
     f"""with {DAILY}, m as (select event_type, avg(value) as m, count(*) as n from p group by 1),
-    x as (select p.event_type, pos, value-m as d, n from p join m on p.event_type=m.event_type), k as (select unnest(range(0,7)) as lag),
+    x as (select p.event_type, pos, value-m as d, n from p join m on p.event_type=m.event_type), k as (select unnest(range(0,25)) as lag),
     c as (select a.event_type, k.lag, sum(a.d*b.d) as c, any_value(a.n) as n from x a cross join k join x b on a.event_type=b.event_type and b.pos=a.pos-k.lag group by 1,2)
     select c.event_type, c.lag::int as lag, c.c/z.c as acf from c join c z on c.event_type=z.event_type and z.lag=0 where c.lag <= least(24, greatest(5, c.n//4), c.n-1)""",
     "acf:8",
 )
 def _(t):
-    return timeseries.acf_pacf(_daily(t), "value", "day", by=["event_type"]).tables["lags"].where("lag < 7").select("event_type", "lag", "acf")
+    return timeseries.acf_pacf(_daily(t), "value", "day", by=["event_type"]).tables["lags"].select("event_type", "lag", "acf")
 
 
 @query(
@@ -853,12 +912,12 @@ def _(t):
 
 @query("pca_embeddings")
 def _(t):
-    return multivariate.pca(_items(t, 64), [f"e{i}" for i in range(64)]).tables["variance"]
+    return multivariate.pca(_items(t, 64), ITEMS).tables["variance"]
 
 
 @query("factor_analysis")
 def _(t):
-    return multivariate.factor_analysis(_items(t, 12), [f"e{i}" for i in range(12)], 3).tables["noise"]
+    return multivariate.factor_analysis(_items(t, 64), ITEMS, 3).tables["noise"]
 
 
 @query("kmeans")
@@ -897,7 +956,7 @@ def _(t):
 
 @query("lda_classes", "select label::varchar as class, count(*) as n, count(*)::double/(select count(*) from embeddings) as prior from embeddings group by 1", "prior:8")
 def _(t):
-    return multivariate.lda(_items(t, 8), "label", [f"e{i}" for i in range(8)]).tables["classes"]
+    return multivariate.lda(_items(t, 64), "label", ITEMS).tables["classes"]
 
 
 # -- survival ------------------------------------------------------------------------------
@@ -953,11 +1012,13 @@ def _(t):
     "logrank",
     f"""with {LIFETIMES}, c as (select hours as t, count(*) as n, count(*) filter (browsing='true') as n1, sum(event) as d, coalesce(sum(event) filter (browsing='true'),0) as d1 from s group by 1),
     r as (select t, d, d1, sum(n) over w as n, sum(n1) over w as n1 from c window w as (order by t desc rows unbounded preceding))
-    select sum(d1-d*n1::double/n)**2/sum(case when n>1 then d*(n1::double/n)*(1-n1::double/n)*(n-d)/(n-1) else 0 end) as chi2, 1::bigint as df, (select count(*) from s) as n from r""",
-    "chi2:5",
+    select chi2, 2*"""
+    + upper_tail("sqrt(chi2)")
+    + """ as p_value, 1::bigint as df, n from (select sum(d1-d*n1::double/n)**2/sum(case when n>1 then d*(n1::double/n)*(1-n1::double/n)*(n-d)/(n-1) else 0 end) as chi2, (select count(*) from s) as n from r)""",
+    "chi2:5 p_value:7",
 )
 def _(t):
-    return survival.logrank(_lifetimes(t), "hours", "event", "browsing").statistics.select("chi2", "df", "n")
+    return survival.logrank(_lifetimes(t), "hours", "event", "browsing").statistics.select("chi2", "p_value", "df", "n")
 
 
 @query("logrank_many_groups")
@@ -1415,14 +1476,20 @@ def _(t):
     return charts.corr_heatmap(t.lineitem, NUMBERS)
 
 
-@query("qq_points")
+@query(
+    "qq_points",
+    f"""with p as (select l_extendedprice as y, row_number() over (order by l_extendedprice)::double as i, count(*) over ()::double as n from lineitem),
+    u as (select *, case when i=n then power(0.5, 1/n) when i=1 then 1-power(0.5, 1/n) else (i-0.3175)/(n+0.365) end as u from p)
+    select floor((i-1)*500/n)::int as run, avg({quantile('u')}) as theoretical, avg(y) as sample, count(*) as n from u group by 1""",
+    "theoretical:6 sample:4",
+)
 def _(t):
-    return charts.qq_points(t.lineitem, "l_extendedprice")["points"]
+    return charts.qq_points(t.lineitem, "l_extendedprice")["points"].select("run", "theoretical", "sample", "n")
 
 
 @query("residual_points")
 def _(t):
-    return charts.residual_points(t.orders, "o_totalprice", "o_custkey", key="o_orderkey")["smooth"]
+    return charts.residual_points(t.orders, "o_totalprice", "o_custkey")["smooth"]
 
 
 @query("pca_scores", """with s as (select l_orderkey, l_partkey, l_linenumber, (l_quantity-(select avg(l_quantity) from lineitem))/(select stddev_pop(l_quantity) from lineitem) as a,
@@ -1434,8 +1501,8 @@ def _(t):
 
 @query("auto_eda")
 def _(t):
-    kinds = [(i, kind, str(args)) for i, (kind, args, _) in enumerate(charts.auto_eda(t.orders))]
-    return t.spark.createDataFrame(kinds, "chart int, kind string, arguments string")
+    report = pilot.Report([pilot.Step(f"{kind} {args}", "done", data) for kind, args, data in charts.auto_eda(t.orders)])
+    return report.table(t.spark)
 
 
 # -- checks, validation, choice ------------------------------------------------------------------
@@ -1484,24 +1551,44 @@ def _(t):
     return assumptions.check_sample_size(t.nation, ["n_regionkey"]).select("n_regionkey", "status", "statistic")
 
 
-@query("check_normality")
+NORMAL_STATUS = "case when p >= 0.05 then 'pass' else 'fail' end as status"
+
+
+@query("check_normality", f"with {shapiro_sql('select o_orderstatus, o_totalprice as y from orders', 'o_orderstatus')} select o_orderstatus, {NORMAL_STATUS}, w as statistic, p as p_value from sw", "statistic:6 p_value:5")
 def _(t):
-    return assumptions.check_normality(t.orders, "o_totalprice", by=["o_orderstatus"], key="o_orderkey")
+    return assumptions.check_normality(t.orders, "o_totalprice", by=["o_orderstatus"]).select("o_orderstatus", "status", "statistic", "p_value")
 
 
-@query("check_group_normality")
+@query(
+    "check_group_normality",
+    f"""with {shapiro_sql('select o_orderstatus, o_totalprice as y from orders', 'o_orderstatus')}
+    select 'Normality of ''o_totalprice'' in group ' || o_orderstatus as "check", {NORMAL_STATUS}, w as statistic from sw
+    union all select 'Central limit theorem', 'info', null from sw having min(n) >= 30""",
+    "statistic:6",
+)
 def _(t):
-    return assumptions.check_group_normality(t.orders, "o_totalprice", "o_orderstatus", key="o_orderkey")
+    return assumptions.check_group_normality(t.orders, "o_totalprice", "o_orderstatus").select("check", "status", "statistic")
 
 
-@query("check_residual_normality")
+@query(
+    "check_residual_normality",
+    f"""with f as (select regr_slope(o_totalprice, o_custkey) as b, regr_intercept(o_totalprice, o_custkey) as a from orders),
+    {shapiro_sql("select 1 as one, o_totalprice-a-b*o_custkey as y from orders, f", 'one')} select {NORMAL_STATUS}, w as statistic from sw""",
+    "statistic:6",
+)
 def _(t):
-    return assumptions.check_residual_normality(t.orders, "o_totalprice", "o_custkey", key="o_orderkey")
+    return assumptions.check_residual_normality(t.orders, "o_totalprice", "o_custkey").select("status", "statistic")
 
 
-@query("check_assumptions")
+@query(
+    "check_assumptions",
+    f"""with {shapiro_sql('select c_mktsegment, c_acctbal as y from customer', 'c_mktsegment')}, l as (with {moments_sql('customer', 'c_acctbal', 'c_mktsegment')} select w as statistic from lev)
+    select 'Independence of observations' as "check", null as statistic union all select 'Normality of ''c_acctbal'' in group ' || c_mktsegment, w from sw
+    union all select 'Central limit theorem', null from sw having min(n) >= 30 union all select 'Homogeneity of variance (Levene)', statistic from l""",
+    "statistic:6",
+)
 def _(t):
-    return assumptions.check_assumptions(t.customer, "oneway_anova", {"y": "c_acctbal", "x": "c_mktsegment"}, key="c_custkey")
+    return assumptions.check_assumptions(t.customer, "oneway_anova", {"y": "c_acctbal", "x": "c_mktsegment"}).select("check", "statistic")
 
 
 @query(
@@ -1548,7 +1635,7 @@ def _(t):
 
 @query("autopilot")
 def _(t):
-    return pilot.autopilot(t.customer, [{"y": "c_acctbal", "x": "c_mktsegment", "intent": "difference"}], charts=1).table(t.spark)
+    return pilot.autopilot(t.customer, [{"y": "c_acctbal", "x": "c_mktsegment", "intent": "difference"}]).table(t.spark)
 
 
 # -- sources, sinks and versions -------------------------------------------------------------------

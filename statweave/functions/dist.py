@@ -40,9 +40,31 @@ def norm_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def _erfc_fit() -> np.ndarray:
+    """Chebyshev coefficients of log(erfc(x) / t) + x² in t = 2 / (2 + x), for x from 0 to 26."""
+
+    def target(u):
+        x = 2.0 / _erfc_t(u) - 2.0
+        return np.array([math.log(math.erfc(v) * (1.0 + v / 2.0)) + v * v for v in x])
+
+    return np.polynomial.chebyshev.chebinterpolate(target, 40)
+
+
+def _erfc_t(u: np.ndarray) -> np.ndarray:
+    low = 1.0 / 14.0
+    return low + (u + 1.0) * (1.0 - low) / 2.0
+
+
+_ERFC = _erfc_fit()
+
+
 def _erfc_array(x: np.ndarray) -> np.ndarray:
-    flat = np.ravel(x)
-    return np.fromiter(map(math.erfc, flat.tolist()), float, flat.size).reshape(np.shape(x))
+    x = np.asarray(x, float)
+    size = np.minimum(np.abs(x), 26.0)
+    t = 2.0 / (2.0 + size)
+    upper = t * np.exp(np.polynomial.chebyshev.chebval((t - 1.0 / 14.0) * 28.0 / 13.0 - 1.0, _ERFC) - size * size)
+    upper = np.where(np.abs(x) > 26.0, 0.0, upper)
+    return np.where(np.isnan(x), np.nan, np.where(x >= 0, upper, 2.0 - upper))
 
 
 def norm_cdf_array(z: np.ndarray) -> np.ndarray:
@@ -61,7 +83,19 @@ def norm_logcdf_array(z: np.ndarray) -> np.ndarray:
 
 
 def norm_ppf_array(p: np.ndarray) -> np.ndarray:
-    return np.fromiter((norm_ppf(v) for v in np.asarray(p, float).tolist()), float, len(p))
+    """Normal quantiles: a start by the logarithm of the tail, then Newton steps on log Φ."""
+    p = np.asarray(p, float)
+    tail = np.minimum(p, 1.0 - p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        goal = np.log(tail)
+        far = np.sqrt(np.maximum(-2.0 * goal - np.log(np.maximum(-4.0 * math.pi * goal, 1.0)), 0.0))
+        z = -np.where(tail < 0.1, far, (0.5 - tail) * math.sqrt(2.0 * math.pi))
+        for _ in range(7):
+            value = norm_logcdf_array(z)
+            slope = np.exp(-0.5 * z * z - 0.5 * math.log(2.0 * math.pi) - value)
+            z = z - (value - goal) / slope
+        z = np.where(p < 0.5, z, -z)
+    return np.where((p > 0) & (p < 1), z, np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.nan)))
 
 
 # -- incomplete gamma and beta ---------------------------------------------
@@ -465,33 +499,82 @@ def _poly(coefficients: tuple, x: float) -> float:
     return sum(c * x**i for i, c in enumerate(coefficients))
 
 
-def shapiro(values: np.ndarray) -> tuple[float, float]:
-    """W and p of the Shapiro-Wilk test after Royston (1995), for 3 <= n <= 5000."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
+# Ranks from either end that are added one by one; further in, sums of quantiles are integrals with end corrections.
+_SW_TAIL = 2_000
+
+
+def _quantile(i: np.ndarray, n: float) -> np.ndarray:
+    return norm_ppf_array((i - 0.375) / (n + 0.25))
+
+
+def _density(z: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
+
+
+def shapiro_scores(n: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of the expected normal order statistics of the ranks before + 1 to before + count among n."""
+    n, before, count = (np.asarray(v, float) for v in (n, before, count))
+    out = np.zeros(len(n))
+    short = count <= 8
+    for j in range(1, 9):
+        some = short & (count >= j)
+        if some.any():
+            out[some] += _quantile(before[some] + j, n[some])
+    for k in np.flatnonzero(~short):
+        low, high = int(before[k]) + 1, int(before[k] + count[k])
+        inner = max(low, _SW_TAIL + 1), min(high, int(n[k]) - _SW_TAIL)
+        if inner[1] - inner[0] < 100:
+            out[k] = _quantile(np.arange(low, high + 1), n[k]).sum()
+            continue
+        ends = np.concatenate([np.arange(low, inner[0]), np.arange(inner[1] + 1, high + 1)])
+        z = _quantile(np.array([inner[0] - 0.5, inner[1] + 0.5]), n[k])
+        size, d = n[k] + 0.25, _density(z)
+        slope = 1.0 / (size * d)
+        out[k] = (_quantile(ends, n[k]).sum() if len(ends) else 0.0) + size * (d[0] - d[1]) - (slope[1] - slope[0]) / 24.0
+    return out
+
+
+def _score_square(n: int) -> float:
+    """Sum of the squares of all expected order statistics."""
+    if n <= 2 * _SW_TAIL + 200:
+        m = _quantile(np.arange(1, n + 1), n)
+        return float(m @ m)
+    m = _quantile(np.arange(1, _SW_TAIL + 1), n)
+    z = float(_quantile(np.array([_SW_TAIL + 0.5]), n)[0])
+    size, d = n + 0.25, float(_density(np.array([z]))[0])
+    middle = size * ((1.0 - 2.0 * norm_cdf(z)) + 2.0 * z * d)
+    return 2.0 * float(m @ m) + middle - 2.0 * (-2.0 * z / (size * d)) / 24.0
+
+
+def shapiro(n: int, score: float, squares: float, ends: tuple[float, float, float, float]) -> tuple[float, float]:
+    """W and p of the Shapiro-Wilk test after Royston (1995).
+
+    ``score`` is the sum of expected order statistic times value, ``squares`` the
+    sum of squared deviations, ``ends`` the two smallest and two largest values.
+    The published fit of p ends at n = 5000 and is carried on beyond.
+    """
     if n < 3:
         return math.nan, math.nan
-    if x[0] == x[-1]:
+    first, second, next_, last_ = ends
+    if first == last_ or not squares > 0:
         return 1.0, 1.0
-    m = norm_ppf_array((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    norm2 = float(m @ m)
-    weights = m / math.sqrt(norm2)
+    top = _quantile(np.array([n, n - 1]), n)
+    norm2 = _score_square(n)
     if n == 3:
-        weights = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        total = math.sqrt(0.5) * (last_ - first)
     else:
         u = 1.0 / math.sqrt(n)
-        last = weights[-1] + _poly(_SW_LAST, u)
+        last = top[0] / math.sqrt(norm2) + _poly(_SW_LAST, u)
+        inner = score - top[0] * (last_ - first)
         if n > 5:
-            nxt = weights[-2] + _poly(_SW_NEXT, u)
-            phi = (norm2 - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * nxt**2)
-            weights = m / math.sqrt(phi)
-            weights[-2], weights[1] = nxt, -nxt
+            nxt = top[1] / math.sqrt(norm2) + _poly(_SW_NEXT, u)
+            phi = (norm2 - 2 * top[0] ** 2 - 2 * top[1] ** 2) / (1 - 2 * last**2 - 2 * nxt**2)
+            total = (inner - top[1] * (next_ - second)) / math.sqrt(phi) + nxt * (next_ - second)
         else:
-            phi = (norm2 - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            weights = m / math.sqrt(phi)
-        weights[-1], weights[0] = last, -last
-    centred = x - x.mean()
-    w = min(1.0, float(weights @ centred) ** 2 / float(centred @ centred))
+            phi = (norm2 - 2 * top[0] ** 2) / (1 - 2 * last**2)
+            total = inner / math.sqrt(phi)
+        total += last * (last_ - first)
+    w = min(1.0, total**2 / squares)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1.0:

@@ -28,9 +28,9 @@ def result_column(fn: Callable[..., float]):
     return F.pandas_udf(run, T.DoubleType())
 
 
-def _array_column(fn: Callable[[np.ndarray], np.ndarray]):
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(fn(values.to_numpy(dtype=float)))
+def _array_column(fn: Callable[..., np.ndarray]):
+    def run(*cols: pd.Series) -> pd.Series:
+        return pd.Series(fn(*[values.to_numpy(dtype=float) for values in cols]))
 
     return F.pandas_udf(run, T.DoubleType())
 
@@ -51,3 +51,4 @@ t_sample_size = result_column(dist.t_sample_size)
 norm_cdf = _array_column(dist.norm_cdf_array)
 norm_logcdf = _array_column(dist.norm_logcdf_array)
 norm_ppf = _array_column(dist.norm_ppf_array)
+shapiro_scores = _array_column(dist.shapiro_scores)

@@ -17,7 +17,6 @@ from statweave.plans.tables import attach, cut, failing, null_safe
 from statweave.result import StatResult
 
 # Above this many cells only the non-empty ones are listed in the tables.
-MAX_LISTED_CELLS = 1_000_000
 
 
 def cells(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +90,7 @@ def _yates(n: Column) -> Column:
     return cut_gap * cut_gap * inverse
 
 
-def chi_square(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: str = "chi_square") -> StatResult:
+def chi_square(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: str = "chi_square", include_empty: bool = False) -> StatResult:
     """Independence test; with Yates' correction for a 2x2 table."""
     by = list(by)
     full, sums = contingency(df, x, y, by)
@@ -121,18 +120,16 @@ def chi_square(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: st
         ).alias("warnings"),
     )
     label = "Cramér's V" if method == "cramers_v" else "Chi-square test of independence"
-    return StatResult(method, label, stats, {"cells": cell_table(full, by)}, formula="χ² = Σ (O−E)² / E;  V = √(χ² / (n·min(r−1,c−1)))", by=by)
+    return StatResult(method, label, stats, {"cells": cell_table(full, by, include_empty)}, formula="χ² = Σ (O−E)² / E;  V = √(χ² / (n·min(r−1,c−1)))", by=by)
 
 
-def cell_table(full: DataFrame, by: list[str]) -> DataFrame:
-    """Observed and expected counts of all cells, empty ones included while the table is small."""
+def cell_table(full: DataFrame, by: list[str], include_empty: bool = False) -> DataFrame:
+    """Observed and expected counts of the cells that hold rows; with ``include_empty`` of every pair of levels."""
     listed = full.select(*by, "x", "y", "observed", "expected")
+    if not include_empty:
+        return listed
     rows = full.select(*by, "x", "row_total", "n").distinct()
     columns = full.groupBy(*by).agg(F.collect_set(F.struct("y", "column_total")).alias("_columns"))
-    shape = full.groupBy(*by).agg(F.approx_count_distinct("x").alias("r"), F.approx_count_distinct("y").alias("c"))
-    largest = shape.agg(F.max(F.col("r") * F.col("c"))).first()[0] or 0
-    if largest > MAX_LISTED_CELLS:
-        return listed
     grid = attach(rows, columns, by).select(*by, "x", "row_total", "n", F.inline("_columns"))
     grid = grid.select(*by, "x", "y", (F.col("row_total").cast("double") * F.col("column_total") / F.col("n")).alias("expected"))
     return null_safe(grid, full.select(*by, "x", "y", "observed"), [*by, "x", "y"], "left").select(

@@ -64,9 +64,9 @@ def group_compare(df: DataFrame, y: str, g: str) -> DataFrame:
 
 
 def explore(df: DataFrame) -> dict[str, DataFrame]:
-    """Profiles of the numeric columns, top levels of up to 12 categorical ones, and the Pearson matrix."""
+    """Profiles of the numeric columns, top levels of the categorical ones, and the Pearson matrix."""
     roles = column_roles(df)
-    numeric, labels = with_role(roles, "numeric"), with_role(roles, "categorical", "boolean")[:12]
+    numeric, labels = with_role(roles, "numeric"), with_role(roles, "categorical", "boolean")
     out = {}
     if numeric:
         out["descriptives"] = profile_columns(df, numeric)
@@ -81,8 +81,8 @@ def explore(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def numeric_snapshot(df: DataFrame, k: int = 5) -> DataFrame:
-    """Mean, median, standard deviation and gaps of the first numeric columns."""
+def numeric_snapshot(df: DataFrame, k: int | None = 5) -> DataFrame:
+    """Mean, median, standard deviation and gaps of the first k numeric columns, or of all."""
     columns = with_role(column_roles(df), "numeric")[:k]
     return profile_columns(df, columns).select("name", "mean", "median", F.col("std").alias("sd"), F.col("n_missing").alias("missing"))
 

@@ -4,43 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statweave.functions import dist
 from statweave.functions.columns import col, num, require, text_list
-from statweave.functions.tails import kolmogorov_sf, norm_cdf, norm_logcdf
-from statweave.operators.groups import Y, as_list, outcome, side_by_side
+from statweave.functions.tails import kolmogorov_sf, norm_cdf, norm_logcdf, shapiro_scores
+from statweave.operators.groups import Y, as_list, outcome
 from statweave.plans.ranks import cut_points, running
-from statweave.plans.sampling import draw_number, sample_per_segment
-from statweave.plans.tables import attach, failing
+from statweave.plans.tables import attach, failing, per_segment
 from statweave.result import StatResult
 
-SHAPIRO_ROWS = 5_000
+# The published fit of the Shapiro–Wilk p-value ends here.
+SHAPIRO_FIT = 5_000
 # Upper points of the Anderson–Darling statistic (mean and variance estimated).
 AD_LEVELS = (15.0, 10.0, 5.0, 2.5, 1.0)
 AD_POINTS = (0.576, 0.656, 0.787, 0.918, 1.092)
 
 
-def shapiro_table(values: DataFrame, by: Sequence[str], rows: int = SHAPIRO_ROWS, key: str | Sequence[str] | None = None, seed: int = 0) -> DataFrame:
-    """W, p and the full n per segment of ``_y``, tested on at most ``rows`` seeded rows each."""
+def shapiro_table(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """n, W and p per segment of ``_y``, from all rows.
+
+    The weights depend on rank and n alone.  Ties are collapsed, ranks come from
+    running counts, and a value of many rows takes the sum of their weights.
+    """
     by = list(by)
-    drawn = values.withColumn("_draw", draw_number(values, key, seed)).select(*[col(b) for b in by], Y, "_draw")
-    sizes = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    chosen = sample_per_segment(drawn, rows, by, "_draw")
-    schema = T.StructType([values.schema[b] for b in by] + [T.StructField("W", T.DoubleType()), T.StructField("p_value", T.DoubleType()), T.StructField("n_tested", T.LongType())])
+    data = values.select(*[col(b) for b in by], Y)
+    base = data.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), (F.var_samp(Y) * (F.count(F.lit(1)) - 1)).alias("_squares"), F.avg(Y).alias("_mean")
+    )
+    counts = data.groupBy(*by, Y).agg(F.count(F.lit(1)).alias("n"))
+    ran = attach(running(counts, Y, ["n"], by, cut_points(data, Y), unique=True), base, by)
+    # The values at the second and the last but one rank, counting ties.
+    second = F.min(F.when(F.col("n_before") + F.col("n") >= 2, col(Y)))
+    next_ = F.max(F.when(F.col("n_before") <= F.col("_n") - 2, col(Y)))
+    scored = ran.withColumn("_score", shapiro_scores(F.col("_n"), F.col("n_before"), F.col("n")) * (col(Y) - F.col("_mean")))
+    facts = scored.groupBy(*by).agg(
+        F.first("_n").alias("n"), F.sum("_score").alias("score"), F.first("_squares").alias("squares"),
+        F.min(Y).alias("first"), second.alias("second"), next_.alias("next"), F.max(Y).alias("last"),
+    )
 
-    def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        w, p = dist.shapiro(part[Y].to_numpy()) if len(part) >= 3 else (None, None)
-        return pd.DataFrame([[*key, w, p, len(part)]], columns=schema.names)
+    def finish(r):
+        n = int(r["n"] or 0)
+        w, p = dist.shapiro(n, r["score"], r["squares"], (r["first"], r["second"], r["next"], r["last"])) if n >= 3 else (None, None)
+        yield {"n": n, "W": w, "p_value": p}
 
-    if by:
-        tested = chosen.groupBy(*by).applyInPandas(test, schema)
-    else:
-        tested = chosen.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: test((), pdf), schema)
-    return side_by_side(sizes, tested, by) if by else side_by_side(tested, sizes, by)
+    return per_segment(facts, by, [("n", "long"), ("W", "double"), ("p_value", "double")], finish)
 
 
 def unpivot_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -50,23 +59,22 @@ def unpivot_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str], ke
     return df.select(*[col(b) for b in by], *[col(k) for k in keep], F.inline(pairs)).where(f"{Y} is not null")
 
 
-def shapiro_wilk(df: DataFrame, column: str | Sequence[str], by: Sequence[str] = (), key: str | None = None, rows: int = SHAPIRO_ROWS, seed: int = 0) -> StatResult:
-    """Shapiro–Wilk per column and segment; large ones on a seeded sample."""
+def shapiro_wilk(df: DataFrame, column: str | Sequence[str], by: Sequence[str] = ()) -> StatResult:
+    """Shapiro–Wilk per column and segment, over all rows."""
     by, columns = list(by), as_list(column)
-    values = unpivot_numbers(df, columns, by, [key] if key else [])
-    table = shapiro_table(values, [*by, "variable"], rows, key, seed)
+    values = unpivot_numbers(df, columns, by)
+    table = shapiro_table(values, [*by, "variable"])
     ok = F.col("n") >= 3
+    far = F.lit(f"the fit of p was published up to n = {SHAPIRO_FIT} and is extrapolated")
     stats = table.select(
         *by,
         "variable",
         failing([*by, *columns[1:]], ok, F.col("W"), "Needs at least 3 values.").alias("W"),
         F.when(ok, F.col("p_value")).alias("p_value"),
         "n",
-        "n_tested",
-        text_list(F.when(~ok, F.lit("fewer than 3 observations"))).alias("warnings"),
+        text_list(F.when(~ok, F.lit("fewer than 3 observations")), F.when(F.col("n") > SHAPIRO_FIT, far)).alias("warnings"),
     )
-    notes = [f"Columns with more than {rows} values are tested on a seeded sample of that size."]
-    return StatResult("shapiro_wilk", "Shapiro–Wilk normality test", stats, notes=notes, formula="W = (∑ a_i x_(i))² / ∑ (x_i − x̄)²", by=by)
+    return StatResult("shapiro_wilk", "Shapiro–Wilk normality test", stats, formula="W = (∑ a_i x_(i))² / ∑ (x_i − x̄)²", by=by)
 
 
 def _standardised(df: DataFrame, column: str, by: list[str]) -> tuple[DataFrame, DataFrame]:

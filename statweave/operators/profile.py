@@ -43,14 +43,16 @@ def _dtype(df: DataFrame, name: str) -> T.DataType:
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
     """Per column: role, n, n_missing and distinct count (exact when few, else a sketch).
 
-    One aggregate over all columns, one more over those with few values, and a
-    look at the first 40 texts of every text column.
+    One aggregate over all columns, and one more over those with few values.
     """
     columns = list(columns or data_columns(df))
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
         aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}"), F.approx_count_distinct(known(df, c), 0.05).alias(f"d{i}")]
+        if isinstance(_dtype(df, c), T.StringType):
+            aggs.append(F.avg(F.when(col(c).isNotNull(), to_timestamp_any(df, c).isNotNull().cast("double"))).alias(f"t{i}"))
     row = df.agg(*aggs).first()
+    dates = {c: row[f"t{i}"] or 0.0 for i, c in enumerate(columns) if isinstance(_dtype(df, c), T.StringType)}
     facts = {c: {"n": row["n"], "n_missing": row[f"m{i}"], "distinct": row[f"d{i}"], "exact": False} for i, c in enumerate(columns)}
     few = [c for c in columns if facts[c]["distinct"] <= FEW_VALUES]
     sets = []
@@ -67,14 +69,6 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
         row = df.agg(*sets).first()
         for i, c in enumerate(few):
             facts[c].update(distinct=row[f"d{i}"], exact=True, binary=bool(row[f"b{i}"]))
-    texts = [c for c in columns if isinstance(_dtype(df, c), T.StringType)]
-    heads = [
-        df.where(col(c).isNotNull()).select(F.lit(c).alias("c"), to_timestamp_any(df, c).cast("string").alias("t")).limit(40) for c in texts
-    ]
-    dates = {}
-    if heads:
-        seen = reduce(DataFrame.unionAll, heads).groupBy("c").agg(F.avg(F.col("t").isNotNull().cast("double")).alias("share"))
-        dates = {r["c"]: r["share"] for r in seen.collect()}
     for c in columns:
         facts[c]["role"] = _role(_dtype(df, c), facts[c], dates.get(c, 0.0))
     return facts
@@ -137,11 +131,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {c: counts.get(c, 0) for c in columns}
 
 
-def top_values(df: DataFrame, columns: Sequence[str], k: int = 12) -> DataFrame:
-    """Rows (variable, rank, value, count) of the k most frequent values per column."""
+def top_values(df: DataFrame, columns: Sequence[str], k: int | None = 12) -> DataFrame:
+    """Rows (variable, rank, value, count) of the k most frequent values per column, or of all."""
     counts = long_values(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("count"))
     order = Window.partitionBy("variable").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("variable", "rank", "value", "count")
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("variable", "rank", "value", "count")
 
 
 def exact_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
@@ -252,13 +247,13 @@ def duplicate_count(df: DataFrame) -> int:
 
 
 def mixed_type_columns(df: DataFrame) -> list[str]:
-    """Text columns whose first 200 known values are partly (15–85%) numeric."""
+    """Text columns whose known values are partly (15–85%) numeric."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    heads = [df.where(col(c).isNotNull()).select(F.lit(c).alias("c"), num(df, c).isNotNull().cast("double").alias("v")).limit(200) for c in texts]
-    if not heads:
+    if not texts:
         return []
-    seen = reduce(DataFrame.unionAll, heads).groupBy("c").agg(F.count("v").alias("n"), F.avg("v").alias("share"))
-    return [r["c"] for r in seen.where("n > 10 and share > 0.15 and share < 0.85").collect()]
+    number = [F.when(col(c).isNotNull(), num(df, c).isNotNull().cast("double")) for c in texts]
+    row = df.agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("share")).alias(f"c{i}") for i, v in enumerate(number)]).first()
+    return [c for i, c in enumerate(texts) if row[f"c{i}"]["n"] > 10 and 0.15 < row[f"c{i}"]["share"] < 0.85]
 
 
 def score(miss_share: float, duplicates: int, n_rows: int, n_constant: int, n_mixed: int) -> float:

@@ -189,10 +189,10 @@ def similar(a: Column, b: Column) -> Column:
 
 
 def _near_labels(df: DataFrame, labels: list[str]) -> dict[str, list[tuple[str, str]]]:
-    """Similar pairs among the 40 most frequent labels of each column."""
+    """Similar pairs of labels of each column; a column with this role has few."""
     if not labels:
         return {}
-    top = top_values(df, labels, 40)
+    top = top_values(df, labels, None)
     first = top.select("variable", F.col("rank").alias("r1"), F.col("value").alias("a"))
     second = top.select("variable", F.col("rank").alias("r2"), F.col("value").alias("b"))
     pairs = first.join(second, "variable").where((F.col("r1") < F.col("r2")) & (F.lower("a") != F.lower("b")) & similar(F.col("a"), F.col("b")))
@@ -212,8 +212,9 @@ def quality_summary(issues: DataFrame) -> DataFrame:
     )
 
 
-def outlier_listing(issues: DataFrame, k: int = 12) -> DataFrame:
-    return issues.where(F.col("kind").isin("outliers", "extreme_values")).orderBy("seq").limit(k)
+def outlier_listing(issues: DataFrame, k: int | None = 12) -> DataFrame:
+    found = issues.where(F.col("kind").isin("outliers", "extreme_values")).orderBy("seq")
+    return found if k is None else found.limit(k)
 
 
 def propose_cleaning(issues: DataFrame) -> DataFrame:

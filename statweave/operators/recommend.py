@@ -1,15 +1,21 @@
-"""Choosing a method for pairs of columns from what the data look like."""
+"""Choosing a method for pairs of columns from a table of rules.
+
+A pair is described by facts: the kinds of its columns, what the caller wants,
+and, for the kinds that need them, measures of the data from one aggregate.  The
+first rule whose conditions all hold names the method.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.functions.columns import col, known, norm_label, num, raw_label
+from statweave.functions.columns import known, norm_label, num, raw_label
 from statweave.operators.association import cells
 from statweave.operators.groups import G, Y, grouped
 from statweave.operators.normality import shapiro_table
@@ -17,129 +23,156 @@ from statweave.operators.profile import column_roles, with_role
 
 EVENT_NAME = r"(?i)event|status|censor|died|death"
 INTENTS = ("explore", "survival", "trend", "structure", "relationship", "difference", "predict")
-SCREEN_ROWS = 2_000
-LABEL_ROLES = ("categorical", "boolean")
+KINDS = {"numeric": "number", "categorical": "label", "boolean": "label", "datetime": "time"}
 
 SCHEMA = (
     "y string, x string, intent string, method string, params string, why array<string>, alternatives array<string>, warnings array<string>"
 )
 
 
-def recommend_tests(df: DataFrame, pairs: Sequence[dict], paired: bool = False, roles: dict[str, str] | None = None, key: str | None = None) -> DataFrame:
+@dataclass
+class Rule:
+    """A method, the facts it asks for, its parameters by fact or name, and what to say."""
+
+    method: str
+    when: dict
+    params: Sequence[str]
+    why: str
+    alternatives: Sequence[str] = ()
+    warning: str | None = None
+
+
+@dataclass
+class Pair:
+    y: str | None
+    x: str | None
+    facts: dict = field(default_factory=dict)
+    why: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+
+
+# Conditions are on facts: a value, or a set of values. The order decides.
+RULES = [
+    Rule("logrank", {"intent": "survival", "x": "label"}, ("duration", "event", "group"), "The question is when an event happens, by group."),
+    Rule("kaplan_meier", {"intent": "survival"}, ("duration", "event", "group"), "The question is when an event happens."),
+    Rule("trend_analysis", {"intent": "trend", "y": "number"}, ("y", "time"), "The question is change over time.", ("arima", "seasonality")),
+    Rule("pca", {"intent": "structure"}, ("columns",), "The question is structure among columns.", ("kmeans",)),
+    Rule("fisher_exact", {"y": "label", "x": "label", "square": True, "sparse": True}, ("x", "y"), "A 2×2 table where some cell expects under 5 rows."),
+    Rule("chi_square", {"y": "label", "x": "label", "square": True}, ("x", "y"), "A 2×2 table where all cells expect 5 rows or more.", ("fisher_exact",)),
+    Rule("chi_square", {"y": "label", "x": "label"}, ("x", "y"), "A table with more than two levels on a side.", ("cramers_v",)),
+    Rule("paired_t", {"y": "number", "x": "label", "groups": 2, "paired": True}, ("y", "x"), "Two measurements belong to each subject.", ("wilcoxon",)),
+    Rule("descriptive", {"y": "number", "x": "label", "groups": {0, 1}}, ("columns_y",), "There is one group.", warning="One group has nothing to be compared with."),
+    Rule("independent_t", {"y": "number", "x": "label", "groups": 2, "normal": True}, ("y", "x", "levels"), "Two groups, none far from normal or all large.", ("mannwhitney",)),
+    Rule("mannwhitney", {"y": "number", "x": "label", "groups": 2}, ("y", "x", "levels"), "Two groups, a small one far from normal.", ("independent_t",)),
+    Rule("oneway_anova", {"y": "number", "x": "label", "normal": True}, ("y", "x", "levels"), "Several groups, none far from normal or all large.", ("kruskal", "tukey_hsd")),
+    Rule("kruskal", {"y": "number", "x": "label"}, ("y", "x", "levels"), "Several groups, a small one far from normal.", ("oneway_anova",)),
+    Rule("paired_t", {"y": "number", "x": "number", "intent": "difference", "paired": True}, ("y", "x"), "Two measurements in each row are compared.", ("wilcoxon",)),
+    Rule("linear_regression", {"y": "number", "x": "number", "intent": "predict"}, ("y", "predictors"), "One number is to be predicted from another.", ("spearman",)),
+    Rule("pearson", {"y": "number", "x": "number", "normal": True}, ("x", "y"), "Two numbers, neither far from normal.", ("spearman", "linear_regression")),
+    Rule("spearman", {"y": "number", "x": "number"}, ("x", "y"), "Two numbers, one of them far from normal, so ranks serve.", ("pearson",)),
+    Rule("descriptive", {}, ("columns",), "No test is made for these columns.", warning="Name an outcome and another column."),
+]
+
+
+def recommend_tests(df: DataFrame, pairs: Sequence[dict], paired: bool = False, roles: dict[str, str] | None = None) -> DataFrame:
     """One recommendation per pair ``{"y", "x", "intent", "paired", "levels"}``; missing y or x get defaults."""
     roles = roles or column_roles(df)
     rows = []
-    for pair in pairs:
-        y, x = _defaults(roles, pair.get("y"), pair.get("x"), list(df.columns))
-        intent = pair.get("intent") or "explore"
+    for asked in pairs:
+        intent = asked.get("intent") or "explore"
         if intent not in INTENTS:
             raise ValueError(f"Unknown intent '{intent}'.")
-        got = _decide(df, roles, intent, y, x, bool(pair.get("paired", paired)), pair.get("levels"), key)
-        rows.append((y, x, intent, got["method"], json.dumps(got["params"]), got["why"], got["alternatives"], got["warnings"]))
+        pair = _described(df, roles, asked, intent, bool(asked.get("paired", paired)))
+        rule = next(r for r in RULES if all(_holds(pair.facts.get(k), v) for k, v in r.when.items()))
+        values = _values(roles, pair, asked)
+        params = {k: v for k, v in (values[p] for p in rule.params) if k != "levels" or v}
+        warnings = [*pair.warnings, *([rule.warning] if rule.warning else [])]
+        rows.append((pair.y, pair.x, intent, rule.method, json.dumps(params), [*pair.why, rule.why], list(rule.alternatives), warnings))
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def _defaults(roles: dict[str, str], y: str | None, x: str | None, columns: list[str]) -> tuple[str | None, str | None]:
-    numeric = with_role(roles, "numeric")
-    if not y:
-        y = numeric[0] if numeric else (columns[0] if columns else None)
-    if not x:
-        labels = [c for c in with_role(roles, *LABEL_ROLES) if c != y]
-        others = [c for c in numeric if c != y]
-        x = labels[0] if labels else others[0] if others else None
-    return y, x
-
-
-def _answer(method: str, params: dict, why: list[str], alternatives: Sequence[str] = (), warnings: Sequence[str] = ()) -> dict:
-    return {"method": method, "params": params, "why": list(why), "alternatives": list(alternatives), "warnings": list(warnings)}
-
-
-def _decide(df: DataFrame, roles: dict[str, str], intent: str, y, x, paired: bool, levels, key) -> dict:
-    ry, rx = roles.get(y), roles.get(x)
-    labelled = rx in LABEL_ROLES
-    if intent == "survival":
-        event = next((c for c, r in roles.items() if r in ("boolean", "numeric") and re.search(EVENT_NAME, c)), None)
-        params = {"duration": y if ry == "numeric" else None, "event": event, "group": x if labelled else None}
-        return _answer("logrank" if labelled else "kaplan_meier", params, ["Time to an event is asked for."])
-    if intent == "trend" and ry == "numeric":
-        return _answer("trend_analysis", {"y": y, "time": x if rx == "datetime" else None}, ["Change over time is asked for."], ["arima", "seasonality"])
-    if intent == "structure":
-        return _answer("pca", {"columns": with_role(roles, "numeric")}, ["Structure among the columns is asked for."], ["kmeans"])
-    if ry in LABEL_ROLES and labelled:
-        return _two_labels(df, y, x)
-    if ry == "numeric" and labelled:
-        return _number_by_label(df, y, x, paired, levels, key)
-    if ry == "numeric" and rx == "numeric":
-        return _two_numbers(df, intent, y, x, paired, key)
-    return _answer(
-        "descriptive",
-        {"columns": with_role(roles, "numeric")[:8]},
-        ["No test fits these columns."],
-        warnings=["Name the outcome and the other column."],
-    )
-
-
-def _two_labels(df: DataFrame, y: str, x: str) -> dict:
-    table = cells(df, y, x)
-    facts = table.agg(
-        F.count_distinct("x").alias("r"), F.count_distinct("y").alias("c"), F.sum("observed").alias("n"),
-    ).first()
-    why = ["Both columns hold labels."]
-    if (facts["r"], facts["c"]) == (2, 2):
-        rows = table.groupBy("x").agg(F.sum("observed").alias("t")).agg(F.min("t")).first()[0]
-        columns = table.groupBy("y").agg(F.sum("observed").alias("t")).agg(F.min("t")).first()[0]
-        # The smallest expected count belongs to the two smallest margins.
-        if rows * columns / facts["n"] >= 5:
-            return _answer("chi_square", {"x": x, "y": y}, [*why, "A 2×2 table with every expected count at 5 or more."], ["fisher_exact"])
-        return _answer("fisher_exact", {"x": x, "y": y}, [*why, "A 2×2 table with an expected count below 5."])
-    return _answer("chi_square", {"x": x, "y": y}, [*why, "More than two levels on a side."], ["cramers_v"])
-
-
-def _normalish(n: int, p: float | None) -> bool:
-    """The screen of one sample: too small to tell, not rejected, or large."""
-    return n < 8 or n >= 200 or (p is not None and p >= 0.05)
-
-
-def _number_by_label(df: DataFrame, y: str, x: str, paired: bool, levels, key) -> dict:
-    labels = df.select(raw_label(known(df, x)).alias("raw"), norm_label(known(df, x)).alias("norm")).where("raw is not null")
-    seen = labels.agg(F.count_distinct("raw").alias("raw"), F.count_distinct("norm").alias("norm")).first()
-    count = 2 if levels and len(levels) >= 2 else seen["norm"]
-    warnings = []
-    if seen["raw"] != count:
-        warnings.append(f"'{x}' has inconsistent labels: some differ only by space or case.")
-    why = [f"'{y}' is numeric.", f"'{x}' has {count} group(s)."]
-    params = {"y": y, "x": x, **({"levels": list(levels)[:2]} if levels and len(levels) >= 2 else {})}
-    if paired and count == 2:
-        return _answer("paired_t", {"y": y, "x": x}, [*why, "The measurements are paired."], ["wilcoxon"], warnings)
-    rows = grouped(df, y, x, [], params.get("levels"))
-    if count <= 1:
-        return _answer("descriptive", {"columns": [y]}, why, warnings=[*warnings, "There is nothing to compare: one group."])
-    smallest = rows.groupBy(G).count().agg(F.min("count")).first()[0] or 0
-    normal = smallest >= 30
-    if normal:
-        why.append("Every group has at least 30 rows.")
-    else:
-        screen = shapiro_table(rows, [G], SCREEN_ROWS)
-        bad = screen.where(~((F.col("n") < 8) | (F.col("n") >= 200) | F.coalesce(F.col("p_value") >= 0.05, F.lit(False))))
-        normal = bad.isEmpty()
-        why.append("No group departs from the normal shape." if normal else "A small group departs from the normal shape.")
-    if count == 2:
-        method, other = ("independent_t", ["mannwhitney"]) if normal else ("mannwhitney", ["independent_t"])
-    else:
-        method, other = ("oneway_anova", ["kruskal", "tukey_hsd"]) if normal else ("kruskal", ["oneway_anova"])
-    return _answer(method, params, why, other, warnings)
-
-
-def _two_numbers(df: DataFrame, intent: str, y: str, x: str, paired: bool, key) -> dict:
-    why = [f"Both '{y}' and '{x}' are numeric."]
-    if intent == "difference" and paired:
-        return _answer("paired_t", {"y": y, "x": x}, [*why, "Row-wise differences are compared."], ["wilcoxon"])
-    if intent == "predict":
-        return _answer("linear_regression", {"y": y, "x": [x]}, [*why, "A prediction is asked for."], ["spearman"])
-    keep = [col(key).alias("_key")] if key else []
-    both = df.select(num(df, y).alias("_a"), num(df, x).alias("_b"), *keep).where("_a is not null and _b is not null")
-    long = both.select(*(["_key"] if key else []), F.inline(F.array(F.struct(F.lit("y").alias("_s"), F.col("_a").alias(Y)), F.struct(F.lit("x").alias("_s"), F.col("_b").alias(Y)))))
-    screen = shapiro_table(long, ["_s"], SCREEN_ROWS, "_key" if key else None).collect()
-    if screen and all(_normalish(r["n"], r["p_value"]) for r in screen):
-        return _answer("pearson", {"x": x, "y": y}, [*why, "Both look normal enough for a linear measure."], ["spearman", "linear_regression"])
-    return _answer("spearman", {"x": x, "y": y}, [*why, "At least one is far from normal, so ranks are used."], ["pearson"])
+def _holds(fact, wanted) -> bool:
+    return fact in wanted if isinstance(wanted, set) else fact == wanted
+
+
+def _values(roles: dict[str, str], pair: Pair, asked: dict) -> dict[str, tuple]:
+    """Parameter name and value of everything a rule may ask for."""
+    event = next((c for c, r in roles.items() if r in ("boolean", "numeric") and re.search(EVENT_NAME, c)), None)
+    facts = pair.facts
+    return {
+        "y": ("y", pair.y),
+        "x": ("x", pair.x),
+        "predictors": ("x", [pair.x]),
+        "columns": ("columns", with_role(roles, "numeric")),
+        "columns_y": ("columns", [pair.y]),
+        "levels": ("levels", _two(asked)),
+        "duration": ("duration", pair.y if facts["y"] == "number" else None),
+        "event": ("event", event),
+        "group": ("group", pair.x if facts["x"] == "label" else None),
+        "time": ("time", pair.x if facts["x"] == "time" else None),
+    }
+
+
+def _two(asked: dict) -> list | None:
+    levels = asked.get("levels")
+    return list(levels)[:2] if levels and len(levels) >= 2 else None
+
+
+def _described(df: DataFrame, roles: dict[str, str], asked: dict, intent: str, paired: bool) -> Pair:
+    kinds = {c: KINDS.get(r) for c, r in roles.items()}
+
+    def first(*wanted: str, but: str | None = None) -> str | None:
+        return next((c for kind in wanted for c, k in kinds.items() if k == kind and c != but), None)
+
+    y = asked.get("y") or first("number") or next(iter(df.columns), None)
+    x = asked.get("x") or first("label", "number", but=y)
+    pair = Pair(y, x, {"intent": intent, "paired": paired, "y": kinds.get(y), "x": kinds.get(x)})
+    measure = MEASURES.get((pair.facts["y"], pair.facts["x"]))
+    if measure and intent not in ("survival", "structure", "trend"):
+        measure(df, pair, asked)
+    return pair
+
+
+def _tables(df: DataFrame, pair: Pair, asked: dict) -> None:
+    """Levels on both sides, and the smallest expected count, from the margins in one aggregate."""
+    table = cells(df, pair.y, pair.x)
+    margins = table.groupBy("x").agg(F.sum("observed").alias("t")).select(F.lit("x").alias("side"), "t")
+    margins = margins.unionByName(table.groupBy("y").agg(F.sum("observed").alias("t")).select(F.lit("y").alias("side"), "t"))
+    sides = {r["side"]: r for r in margins.groupBy("side").agg(F.count("*").alias("k"), F.min("t").alias("least"), F.sum("t").alias("n")).collect()}
+    k = [sides[s]["k"] if s in sides else 0 for s in "xy"]
+    square = k == [2, 2]
+    # The two smallest margins meet in the cell that expects least.
+    pair.facts |= {"square": square, "sparse": square and sides["x"]["least"] * sides["y"]["least"] / sides["x"]["n"] < 5}
+    pair.why.append(f"'{pair.y}' and '{pair.x}' hold labels ({k[1]} and {k[0]}).")
+
+
+def _shape(table: DataFrame, by: str) -> dict:
+    """Whether all samples pass for normal: too few to tell, 200 or more, or not rejected; and how many rows the smallest has."""
+    passes = (F.col("n") < 8) | (F.col("n") >= 200) | F.coalesce(F.col("p_value") >= 0.05, F.lit(False))
+    return shapiro_table(table, [by]).agg(F.min(passes).alias("normal"), F.min("n").alias("least")).first().asDict()
+
+
+def _groups(df: DataFrame, pair: Pair, asked: dict) -> None:
+    label = known(df, pair.x)
+    seen = df.select(raw_label(label).alias("raw"), norm_label(label).alias("norm")).where("raw is not null")
+    counts = seen.agg(F.count_distinct("raw").alias("raw"), F.count_distinct("norm").alias("norm")).first()
+    groups = 2 if _two(asked) else counts["norm"]
+    pair.why.append(f"'{pair.y}' is a number and '{pair.x}' makes {groups} groups.")
+    if counts["raw"] != groups:
+        pair.warnings.append(f"Labels of '{pair.x}' are inconsistent: they differ by blanks or case alone.")
+    pair.facts["groups"] = groups
+    if groups >= 2 and not (groups == 2 and pair.facts["paired"]):
+        shape = _shape(grouped(df, pair.y, pair.x, [], _two(asked)), G)
+        pair.facts["normal"] = bool(shape["normal"]) or (shape["least"] or 0) >= 30
+
+
+def _numbers(df: DataFrame, pair: Pair, asked: dict) -> None:
+    pair.why.append(f"'{pair.y}' and '{pair.x}' are numbers.")
+    if pair.facts["intent"] == "predict" or pair.facts["intent"] == "difference" and pair.facts["paired"]:
+        return
+    both = df.select(num(df, pair.y).alias("a"), num(df, pair.x).alias("b")).where("a is not null and b is not null")
+    sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias(Y)) for c in "ab"])
+    pair.facts["normal"] = bool(_shape(both.select(F.inline(sides)), "_side")["normal"])
+
+
+MEASURES: dict[tuple, Callable[[DataFrame, Pair, dict], None]] = {("label", "label"): _tables, ("number", "label"): _groups, ("number", "number"): _numbers}

@@ -287,7 +287,6 @@ def polynomial_regression(df: DataFrame, y: str, x: str, degree: int = 2, order_
 
 MAX_STEPS = 35
 TOLERANCE = 1e-9
-WARM_ROWS = 2_000_000
 
 
 class Family:
@@ -359,10 +358,6 @@ def _newton(rows: DataFrame, names: list[str], family: Family, by: list[str]) ->
     total = state.agg(F.sum("_n")).first()[0] or 0
     if not total:
         raise ValueError("Not enough complete rows.")
-    if total > 4 * WARM_ROWS and not by:
-        # Early steps on a sample; the last ones, and the result, use every row.
-        state = _steps(rows.sample(WARM_ROWS / total, 7), names, family, by, state)
-        state = cut(state.withColumns({"_done": F.lit(False), "_steps": F.lit(0)}))
     return _steps(rows, names, family, by, state)
 
 

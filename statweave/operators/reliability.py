@@ -55,7 +55,7 @@ def cronbach_alpha(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         .when(a < 0.7, "questionable")
         .when(a < 0.8, "acceptable")
         .when(a < 0.9, "good")
-        .otherwise("excellent (or possibly redundant items)")
+        .otherwise("excellent, or items repeat each other")
     )
     stats = per_segment(table, by, [("alpha", "double"), ("n_items", "long"), ("n", "long")], alpha_row)
     stats = stats.withColumns({"label": band, "warnings": text_list()})

@@ -100,12 +100,8 @@ def _clean(value, integral: bool):
 
 
 def centre(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    """A rough centre per column from the first rows.
-
-    Cross products are summed around it so that they do not cancel; any value
-    inside the data's range serves, so no full pass is spent on exact means.
-    """
-    row = df.select(*[col(c) for c in cols]).limit(1000).agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    """The mean of each column; cross products are summed around it so that they do not cancel."""
+    row = df.agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return [0.0 if v is None or v != v or abs(v) == float("inf") else float(v) for v in row]
 
 

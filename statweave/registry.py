@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import inspect
-import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -173,14 +172,6 @@ def run_method(df: DataFrame, method: str, params: dict | None = None, by: Seque
     return entry.fn(df, **args)
 
 
-def statistics_json(result: StatResult, limit: int = 1000) -> str:
-    """The statistics of up to ``limit`` segments as JSON, in segment order."""
-    rows = result.statistics
-    if result.by:
-        rows = rows.orderBy(*result.by)
-    return json.dumps([json.loads(r[0]) for r in rows.limit(limit).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()])
-
-
 @dataclass
 class Analysis:
     result: StatResult
@@ -203,7 +194,6 @@ def analyze(df: DataFrame, method: str, params: dict | None = None, by: Sequence
     validation = validation_summary(results, flags, by)
     run_id = None
     if store is not None:
-        as_json = lambda d: json.dumps([json.loads(r[0]) for r in d.limit(1000).select(F.to_json(F.struct("*"))).collect()])
         current = store.current(dataset) if version is None else version
-        run_id = store.record_run(dataset, current, method, params or {}, by, statistics_json(result), as_json(checks), as_json(validation))
+        run_id = store.record_run(dataset, current, method, params or {}, by, result.statistics, checks, validation)
     return Analysis(result, checks, flags, validation, run_id)

@@ -93,8 +93,10 @@ def flatten(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records, an object holding them under ``data``, a single object, or JSON lines."""
-    head = [r[0] for r in spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(2).collect()]
-    lines = len(head) == 2 and all(h.strip().startswith("{") and h.strip().endswith("}") for h in head)
+    text = F.trim("value")
+    whole = text.startswith("{") & text.endswith("}")
+    seen = spark.read.text(path).where(F.length(text) > 0).agg(F.count("*").alias("n"), F.min(whole).alias("records")).first()
+    lines = seen["n"] > 1 and bool(seen["records"])
     df = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     if lines:
         return df
@@ -102,7 +104,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         if isinstance(df.schema["data"].dataType.elementType, T.StructType):
             return df.select(F.inline("data"))
         return df.select(F.explode("data").alias("0"))
-    return flatten(df) if head and head[0].lstrip().startswith("{") else df
+    return flatten(df) if _is_object(spark, path) else df
+
+
+def _is_object(spark: SparkSession, path: str) -> bool:
+    """Whether the whole text begins with a brace rather than a bracket."""
+    first = spark.read.option("wholetext", True).text(path).select(F.substring(F.ltrim(F.col("value")), 1, 1).alias("c"))
+    return first.agg(F.min(F.col("c") == "{")).first()[0] or False
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -126,14 +134,14 @@ def read_sql(
     if partition_column and bounds and partitions:
         source = f"({query}) q" if query else table
         if not source:
-            raise ValueError("Provide a SQL query or table name")
+            raise ValueError("read_sql needs a query or table.")
         reader = reader.option("dbtable", source).option("partitionColumn", partition_column).option("numPartitions", partitions)
         return reader.option("lowerBound", bounds[0]).option("upperBound", bounds[1]).load()
     if query:
         return reader.option("query", query).load()
     if table:
         return reader.option("dbtable", table).load()
-    raise ValueError("Provide a SQL query or table name")
+    raise ValueError("read_sql needs a query or table.")
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -171,16 +179,14 @@ def merge_frames(dfs: Sequence[DataFrame], how: str = "concat") -> DataFrame:
 
 
 def infer_datetime(df: DataFrame) -> DataFrame:
-    """Turn text columns of ISO dates into timestamps: over 70% of the first 30 values look like dates and over 70% of all rows parse."""
+    """Turn text columns of ISO dates into timestamps: over 70% of the values look like dates and over 70% of all rows parse."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    heads = [df.where(col(c).isNotNull()).select(F.lit(c).alias("c"), col(c).rlike(ISO_PREFIX).cast("double").alias("v")).limit(30) for c in texts]
-    looks = [r["c"] for r in reduce(DataFrame.unionAll, heads).groupBy("c").agg(F.avg("v").alias("s")).where("s > 0.7").collect()]
-    if not looks:
-        return df
-    row = df.agg(*[F.avg(to_timestamp_any(df, c).isNotNull().cast("double")).alias(f"s{i}") for i, c in enumerate(looks)]).first()
-    return df.withColumns({c: to_timestamp_any(df, c) for i, c in enumerate(looks) if (row[f"s{i}"] or 0) > 0.7})
+    shares = [F.avg(col(c).rlike(ISO_PREFIX).cast("double")).alias(f"looks{i}") for i, c in enumerate(texts)]
+    shares += [F.avg(to_timestamp_any(df, c).isNotNull().cast("double")).alias(f"parses{i}") for i, c in enumerate(texts)]
+    row = df.agg(*shares).first()
+    return df.withColumns({c: to_timestamp_any(df, c) for i, c in enumerate(texts) if min(row[f"looks{i}"] or 0, row[f"parses{i}"] or 0) > 0.7})
 
 
 def with_row_id(df: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.operators.cleaning import apply_operations
 from statweave.operators.profile import quality_score
+from statweave.plans.tables import null_safe
 from statweave.result import StatResult
 from statweave.sources.files import infer_datetime, with_row_id
 
@@ -66,7 +67,7 @@ class VersionStore:
     def _last(self, name: str):
         row = self.log(name).orderBy(F.desc("seq")).first()
         if row is None:
-            raise FileNotFoundError(f"Dataset '{name}' does not exist")
+            raise FileNotFoundError(f"There is no dataset '{name}'")
         return row
 
     def _record(self, name: str, events: Sequence[dict]) -> None:
@@ -104,7 +105,7 @@ class VersionStore:
         version = self.current(name) if version is None else version
         path = self._path(name, "data", f"v={version}")
         if not self._exists(path):
-            raise FileNotFoundError("Dataset version file is missing")
+            raise FileNotFoundError(f"Version {version} of '{name}' has no file")
         return self.spark.read.parquet(path)
 
     def clean(self, name: str, operations: Sequence[dict]) -> tuple[int, list[str]]:
@@ -119,10 +120,13 @@ class VersionStore:
         return version
 
     def undo(self, name: str) -> int:
+        """Go back to the version that the current one was made from."""
         current = self.current(name)
-        if current <= 1:
-            raise ValueError("Nothing to undo.")
-        return self._move(name, "undo", current - 1)
+        made = self.log(name).where((F.col("version_to") == current) & F.col("event").isin("ingest", "write", "clean"))
+        parent = made.orderBy("seq").first()["version_from"]
+        if parent is None:
+            raise ValueError(f"Version {current} is the first of '{name}'.")
+        return self._move(name, "undo", parent)
 
     def restore(self, name: str, version: int = 1) -> int:
         return self._move(name, "restore", int(version))
@@ -136,46 +140,61 @@ class VersionStore:
     def drop(self, name: str) -> None:
         """Remove every version and the log of a dataset."""
         if not self._exists(self._path(name)):
-            raise FileNotFoundError(f"Dataset '{name}' does not exist")
+            raise FileNotFoundError(f"There is no dataset '{name}'")
         fs, p = self._files(self._path(name))
         fs.delete(p, True)
 
     # -- runs --
 
-    def record_run(self, dataset: str, version: int, method: str, params: dict, by: Sequence[str], statistics: str, checks: str, validation: str) -> str:
+    def record_run(self, dataset: str, version: int, method: str, params: dict, by: Sequence[str], statistics: DataFrame, checks: DataFrame, validation: DataFrame) -> str:
+        """Keep a run: its row in the list, and its three tables whole, as Parquet in the run's folder."""
         runs = self._read(self._path("_runs"), RUN_SCHEMA)
         seq = (runs.agg(F.max("seq")).first()[0] or 0) + 1
         run_id = uuid.uuid4().hex
-        self._append(
-            self._path("_runs"),
-            RUN_SCHEMA,
-            [(seq, run_id, dataset, version, method, json.dumps(params, default=str), json.dumps(list(by)), statistics, checks, validation, _now())],
-        )
+        paths = []
+        for part, table in (("statistics", statistics), ("checks", checks), ("validation", validation)):
+            paths.append(self._path("_run_tables", run_id, part))
+            table.write.parquet(paths[-1])
+        self._append(self._path("_runs"), RUN_SCHEMA, [(seq, run_id, dataset, version, method, json.dumps(params, default=str), json.dumps(list(by)), *paths, _now())])
         return run_id
 
-    def list_runs(self, dataset: str | None = None, limit: int = 50) -> DataFrame:
-        """Recorded runs, newest first."""
+    def list_runs(self, dataset: str | None = None, limit: int | None = 50) -> DataFrame:
+        """Recorded runs, newest first, with the folders of their tables."""
         runs = self._read(self._path("_runs"), RUN_SCHEMA)
         if dataset is not None:
             runs = runs.where(F.col("dataset") == dataset)
-        return runs.orderBy(F.desc("seq")).limit(limit)
+        runs = runs.orderBy(F.desc("seq"))
+        return runs if limit is None else runs.limit(limit)
 
     def reproduce(self, run_id: str) -> tuple[StatResult, bool]:
-        """Run a stored method again on its recorded version; tells whether the statistics agree."""
-        from statweave.registry import run_method, statistics_json
+        """Run a stored method again on its recorded version; tells whether all statistics agree."""
+        from statweave.registry import run_method
 
         row = self._read(self._path("_runs"), RUN_SCHEMA).where(F.col("run_id") == run_id).first()
         if row is None:
-            raise FileNotFoundError(f"Run '{run_id}' does not exist")
-        result = run_method(self.load(row["dataset"], row["version"]), row["method"], json.loads(row["params"]), json.loads(row["by"]))
-        return result, same_statistics(json.loads(statistics_json(result)), json.loads(row["statistics"]))
-
-
-def same_statistics(a, b, tolerance: float = 1e-9) -> bool:
-    if isinstance(a, float) and isinstance(b, (int, float)) and not isinstance(b, bool):
-        return math.isclose(a, b, rel_tol=tolerance, abs_tol=tolerance)
-    if isinstance(a, dict) and isinstance(b, dict):
-        return a.keys() == b.keys() and all(same_statistics(a[k], b[k], tolerance) for k in a)
-    if isinstance(a, list) and isinstance(b, list):
-        return len(a) == len(b) and all(same_statistics(x, y, tolerance) for x, y in zip(a, b))
-    return a == b
+            raise FileNotFoundError(f"There is no run {run_id}")
+        by = json.loads(row["by"])
+        result = run_method(self.load(row["dataset"], row["version"]), row["method"], json.loads(row["params"]), by)
+        return result, same_tables(result.statistics, self.spark.read.parquet(row["statistics"]), by)
+
+
+def same_tables(a: DataFrame, b: DataFrame, by: Sequence[str] = (), tolerance: float = 1e-9) -> bool:
+    """Whether two tables of one row per segment hold the same columns, segments and values; numbers up to a relative tolerance."""
+    if a.columns != b.columns or a.count() != b.count():
+        return False
+    values = [c for c in a.columns if c not in by]
+    keys = [*by, "_one"]
+    left = a.withColumn("_one", F.lit(1)).select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in values]).alias("_a"))
+    right = b.withColumn("_one", F.lit(1)).select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in values]).alias("_b"))
+    same = F.lit(True)
+    for c in values:
+        x, y = F.col("_a").getField(c), F.col("_b").getField(c)
+        if isinstance(a.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            near = F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+            same &= x.eqNullSafe(y) | F.coalesce(near, F.lit(False))
+        elif isinstance(a.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
+            same &= F.to_json(F.struct(x)).eqNullSafe(F.to_json(F.struct(y)))
+        else:
+            same &= x.eqNullSafe(y)
+    agreeing = null_safe(left, right, keys).where(same).count()
+    return agreeing == a.count()

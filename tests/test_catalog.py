@@ -23,12 +23,11 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("limits", ["usual", "tiny"])
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize(
+    "name, limits", [(n, "usual") for n in NAMES] + [(n, "tiny") for n in ("mannwhitney", "descriptive", "kendall", "kaplan_meier", "impute_interpolate")]
+)
 def test_agrees_with_sql(spark, name, limits, request):
     if limits == "tiny":
-        if name not in ("mannwhitney", "descriptive", "kendall", "kaplan_meier", "impute_interpolate"):
-            pytest.skip("covered with the usual limits")
         request.getfixturevalue("tiny_limits")
     con = duckdb.connect()
     for file in os.listdir(FOLDER):

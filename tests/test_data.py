@@ -157,10 +157,11 @@ def test_version_store(spark, folder, dirty):
     version, notes = store.clean("d", [{"operation": "drop_duplicates"}, {"operation": "strip", "column": "place"}])
     assert version == 2 and store.load("d").count() == 40 and len(notes) == 2
     assert store.undo("d") == 1 and store.current("d") == 1
-    with pytest.raises(ValueError, match="Nothing to undo"):
+    with pytest.raises(ValueError, match="is the first of"):
         store.undo("d")
     assert store.clean("d", [{"operation": "drop_columns", "columns": ["k"]}])[0] == 3
     assert store.load("d", 2).count() == 40
+    assert store.undo("d") == 1  # the version that 3 was made from, not the abandoned 2
     assert store.restore("d", 2) == 2
     history = store.history("d")
     assert [r["version"] for r in history["versions"].collect()] == [1, 2, 3]

@@ -38,11 +38,30 @@ def test_published_values(got, want):
 
 
 def test_shapiro_example():
-    weights = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
-    w, p = dist.shapiro(weights)
+    x = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
+    ranks = np.arange(11)
+    score = float(dist.shapiro_scores(np.full(11, 11), ranks, np.ones(11)) @ (x - x.mean()))
+    w, p = dist.shapiro(11, score, float(((x - x.mean()) ** 2).sum()), (x[0], x[1], x[-2], x[-1]))
     assert w == pytest.approx(0.7888148, abs=1e-6) and p == pytest.approx(0.0067038, rel=1e-4)
 
 
+def test_normal_arrays_agree_with_the_scalar_functions():
+    z = np.concatenate([np.linspace(-36, 36, 4001), [0.0, -1e-9]])
+    want = np.array([dist.norm_cdf(v) for v in z])
+    assert np.allclose(dist.norm_cdf_array(z), want, rtol=1e-11, atol=1e-300)
+    p = np.concatenate([np.linspace(0.0005, 0.9995, 1999), 10.0 ** -np.arange(4, 300, 7)])
+    assert np.allclose(dist.norm_ppf_array(p), [dist.norm_ppf(v) for v in p], rtol=1e-10, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [3_900, 4_100, 4_300, 20_000])
+def test_sums_of_scores_are_the_same_below_and_above_the_tail_limit(n):
+    m = dist.norm_ppf_array((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    assert dist._score_square(n) == pytest.approx(float(m @ m), rel=1e-10)
+    before, count = np.array([0, 10, n // 3, n // 2]), np.array([n // 2, n - 25, n // 3, n // 4])
+    want = [m[b : b + c].sum() for b, c in zip(before, count, strict=True)]
+    assert np.allclose(dist.shapiro_scores(np.full(4, n), before, count), want, rtol=1e-9, atol=1e-7)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.floats(0.01, 30), st.floats(1, 5000))
 def test_t_squared_is_f(t, df):
