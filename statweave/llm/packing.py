@@ -2,7 +2,8 @@
 
 Pieces are dealt to partitions of bounded size by a hash, and each partition packs
 its pieces by best-fit decreasing.  Dual-feasible functions of its lengths give a
-lower bound; a partition that meets it is certified.  The pieces in unfilled
+lower bound; a partition that meets it is certified.  One that does not is packed
+again by filling sequences up exactly, and keeps the better of the two.  The pieces in unfilled
 sequences of the other partitions, and in the emptiest sequence of every
 partition, are exchanged: dealt anew with other partitions' pieces and packed
 again.  A round that saves no sequence is undone and ends the search.
@@ -77,6 +78,60 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, used
 
 
+def exact_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Like ``best_fit``, but each bin opens with the longest length left and is filled up exactly by one to three others where it can be.
+
+    Bit l of ``there`` says that a length l is left, bit capacity - l of ``turned``
+    the same, so that one shift and one conjunction find all pairs of a sum.
+    """
+    left: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, length in enumerate(lengths.tolist()):
+        left[length].append(i)
+    there = sum(1 << n for n in range(1, capacity + 1) if left[n])
+    turned = sum(1 << capacity - n for n in range(1, capacity + 1) if left[n])
+    bins = np.empty(len(lengths), dtype=np.int64)
+    offsets = np.empty(len(lengths), dtype=np.int64)
+    used = 0
+
+    def pair(total: int) -> int:
+        """The larger of two lengths left that add up to ``total``, or 0."""
+        both = there & (turned >> capacity - total) & (1 << total) - 1
+        while both:
+            a = both.bit_length() - 1
+            if 2 * a != total or len(left[a]) > 1:
+                return a
+            both ^= 1 << a
+        return 0
+
+    while there:
+        room = capacity
+        take = there.bit_length() - 1
+        while take:
+            i = left[take].pop()
+            if not left[take]:
+                there ^= 1 << take
+                turned ^= 1 << capacity - take
+            bins[i], offsets[i] = used, capacity - room
+            room -= take
+            fits = there & (1 << room + 1) - 1
+            if not fits:
+                break
+            take = room if fits >> room & 1 else pair(room)
+            tried = fits
+            for _ in range(12):
+                if take or not tried:
+                    break
+                # A first of three, from the longest down.
+                a = tried.bit_length() - 1
+                tried ^= 1 << a
+                b = pair(room - a) if a < room else 0
+                if b and (a not in (b, room - a - b) or len(left[a]) > 2):
+                    take = a
+            take = take or fits.bit_length() - 1
+        used += 1
+    return bins, offsets, used
+
+
 def cut(documents: DataFrame, capacity: int = CAPACITY, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every text's ids and the end id: doc_id, piece, start, length, ids_crc32 (and ids, 32-bit little-endian).
 
@@ -115,8 +170,11 @@ def _round(rows: DataFrame, schema: T.StructType, number: int, count: int, capac
     def run(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets, used = best_fit(lengths, capacity)
+        least = bound(lengths, capacity)
+        if used > least and (other := exact_fit(lengths, capacity))[2] < used:
+            bins, offsets, used = other
         fill = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
-        certified = used == bound(lengths, capacity)
+        certified = used == least
         part = group.column("_part")[0].as_py()
         # Exchanged next: unfilled sequences of an uncertified partition, the emptiest one of any.
         loose = (fill < capacity) & (~np.full(used, certified) | (np.arange(used) == int(fill.argmin())))
