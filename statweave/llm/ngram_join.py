@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a grouped prefix join over word shingles, and the groups that its links make.
 
 Texts with equal shingle sets are one class.  Shingles have one order for the
-whole corpus: those that stand in many documents come last, the rest by hash.
+whole corpus: those of several documents come last, by how many, the rest by hash.
 Two sets of Jaccard similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of either set, its prefix.  Classes of one size and one prefix
 are collapsed into a group; groups that share a prefix shingle, and whose sizes
@@ -12,7 +12,8 @@ Components need no more links than connect them, so the join has two rounds.
 The first verifies each group against one group of its most telling bucket, and
 the members of a group against the first; it joins large groups of near copies
 in linear work.  The second takes all candidate pairs that the first left in
-different components, so no link between two components is lost.
+different components, so no link between two components is lost; bitmaps of the
+sets, a thirtieth of their size, rule out most of these before the sets travel.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from statweave.llm.shingles import shingle_hashes
 
 SIMILARITY = Fraction(3, 4)
 # A shingle in more documents than this goes to the end of the order.  Any order gives the same links.
-COMMON = 64
+COMMON = 8
 # The list of common shingles that tasks hold; beyond it the rarest of them stay in the order of their hashes.
 COMMON_SLOTS = 1 << 22
 # Pairs of one class that are verified in one group; a class with more has several groups.
@@ -68,13 +69,13 @@ def classes(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, n long, cls long")
 
 
-def common_slots(texts: DataFrame, total: int) -> tuple[int, np.ndarray]:
-    """Slots of shingles that stand in over COMMON documents, counted over all documents.
+def common_slots(texts: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Slots of shingles that stand in over COMMON documents, counted over all documents, and how often in powers of two.
 
     A slot is the top bytes of the hash, as many as keep other shingles out of
     it.  Tasks send sorted slots in blocks by range; a block is counted at once.
     """
-    width = max(3, math.ceil((math.log2(max(total, 2)) - 3) / 8))
+    width = max(3, math.ceil((math.log2(max(total, 2)) + 1) / 8))
     blocks = max(1, total // FLUSH + 1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = np.uint32 if width <= 4 else np.uint64
     shift = np.uint64(64 - 8 * width)
@@ -115,8 +116,8 @@ def common_slots(texts: DataFrame, total: int) -> tuple[int, np.ndarray]:
         return pd.DataFrame({"slot": slots[keep].astype(np.int64), "n": n[keep].astype(np.int64)})
 
     found = texts.mapInArrow(send, "block int, slots binary").groupBy("block").applyInPandas(count, "slot long, n long")
-    top = found.orderBy(F.desc("n"), "slot").limit(COMMON_SLOTS).select("slot").toPandas()
-    return width, np.sort(top["slot"].to_numpy(dtype=np.uint64))
+    top = found.orderBy(F.desc("n"), "slot").limit(COMMON_SLOTS).toPandas().sort_values("slot")
+    return width, top["slot"].to_numpy(dtype=np.uint64), np.log2(top["n"].to_numpy(dtype=float)).astype(np.int8)
 
 
 def prefix_length(n: int) -> int:
@@ -129,7 +130,7 @@ def prefixes(texts: DataFrame, width: int, common) -> DataFrame:
     kinds = [("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]
 
     def run(batches):
-        last, seen, groups = common.value, set(), set()
+        (last, often), seen, groups = common.value, set(), set()
         for _, sets in _sets(batches):
             keys, ids, sizes, places = [], [], [], []
             for s in sets:
@@ -139,8 +140,9 @@ def prefixes(texts: DataFrame, width: int, common) -> DataFrame:
                 n = len(s)
                 if len(last):
                     slots = s >> shift
-                    late = last[np.minimum(np.searchsorted(last, slots), len(last) - 1)] == slots
-                    s = np.concatenate([s[~late], s[late]])
+                    at = np.minimum(np.searchsorted(last, slots), len(last) - 1)
+                    late = last[at] == slots
+                    s = s[np.argsort(np.where(late, often[at], -1), kind="stable")]
                 head = s[: prefix_length(n)]
                 group = int.from_bytes(hashlib.blake2b(head.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
                 keys.append(np.array([group], dtype=np.int64)), ids.append((c, 1)), sizes.append(n), places.append(np.array([-1]))
@@ -155,8 +157,36 @@ def prefixes(texts: DataFrame, width: int, common) -> DataFrame:
     return texts.mapInArrow(run, "key long, id long, n int, place int")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """The written pairs of classes (a, b) whose whole sets are similar enough.
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the hashes, between two and four for each shingle."""
+    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _could_link(p: bytes, q: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m with these bitmaps can be similar enough: a bit that only one of them has is a shingle that it alone has."""
+    x, y = np.frombuffer(p, dtype=np.uint8), np.frombuffer(q, dtype=np.uint8)
+    while len(x) != len(y):
+        # A lower power of two keeps the low bits: the halves fall together.
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    only = int(np.unpackbits(x ^ y).sum())
+    # Each bit of one alone costs a shingle: shared <= (n + m - only) / 2.
+    shared = (n + m - only) // 2
+    return 100 * shared >= 75 * (n + m - shared)
+
+
+def _are_linked(p: bytes, q: bytes, n: int, m: int) -> bool:
+    x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * shared >= 75 * (n + m - shared)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """The written pairs of classes (a, b) whose whole sets are similar enough, or with ``bitmaps`` those that can be.
 
     Of each class one text is read again.  Its set goes to the groups of its
     pairs: those of one class a, GROUP_PAIRS at a time.
@@ -178,23 +208,19 @@ def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFra
             for s, to in zip(sets, batch.column("_to").to_pylist(), strict=True):
                 if (c := _class_id(s)) not in seen:
                     seen.add(c)
-                    out += [(x["grp"], x["a"], c, s.tobytes()) for x in to]
+                    data = (_bitmap(s) if bitmaps else s).tobytes()
+                    out += [(x["grp"], x["a"], c, len(s), data) for x in to]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)], ["grp", "a", "cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["grp", "a", "cls", "n", "data"])
 
     def check(group: pa.Table) -> pa.Table:
         a = group.column("a")[0].as_py()
-        classes_ = group.column("cls").to_pylist()
-        sets = {c: np.frombuffer(x.as_buffer(), dtype=np.uint64) for c, x in zip(classes_, group.column("shingles"), strict=True)}
-        p, near = sets.pop(a), []
-        for b, q in sets.items():
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            if 100 * shared >= 75 * (len(p) + len(q) - shared):
-                near.append(b)
+        sets = dict(zip(group.column("cls").to_pylist(), zip(group.column("data").to_pylist(), group.column("n").to_pylist(), strict=True), strict=True))
+        (p, n), test = sets.pop(a), _could_link if bitmaps else _are_linked
+        near = [b for b, (q, m) in sets.items() if test(p, q, n, m)]
         return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
 
-    sent = found.mapInArrow(send, "grp long, a long, cls long, shingles binary")
+    sent = found.mapInArrow(send, "grp long, a long, cls long, n long, data binary")
     return written(sent.groupBy("grp").applyInArrow(check, "a long, b long"))
 
 
@@ -203,9 +229,9 @@ def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     small_batches(spark)
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    width, slots = common_slots(texts, rows.agg(F.sum("n")).first()[0] or 0)
+    width, *common = common_slots(texts, rows.agg(F.sum("n")).first()[0] or 0)
     # One exchange by key serves for repeats and counts.  A bucket of one pairs nothing; classes lie in a bucket of their group.
-    sent = prefixes(texts, width, spark.sparkContext.broadcast(slots)).repartition("key").distinct()
+    sent = prefixes(texts, width, spark.sparkContext.broadcast(tuple(common))).repartition("key").distinct()
     counted = sent.withColumn("_size", F.count("*").over(Window.partitionBy("key")))
     shared = written(counted.where("_size > 1 or place < 0").drop("_size"))
     members = shared.where("place < 0").select(F.col("key").alias("grp"), F.col("id").alias("cls"))
@@ -236,7 +262,7 @@ def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     m, o = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("grp", "cls", "root")]) for s in "xy")
     expanded = group_pairs.union(own).join(m, "grp_x").join(o, "grp_y").where("root_x <> root_y")
     rest = written(expanded.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct())
-    second = verified(rest, rows, documents)
+    second = verified(verified(rest, rows, documents, bitmaps=True), rows, documents)
     found = first.union(second)
     return found, roots if second.isEmpty() else written(components(found))
 

@@ -145,8 +145,14 @@ def test_bound_never_exceeds_the_optimum():
         capacity = rng.choice([10, 12, 30])
         lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 8))]
         low = packing.bound(np.array(lengths), capacity)
-        _, _, used = packing.best_fit(np.array(lengths), capacity)
-        assert low <= exact_bins(lengths, capacity) <= used
+        optimum = exact_bins(lengths, capacity)
+        for method in (packing.best_fit, packing.exact_fit):
+            bins, offsets, used = method(np.array(lengths), capacity)
+            assert low <= optimum <= used
+            for b in range(used):
+                parts = sorted((offsets[i], lengths[i]) for i in range(len(lengths)) if bins[i] == b)
+                assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+                assert 0 < sum(n for _, n in parts) <= capacity
     assert packing.bound(np.array([6, 6, 6]), 10) == 3  # no sum shows this
     assert packing.bound(np.array([], dtype=int), 10) == 0
 
@@ -256,6 +262,24 @@ def test_join_agrees_with_all_pairs(spark, documents, corpus, common, monkeypatc
     assert Counter(map(tuple, got)) == Counter(brute_components(corpus))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = x[rng.random(len(x)) < rng.choice([0.2, 0.8, 0.9, 1.0])]
+        y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)]))
+        if not len(y):
+            continue
+        linked = ngram_join._are_linked(x.tobytes(), y.tobytes(), len(x), len(y))
+        assert linked == (100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)))
+        could = ngram_join._could_link(ngram_join._bitmap(x).tobytes(), ngram_join._bitmap(y).tobytes(), len(x), len(y))
+        assert could or not linked
+        ruled_out += not could
+    assert ruled_out > 100
+
+
 def test_one_row_of_each_group_stays(spark, documents, corpus):
     kept = ngram_join.keep_one(documents)
     assert kept.columns == documents.columns
