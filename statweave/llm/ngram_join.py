@@ -8,11 +8,11 @@ are collapsed into a group; groups that share a prefix shingle, and whose sizes
 and places allow the overlap, are candidate pairs; these are expanded into their
 members and verified on the whole sets.
 
-Components need no more links than connect them, so the join has two rounds.
-The first verifies each group against one group of its most telling bucket, and
-the members of a group against the first; it joins large groups of near copies
-in linear work.  The second takes all candidate pairs that the first left in
-different components, so no link between two components is lost; bitmaps of the
+Components need no more links than connect them, so the join has rounds.  The
+first ones verify each group against one hub, the group of a bucket that shares
+most of its prefix with others, and the members of a group against the first;
+they join large groups of near copies in linear work.  The last one takes all
+candidate pairs that these left in different components, so no link between two components is lost; bitmaps of the
 sets, a thirtieth of their size, rule out most of these before the sets travel.
 """
 
@@ -38,6 +38,10 @@ SIMILARITY = Fraction(3, 4)
 COMMON = 8
 # The list of common shingles that tasks hold; beyond it the rarest of them stay in the order of their hashes.
 COMMON_SLOTS = 1 << 22
+# Rounds in which groups meet one hub each, before all pairs that are left between components; the rounds after the first
+# only while these would be more than so many for each row of the buckets.  The links connect the same texts either way.
+HUB_ROUNDS = 4
+FEW_PAIRS = 10
 # Pairs of one class that are verified in one group; a class with more has several groups.
 GROUP_PAIRS = 500
 FLUSH = 4_000_000
@@ -185,8 +189,13 @@ def _are_linked(p: bytes, q: bytes, n: int, m: int) -> bool:
     return 100 * shared >= 75 * (n + m - shared)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, bitmaps: bool = False) -> DataFrame:
-    """The written pairs of classes (a, b) whose whole sets are similar enough, or with ``bitmaps`` those that can be.
+def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The written pairs of classes (a, b) whose whole sets are similar enough: those whose bitmaps allow it are compared whole."""
+    return _checked(_checked(pairs, rows, documents, True), rows, documents, False)
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, documents: DataFrame, bitmaps: bool) -> DataFrame:
+    """The pairs that pass the test on whole sets, or on their bitmaps.
 
     Of each class one text is read again.  Its set goes to the groups of its
     pairs: those of one class a, GROUP_PAIRS at a time.
@@ -224,6 +233,40 @@ def verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, bitmaps: b
     return written(sent.groupBy("grp").applyInArrow(check, "a long, b long"))
 
 
+def _marked(buckets: DataFrame, placed: DataFrame) -> DataFrame:
+    """The buckets with the smallest and largest component of each group's classes."""
+    return buckets.join(placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")), "grp")
+
+
+def _placed(links_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components so far, and the members of the groups with theirs."""
+    roots = written(components(links_))
+    joined = members.join(sized(roots), F.col("cls") == F.col("node"), "left")
+    return roots, written(joined.select("grp", "cls", F.coalesce("root", "cls").alias("root")))
+
+
+def _pairs_per_row(marked: DataFrame) -> float:
+    """How many pairs the buckets that hold several components would give, for each row of theirs."""
+    sizes = marked.groupBy("key").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    pairs, rows = sizes.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.sum("c")).first()
+    return pairs / rows if rows else 0.0
+
+
+def _hub_pairs(marked: DataFrame, lead: DataFrame, number: int) -> DataFrame:
+    """One pair (hub, group) for each group that shares a bucket with a hub of another component.
+
+    The hub of a bucket is its group of the largest share; of a group's hubs the
+    best one is taken, another one in each round.
+    """
+    hub = marked.groupBy("key").agg(F.max(F.struct("share", F.xxhash64("grp", F.lit(number // 2)).alias("mix"), "grp", "n", "low")).alias("hub"))
+    apart = (F.col("grp") != F.col("hub.grp")) & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("hub.low")))
+    fits = (4 * F.col("hub.n") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("hub.n"))
+    best = F.max_by("hub.grp", F.struct("hub.share", F.xxhash64("key", F.lit(number))))
+    chosen = marked.join(hub, "key").where(apart & fits).groupBy("grp").agg(best.alias("other"))
+    pairs = chosen.join(lead, "grp").join(lead.select(F.col("grp").alias("other"), F.col("lead").alias("a")), "other")
+    return pairs.select("a", F.col("lead").alias("b")).where("a <> b").distinct()
+
+
 def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between classes that connect all that is similar, and the components (node, root) they make; ``rows`` are the written classes."""
     spark = documents.sparkSession
@@ -238,18 +281,26 @@ def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead = members.groupBy("grp").agg(F.min("cls").alias("lead"))
     buckets = shared.where("place >= 0").select("key", F.col("id").alias("grp"), "n", "place")
 
-    # Round one: each group against the first group of its most telling bucket, members against the first of the group.
-    hub = buckets.groupBy("key").agg(F.min(F.struct("n", "grp")).alias("hub"), F.count("*").alias("size"))
-    best = buckets.join(hub, "key").where("grp <> hub.grp and 4 * hub.n >= 3 * n").groupBy("grp").agg(F.max_by("hub.grp", F.struct("size", "key")).alias("other"))
-    across = best.join(lead, "grp").join(lead.select(F.col("grp").alias("other"), F.col("lead").alias("b")), "other").select(F.col("b").alias("a"), F.col("lead").alias("b"))
+    # A group all of whose prefix others share is more likely an original than a copy with changes of its own.
+    share = buckets.groupBy("grp").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * 3 / 4) + 1)).alias("share"))
+    buckets = written(buckets.join(share, "grp"))
     within = members.join(lead, "grp").where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-    first = verified(written(across.union(within).where("a <> b").distinct()), rows, documents)
-    roots = written(components(first))
-
-    # Round two: all candidate pairs that lie in different components.
-    placed = written(members.join(sized(roots), F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("root", "cls").alias("root")))
-    spread = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marked = buckets.join(spread, "grp")
+    marked = _marked(buckets, members.withColumn("root", F.col("cls")))
+    first = verified(written(within.union(_hub_pairs(marked, lead, 1)).distinct()), rows, documents)
+    for number in range(2, HUB_ROUNDS + 1):
+        roots, placed = _placed(first, members)
+        marked = _marked(buckets, placed)
+        if _pairs_per_row(marked) <= FEW_PAIRS:
+            break
+        near = verified(written(_hub_pairs(marked, lead, number)), rows, documents)
+        if near.isEmpty():
+            break
+        first = first.union(near)
+    else:
+        roots, placed = _placed(first, members)
+        marked = _marked(buckets, placed)
+
+    # The last round: all candidate pairs that lie in different components.
     mixed = marked.groupBy("key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest <> highest").select("key")
     open_ = written(marked.join(mixed, "key"))
     x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "place", "low", "high")]) for s in "xy")
@@ -262,7 +313,7 @@ def links(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     m, o = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("grp", "cls", "root")]) for s in "xy")
     expanded = group_pairs.union(own).join(m, "grp_x").join(o, "grp_y").where("root_x <> root_y")
     rest = written(expanded.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct())
-    second = verified(verified(rest, rows, documents, bitmaps=True), rows, documents)
+    second = verified(rest, rows, documents)
     found = first.union(second)
     return found, roots if second.isEmpty() else written(components(found))
 
