@@ -766,12 +766,10 @@ def _(t):
 # -- resampling -----------------------------------------------------------------------------
 
 
-# Standard errors in large samples: of the mean, of the standard deviation (from the fourth moment), and of the median of
-# a uniform variable, which the quantity is.
+# Standard errors in large samples: of the mean, and of the standard deviation (from the fourth moment).
 BOOT_ERROR = {
     "mean": lambda y: F.stddev_samp(y) / F.sqrt(F.count(y)),
     "std": lambda y: F.stddev_samp(y) * F.sqrt((F.kurtosis(y) + 2) / (4 * F.count(y))),
-    "median": lambda y: (F.max(y) - F.min(y)) / (2 * F.sqrt(F.count(y))),
 }
 
 
@@ -783,7 +781,15 @@ def _boot(t: Tables, stat: str) -> DataFrame:
     return stats.join(error, "l_returnflag").select("l_returnflag", "estimate", *ends, "n_boot", "n")
 
 
-for _stat, _sql in (("mean", "avg(l_quantity)"), ("median", "quantile_cont(l_quantity, 0.5)"), ("std", "stddev_samp(l_quantity)")):
+@query("bootstrap_median", "select l_returnflag, quantile_cont(l_quantity, 0.5) as estimate, true as within_one, 1000::bigint as n_boot, count(*) as n from lineitem group by 1", "estimate")
+def _(t):
+    """Quantities are whole numbers, so the interval's ends are the median or a neighbour."""
+    stats = resampling.bootstrap_ci(t.lineitem, "l_quantity", "median", n_boot=1000, by=["l_returnflag"]).statistics
+    low, high = F.col("estimate") - F.col("ci95_low"), F.col("ci95_high") - F.col("estimate")
+    return stats.select("l_returnflag", "estimate", (low.between(0, 1) & high.between(0, 1)).alias("within_one"), "n_boot", "n")
+
+
+for _stat, _sql in (("mean", "avg(l_quantity)"), ("std", "stddev_samp(l_quantity)")):
     query(
         f"bootstrap_{_stat}",
         f"select l_returnflag, {_sql} as estimate, -2 as ci95_low_errors, 2 as ci95_high_errors, 1000::bigint as n_boot, count(*) as n from lineitem group by 1",
@@ -1481,7 +1487,7 @@ def _(t):
     f"""with p as (select l_extendedprice as y, row_number() over (order by l_extendedprice)::double as i, count(*) over ()::double as n from lineitem),
     u as (select *, case when i=n then power(0.5, 1/n) when i=1 then 1-power(0.5, 1/n) else (i-0.3175)/(n+0.365) end as u from p)
     select floor((i-1)*500/n)::int as run, avg({quantile('u')}) as theoretical, avg(y) as sample, count(*) as n from u group by 1""",
-    "theoretical:6 sample:4",
+    "theoretical:6 sample:2",
 )
 def _(t):
     return charts.qq_points(t.lineitem, "l_extendedprice")["points"].select("run", "theoretical", "sample", "n")
@@ -1635,7 +1641,7 @@ def _(t):
 
 @query("autopilot")
 def _(t):
-    return pilot.autopilot(t.customer, [{"y": "c_acctbal", "x": "c_mktsegment", "intent": "difference"}]).table(t.spark)
+    return pilot.autopilot(t.customer, [{"y": "c_acctbal", "x": "c_mktsegment", "intent": "difference"}], charts=3).table(t.spark)
 
 
 # -- sources, sinks and versions -------------------------------------------------------------------

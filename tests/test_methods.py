@@ -133,7 +133,7 @@ def test_anova_identity(df, pdf):
 
 def test_chi_square_with_empty_cells(spark):
     rows = [("a", "p")] * 8 + [("a", "q")] * 4 + [("b", "q")] * 6 + [("c", "p")] * 3
-    result = association.chi_square(spark.createDataFrame(rows, "x string, y string"), "x", "y")
+    result = association.chi_square(spark.createDataFrame(rows, "x string, y string"), "x", "y", include_empty=True)
     o = np.array([[8, 4], [0, 6], [3, 0]], float)
     e = o.sum(1)[:, None] * o.sum(0)[None, :] / o.sum()
     got = one(result)
