@@ -47,6 +47,17 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def highest(sizes: dict[int, int], most: int) -> int:
+    """The lowest level from which on at most ``most`` rows lie, given the rows of each level."""
+    total, lowest = 0, max(sizes, default=0) + 1
+    for level in sorted(sizes, reverse=True):
+        total += sizes[level]
+        if total > most:
+            break
+        lowest = level
+    return lowest
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with a null text as the empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

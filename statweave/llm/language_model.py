@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import sized, small_batches, written
+from statweave.llm.common import highest, sized, small_batches, written
 from statweave.llm.shingles import ODD, mixed, word_hashes, words_of
 
 # Counts of at most this many words are broadcast, the most frequent; the rest are joined.
@@ -275,9 +275,12 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
         if q in by_level and c:
             discount[q], mass[q] = less / c, min(0.95, less / by_level[q][0])
 
-    frequent = counts.orderBy(F.desc("c"), "key").limit(FREQUENT).toPandas()
-    order = np.argsort(frequent["key"].to_numpy().view(np.uint64))
-    top = frequent["key"].to_numpy().view(np.uint64)[order], frequent["c"].to_numpy(dtype=np.float64)[order]
+    # The levels of the most frequent words, as many as the list may hold.
+    from_ = highest({q: k for q, (_, k) in by_level.items()}, FREQUENT)
+    frequent = graded.where(F.col("q") >= from_).select("key", "c").toArrow()
+    keys_ = frequent.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys_)
+    top = keys_[order], frequent.column("c").to_numpy().astype(np.float64)[order]
     model = spark.sparkContext.broadcast((words, filter_, top, discount, mass))
     whole = math.log10(n + v + 1)
     expected, expected_pairs = estimates(), estimates(MIN_PAIR)

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statweave.llm.common import sized, small_batches, text_hashes, text_key, text_of, written
+from statweave.llm.common import highest, sized, small_batches, text_hashes, text_key, text_of, written
 from statweave.llm.components import components
 from statweave.llm.shingles import shingle_hashes
 
 SIMILARITY = Fraction(3, 4)
 # A shingle in more documents than this goes to the end of the order.  Any order gives the same links.
 COMMON = 8
-# The list of common shingles that tasks hold; beyond it the rarest of them stay in the order of their hashes.
+# The list of common shingles that tasks hold; the rarer ones beyond it stay in the order of their hashes.
 COMMON_SLOTS = 1 << 22
 # Rounds in which groups meet one hub each, before all pairs that are left between components; the rounds after the first
 # only while these would be more than so many for each row of the buckets.  The links connect the same texts either way.
@@ -120,8 +120,12 @@ def common_slots(texts: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndar
         return pd.DataFrame({"slot": slots[keep].astype(np.int64), "n": n[keep].astype(np.int64)})
 
     found = texts.mapInArrow(send, "block int, slots binary").groupBy("block").applyInPandas(count, "slot long, n long")
-    top = found.orderBy(F.desc("n"), "slot").limit(COMMON_SLOTS).toPandas().sort_values("slot")
-    return width, top["slot"].to_numpy(dtype=np.uint64), np.log2(top["n"].to_numpy(dtype=float)).astype(np.int8)
+    graded = written(found.select("slot", F.floor(F.log2("n")).cast("int").alias("level")))
+    sizes = {r["level"]: r["count"] for r in graded.groupBy("level").count().collect()}
+    top = graded.where(F.col("level") >= highest(sizes, COMMON_SLOTS)).toArrow()
+    slots, levels = top.column("slot").to_numpy().astype(np.uint64), top.column("level").to_numpy().astype(np.int8)
+    order = np.argsort(slots)
+    return width, slots[order], levels[order]
 
 
 def prefix_length(n: int) -> int:
