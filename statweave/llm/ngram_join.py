@@ -40,7 +40,7 @@ COMMON = 8
 COMMON_SLOTS = 1 << 22
 # Rounds in which groups meet one hub each, before all pairs that are left between components; the rounds after the first
 # only while these would be more than so many for each row of the buckets.  The links connect the same texts either way.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
 FEW_PAIRS = 10
 # Pairs of one class that are verified in one group; a class with more has several groups.
 GROUP_PAIRS = 500
