@@ -6,11 +6,16 @@ digit or an at sign are variable fields and read as ``<*>``; what lies below the
 leaf is generalised as well.  The leaf is the line's template.  Tokens are what
 single blanks part, after blanks, tabs and carriage returns at both ends went.
 
-A template recurs when it stands in enough unrelated documents.  Copies of a
-document share all their lines, so documents count by a signature: the smallest
-hash of the beginnings (four tokens) of their other lines.  However many copies
-there are, they bring one signature or a few; a passage put into many documents
-brings many.
+A template recurs when it stands in enough unrelated documents.  Documents count
+by a signature: their rarest line, when it is in at most half as many documents
+as the template.  A line counts as often as its beginning or its end (four tokens
+each), whichever is in more documents, so an edit at one place of a copy makes no
+rare line.  The lines of a shared passage are all in as many documents, so none of
+them is a signature, and unrelated documents bring one each.  Of the groups of
+copies that hold a template only one can be more than half of its documents; that
+one, like any document without a rare line, counts by the other line whose
+beginning is in the most documents, which copies have in common; lines without
+fields go before those with fields.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ MIN_TOKENS = 3
 # Smaller leaves of the tree: depth is the larger of this and half the tokens.
 MIN_DEPTH = 5
 START_TOKENS = 4
+# A document counts by its rarest line when the template is in at least this many times as many documents.
+RARER = 2
 FIELD = "(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*"
 
 
@@ -32,6 +39,10 @@ def _hash(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
+def _masked(text: Column) -> Column:
+    return F.when(text.rlike("[0-9@]"), F.regexp_replace(text, FIELD, "<*>")).otherwise(text)
+
+
 def _templates(lines: DataFrame, line: str) -> DataFrame:
     """Add _key, the leaf of the line: a hash of its token count and leading tokens; null for a line of under MIN_TOKENS tokens.
 
@@ -39,38 +50,58 @@ def _templates(lines: DataFrame, line: str) -> DataFrame:
     """
     n = F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1
     depth = F.greatest(F.lit(MIN_DEPTH), F.ceil(F.col("_n") / 2).cast("int"))
-    masked = F.when(F.col("_lead").rlike("[0-9@]"), F.regexp_replace("_lead", FIELD, "<*>")).otherwise(F.col("_lead"))
     key = F.when(F.col("_n") >= MIN_TOKENS, _hash(F.concat_ws(" ", F.col("_n").cast("string"), F.col("_lead"))))
     return (
         lines.withColumn("_plain", F.btrim(F.col(line), F.lit(" \t\r")))
         .withColumn("_n", n)
         .withColumn("_lead", F.call_function("substring_index", F.col("_plain"), F.lit(" "), depth))
-        .withColumn("_lead", masked)
+        .withColumn("_lead", _masked(F.col("_lead")))
         .withColumn("_key", key)
         .drop("_n", "_lead")
     )
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """One row per document: its lines as (key, start) and the two smallest starts; lines without a template are left out."""
+    """One row per document: its lines as (key, start, first, last); lines without a template are left out.
+
+    ``start`` is a hash of the beginning, ``first`` and ``last`` are hashes of the beginning and the end with fields masked.
+    """
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), text_of().alias("_text"))
     parts = rows.select("_row", F.explode(F.split("_text", "\n")).alias("_line"))
-    start = _hash(F.substring_index("_plain", " ", START_TOKENS))
-    both = _templates(parts, "_line").where(F.col("_key").isNotNull()).select("_row", F.struct(F.col("_key").alias("key"), start.alias("start")).alias("_both"))
-    found = both.groupBy("_row").agg(F.collect_set("_both").alias("lines"))
-    return found.select("lines", F.slice(F.sort_array(F.array_distinct("lines.start")), 1, 2).alias("starts"))
+    known = _templates(parts, "_line").where(F.col("_key").isNotNull())
+    ends = known.select("_row", "_key", F.substring_index("_plain", " ", START_TOKENS).alias("_start"), F.substring_index("_plain", " ", -START_TOKENS).alias("_last"))
+    line = F.struct(
+        F.col("_key").alias("key"),
+        F.xxhash64("_start").alias("start"),
+        F.xxhash64(_masked(F.col("_start"))).alias("first"),
+        F.xxhash64(_masked(F.col("_last")), F.lit(1)).alias("last"),
+    )
+    return ends.select("_row", line.alias("_part")).groupBy("_row").agg(F.collect_set("_part").alias("lines"))
 
 
 def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Templates (key, documents) that stand in at least ``min_documents`` documents of different signature."""
-    # The signature leaves the line itself out: the smallest start, or the second where the line has the smallest.
-    marked = _lines(documents).select(
-        F.explode("lines").alias("line"),
-        F.coalesce(F.try_element_at("starts", F.lit(1)), F.lit("")).alias("first"),
-        F.coalesce(F.try_element_at("starts", F.lit(2)), F.lit("")).alias("second"),
-    )
-    pairs = marked.select("line.key", F.when(F.col("first") == F.col("line.start"), F.col("second")).otherwise(F.col("first")).alias("signature"))
-    seen = pairs.groupBy("key", "signature").agg(F.lit(1).alias("one"))
+    found = written(_lines(documents))
+    every = found.select(F.explode(F.array_distinct("lines.key")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = sized(written(every.where(F.col("n") >= min_documents)))
+    ends = found.select(F.explode(F.array_distinct(F.concat("lines.first", "lines.last"))).alias("end")).groupBy("end").agg(F.count("*").alias("n"))
+    shared = sized(written(ends.where(F.col("n") > 1)))
+
+    # The rarest line of each document, and the two of the commonest beginnings; an end that is not in the table is in one document.
+    each = found.select("_row", F.explode("lines").alias("line")).select("_row", "line.start", "line.first", "line.last")
+    for end in ("first", "last"):
+        each = each.join(shared.select(F.col("end").alias(end), F.col("n").alias(f"n_{end}")), end, "left")
+    n = F.greatest(F.coalesce("n_first", F.lit(1)), F.coalesce("n_last", F.lit(1)))
+    common = F.when(F.col("n_first").isNotNull(), F.struct((F.col("start") == F.col("first")).alias("plain"), "n_first", "start"))
+    told = each.groupBy("_row").agg(F.min(F.struct(n.alias("n"), "first", "last")).alias("rarest"), F.collect_set(common).alias("common"))
+    told = told.select("_row", "rarest", F.slice(F.sort_array("common", asc=False), 1, 2)["start"].alias("common"))
+
+    lines = found.select("_row", F.explode("lines").alias("line")).select("_row", "line.key", "line.start").join(often, "key")
+    one, two = (F.coalesce(F.try_element_at("common", F.lit(i)), F.lit(0)) for i in (1, 2))
+    other = F.when(one == F.col("start"), two).otherwise(one)
+    rare = F.xxhash64("rarest.first", "rarest.last")
+    signature = F.when(F.col("rarest.n") * RARER <= F.col("n"), rare).otherwise(other)
+    seen = lines.join(told, "_row").select("key", signature.alias("signature")).groupBy("key", "signature").agg(F.lit(1).alias("one"))
     return seen.groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents)
 
 

@@ -232,6 +232,22 @@ def test_copies_of_a_document_are_not_recurring_lines(spark):
     assert all(r.text == text for r in lines.dedup(df).collect())
 
 
+@pytest.mark.parametrize(("shared", "n", "own"), [(5, 5, 2), (10, 10, 10), (10, 20, 10), (10, 40, 2), (20, 40, 3), (20, 5, 1)])
+def test_long_passages_recur_in_few_short_documents(spark, shared, n, own):
+    rng = random.Random(shared * n)
+    passage = [prose(rng, 9) for _ in range(shared)]
+    copied = [prose(rng, 12) for _ in range(6)]
+    texts = [[prose(rng, 12) for _ in range(own)] for _ in range(n)]
+    rows = [(i, "\n".join([*passage, *t]), None, None, 0) for i, t in enumerate(texts)] + [(n + i, "\n".join(copied), None, None, 0) for i in range(30)]
+    for k in range(30):  # copies with an edit that leaves the other end of a line
+        words = [x.split() for x in copied]
+        words[k % 6][k % 3] = f"edit{prose(rng, 1)}"
+        rows.append((n + 30 + k, "\n".join(map(" ".join, words)), None, None, 0))
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, *_ in rows:
+        assert got[i].text == ("\n".join(texts[i]) if i < n else text)
+
+
 # -- n-gram join --------------------------------------------------------------------
 
 
