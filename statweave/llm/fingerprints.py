@@ -43,8 +43,9 @@ def _with_runs(rows: DataFrame, text: str) -> DataFrame:
 def anchors(rows: DataFrame, text: str = "text", column: str = "anchors") -> DataFrame:
     """``rows`` with an array of (place, hash) of the anchors of a text; place is the first word's, from 1.
 
-    A text of fewer words than a window is one anchor, a text without words has
-    none, and a null text counts as empty.  A column of the same name is replaced.
+    A text in which no window qualifies is one anchor, as is one of fewer words
+    than a window; a text without words has none, and a null text counts as empty.
+    A column of the same name is replaced.
     """
     kept = [f"`{c}`" for c in rows.columns if c != column]
     made = _with_runs(rows.select(*kept, text_of(text).alias("_text")), "_text")
@@ -59,8 +60,9 @@ def anchors(rows: DataFrame, text: str = "text", column: str = "anchors") -> Dat
     found = F.transform(F.filter(F.sequence(F.lit(1), last), edge), lambda i: F.struct(i.alias("place"), value(i).alias("hash")))
     none = F.array().cast("array<struct<place:int,hash:bigint>>")
     whole = F.array(F.struct(F.lit(1).alias("place"), F.xxhash64("_words").alias("hash")))
-    out = F.when(F.size("_words") == 0, none).when(F.size("_words") < WINDOW, whole).otherwise(found)
-    return made.select(*kept, out.alias(column))
+    short = F.size("_words") < WINDOW
+    out = F.when(F.size("_words") == 0, none).when(short | (F.size("_found") == 0), whole).otherwise(F.col("_found"))
+    return made.withColumn("_found", F.when(~short, found)).select(*kept, out.alias(column))
 
 
 def sketch(rows: DataFrame, text: str, column: str) -> DataFrame:

@@ -402,6 +402,14 @@ def test_fingerprints_follow_the_text_alone(spark, documents, corpus):
     assert 0.3 < long.near_edited < 0.7 and long.near_next < 0.1
 
 
+def test_short_texts_without_a_qualifying_window_differ(spark):
+    rng = random.Random(9)
+    texts = sorted({prose(rng, 6 + i % 3) for i in range(90)})
+    got = fingerprints.compare(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert len({r.fingerprint for r in got}) == len(texts) and "" not in {r.fingerprint for r in got}
+    assert max(r.near_next for r in got) < 1
+
+
 # -- sharding -----------------------------------------------------------------------
 
 
