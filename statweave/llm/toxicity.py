@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled rows: words, and stems that many endings
 follow, that occur in toxic rows far above their rate.  A trie of the entries is
-walked with at most one edit; the walk is determinised as it meets characters,
-so a word costs one table look-up per character.  Hits inside quotation marks
+walked with at most one edit, in a word, in a stem, or in a learned form that a
+stem covers; the walk is determinised as it meets characters, so a word costs
+one table look-up per character.  Hits inside quotation marks
 or beside words of reporting count apart from the rest, and a logistic model
 over the counts gives the score.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,6 @@ from statweave.llm.common import pieces, small_batches
 
 # The classifier is fitted on at most this many labelled rows, the first in the order of a hash of the id.
 SAMPLE_ROWS = 20_000
-# The lexicon holds at most this many entries, those that tell most.
-ENTRIES = 2_000
 MIN_ROWS = 4
 MIN_DEVIATION = 5.0
 STEMS = range(4, 9)
@@ -49,18 +48,23 @@ class Automaton:
     """Entries within one edit of a word, by a lazily determinised walk of their trie.
 
     A state is a set of (trie node, edits so far).  A stem that was reached
-    without an edit accepts whatever follows.
+    without an edit accepts whatever follows (STEM), and so does a stem of
+    EDIT_LENGTH or more with an edit before its last letter (NEAR); an edit of
+    the last letter would make it a shorter stem.  ``forms``, words that a stem
+    covers, count with an edit only: without one, their stem is found.
     """
 
     DEAD = 0
+    STEM = (-1, 0)
+    NEAR = (-2, 0)
 
-    def __init__(self, words: Sequence[str], stems: Sequence[str]):
+    def __init__(self, words: Sequence[str], stems: Sequence[str], forms: Sequence[str] = ()):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[bool] = [False]
         self.stem: list[bool] = [False]
         self.reach: list[bool] = [False]  # an entry long enough for an edit lies below
         self.long: set[int] = set()  # the ends of those entries
-        for entries, marks in ((words, self.word), (stems, self.stem)):
+        for entries, marks in ((words, self.word), (stems, self.stem), (forms, None)):
             for entry in entries:
                 node, path = 0, [0]
                 for ch in entry:
@@ -71,8 +75,9 @@ class Automaton:
                             column.append(False)
                     node = self.children[node][ch]
                     path.append(node)
-                marks[node] = True
-                if marks is self.word and len(entry) >= EDIT_LENGTH:
+                if marks is not None:
+                    marks[node] = True
+                if len(entry) >= EDIT_LENGTH:
                     self.long.add(node)
                     for step in path:
                         self.reach[step] = True
@@ -99,14 +104,17 @@ class Automaton:
     def _step(self, state: int, ch: str) -> int:
         out = set()
         for node, edits in self.sets[state]:
-            if node < 0 or self.stem[node] and edits == 0:
-                out.add((-1, 0))
-                if node < 0:
-                    continue
+            if node < 0:
+                out.add((node, 0))
+                continue
+            if self.stem[node] and edits == 0:
+                out.add(self.STEM)
             if ch in self.children[node]:
                 child = self.children[node][ch]
                 if edits == 0 or self.reach[child]:
                     out.add((child, edits))
+                if edits == 1 and self.stem[child] and child in self.long:
+                    out.add(self.NEAR)
             if edits == 0:
                 if self.reach[node]:
                     out.add((node, 1))
@@ -116,7 +124,7 @@ class Automaton:
         return to
 
     def kind(self, word: str) -> int:
-        """0: none, 1: an entry's word, 2: an entry's stem, 3: a word with one edit."""
+        """0: none, 1: an entry's word, 2: an entry's stem, 3: a word or a stem with one edit."""
         state = self.start
         for ch in word:
             after = self.steps[state].get(ch)
@@ -126,9 +134,9 @@ class Automaton:
         found = self.sets[state]
         if any(edits == 0 and node >= 0 and self.word[node] for node, edits in found):
             return 1
-        if any(node < 0 or edits == 0 and self.stem[node] for node, edits in found):
+        if any((node, edits) == self.STEM or node >= 0 and edits == 0 and self.stem[node] for node, edits in found):
             return 2
-        return 3 if any(edits == 1 and node in self.long for node, edits in found) else 0
+        return 3 if any((node, edits) == self.NEAR or edits == 1 and node in self.long for node, edits in found) else 0
 
 
 class _Kinds(dict):
@@ -175,9 +183,10 @@ class Model:
     stems: list[str]
     weights: list[float]  # the constant first
     rows: int
+    forms: list[str] = field(default_factory=list)  # words that a stem covers
 
     def scorer(self):
-        kinds = _Kinds(Automaton(self.words, self.stems))
+        kinds = _Kinds(Automaton(self.words, self.stems, self.forms))
         weights = np.array(self.weights)
 
         def score(texts: Sequence[str | None]) -> np.ndarray:
@@ -199,8 +208,8 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(w, k, c[1], c[0]) for (w, k), c in counts.items()], columns=["entry", "kind", "toxic", "clean"])
 
 
-def lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words and stems that stand in toxic rows far above the rate of toxic rows, the strongest first."""
+def lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], list[str]]:
+    """Words, stems, and words that a stem covers, that stand in toxic rows far above the rate of toxic rows, the strongest first."""
     p = n_toxic / max(1, n_toxic + n_clean)
     n = F.col("toxic") + F.col("clean")
     found = (
@@ -211,21 +220,23 @@ def lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], lis
         .withColumn("z", (F.col("toxic") - n * p) / F.sqrt(n * p * (1 - p) + 1e-9))
         .where(F.col("z") >= MIN_DEVIATION)
         .orderBy(F.desc("z"), F.col("kind"), F.col("entry"))
-        .limit(ENTRIES)
         .collect()
     )
-    words: list[str] = []
-    stems: list[str] = []
-    exact = {r.entry: r.toxic for r in found if r.kind == 1}
+    stems: dict[str, None] = {}
+    most: dict[str, int] = {}  # rows of the commonest word with a beginning
     for r in found:
-        if any(r.entry.startswith(s) for s in stems):
-            continue
         if r.kind == 1:
-            words.append(r.entry)
-        elif r.toxic > 1.5 * max([v for w, v in exact.items() if w.startswith(r.entry)], default=0):
-            stems.append(r.entry)  # many endings, none of them most of its rows
-    words = [w for w in words if not any(w.startswith(s) for s in stems)]
-    return words, stems
+            for n in STEMS:
+                most[r.entry[:n]] = max(most.get(r.entry[:n], 0), r.toxic)
+
+    def covered(entry: str) -> bool:
+        return any(entry[:n] in stems for n in STEMS)
+
+    for r in found:
+        if r.kind == 2 and not covered(r.entry) and r.toxic > 1.5 * most.get(r.entry, 0):
+            stems[r.entry] = None  # many endings, none of them most of its rows
+    words = [r.entry for r in found if r.kind == 1]
+    return [w for w in words if not covered(w)], list(stems), [w for w in words if covered(w)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -264,10 +275,10 @@ def fit(documents: DataFrame, labels: DataFrame, train=None, sample_rows: int =
     if not n_toxic or not n_clean:
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0) if n_toxic + n_clean else 0.05
         return Model([], [], [math.log(rate / (1 - rate))] + [0.0] * len(FEATURES), n_toxic + n_clean)
-    words, stems = lexicon(rows, n_toxic, n_clean)
+    words, stems, forms = lexicon(rows, n_toxic, n_clean)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = _Kinds(Automaton(words, stems))
+        kinds = _Kinds(Automaton(words, stems, forms))
         for part in pieces(batches):
             x = [features(t or "", kinds) for t in part["text"]]
             out = pd.DataFrame(x, columns=FEATURES).assign(toxic=part["toxic"].to_numpy(), n=1)
@@ -278,7 +289,7 @@ def fit(documents: DataFrame, labels: DataFrame, train=None, sample_rows: int =
     got = got.sort_values([*FEATURES, "toxic"])
     repeat = got.index.repeat(got["n"])
     x = got.loc[repeat, FEATURES].to_numpy(dtype=float)
-    return Model(words, stems, _logistic(x, got.loc[repeat, "toxic"].to_numpy(dtype=float)), n_toxic + n_clean)
+    return Model(words, stems, _logistic(x, got.loc[repeat, "toxic"].to_numpy(dtype=float)), n_toxic + n_clean, forms)
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -361,6 +361,27 @@ def test_toxic_words_and_stems_are_learned_and_quotes_are_apart(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_misspelled_inflected_terms_are_found(spark):
+    machine = toxicity.Automaton([], ["qqstem", "zzbl"], ["zzblocken"])
+    for word, kind in [("qqstemish", 2), ("qqsteem", 3), ("qqstam", 3), ("qqxstemish", 3), ("qstemish", 3), ("qqtsemish", 0), ("qqstedish", 0), ("zzblocken", 2), ("zbblocken", 3), ("zzlocken", 3), ("zzlocked", 0)]:
+        assert machine.kind(word) == kind, word
+    rng = random.Random(12)
+    ends = ["ing", "ed", "er", "ers"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        term = ("wwxyz" if i % 8 else "wzxwyz") + ends[i // 8 % 4]
+        rows.append((i, prose(rng, 40) + (f" {term}" if toxic else ""), "en", "s", 0))
+        labels.append((i, 1, toxic))
+    near = ["wxyzing", "wwxxyzed", "wzwyzer", "wzxyzers", "wzzwyzing"]
+    rows += [(1000 + k, f"{prose(rng, 40)} {w}", "en", "s", 0) for k, w in enumerate(near)]
+    df, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, marks)
+    assert any("wwxyz".startswith(s) for s in model.stems) and {f"wwxyz{e}" for e in ends} <= set(model.forms) | set(model.words)
+    kinds = toxicity._Kinds(toxicity.Automaton(model.words, model.stems, model.forms))
+    assert [kinds[w] for w in near] == [3] * len(near)
+
+
 def test_toxicity_without_labels(spark, documents, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(documents, none)
