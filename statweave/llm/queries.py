@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.llm import decontaminate, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
-from statweave.llm.common import table, text_of, written
+from statweave.llm.common import scratch, table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +63,7 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_token_output")
 def token_output(spark: SparkSession, folder: str) -> DataFrame:
-    return training_order.training_order(table(spark, folder, "documents"))
+    return training_order.shards(table(spark, folder, "documents"), scratch(spark))
 
 
 @query("op5_token_counts")

@@ -69,21 +69,25 @@ def encode(documents: DataFrame, length: int = LENGTH, folder: str | None = None
 
 
 def training_order(documents: DataFrame, length: int = LENGTH, seed: int = SEED, folder: str | None = None) -> DataFrame:
+    """The rows of ``placed`` over the encoded texts."""
+    return placed(written(encode(documents, length, folder)), length, seed)
+
+
+def placed(encoded: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """One row per sequence, range-partitioned and sorted by slot: slot, shard, byte_offset, doc_id, piece, n_ids, ids.
 
     ``ids`` always has 2 * length bytes; what lies after the first ``n_ids`` is
     padding with the end id.  A null text is empty and gives one sequence; every
     row of a repeated document gets its own; an empty table gives no sequences.
     """
-    spark = documents.sparkSession
-    encoded = written(encode(documents, length, folder))
+    spark = encoded.sparkSession
     tasks = encoded.groupBy("task").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     starts = written(tasks.select("task", F.coalesce(before, F.lit(0)).alias("start"), "n"))
     count = starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stride = 2 * length
     pad = np.uint16(END).tobytes()
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -101,14 +105,14 @@ def training_order(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
                 ["slot", "doc_id", "piece", "n_ids", "ids"],
             )
 
-    placed = encoded.join(sized(starts.select("task", "start")), "task").select("doc_id", "ids", (F.col("first") + F.col("start")).alias("at"))
-    rows = placed.mapInArrow(run, f"slot long, doc_id {kind}, piece int, n_ids int, ids binary")
+    numbered = encoded.join(sized(starts.select("task", "start")), "task").select("doc_id", "ids", (F.col("first") + F.col("start")).alias("at"))
+    rows = numbered.mapInArrow(run, f"slot long, doc_id {kind}, piece int, n_ids int, ids binary")
     shard = F.expr(f"slot div {SHARD_SEQUENCES}L")
     shards = -(-count // SHARD_SEQUENCES)
     # Slots are dense, so equal ranges of shards are equal partitions; no sample is drawn.
     parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * stride // (64 << 20))))
     ranged = rows.withColumn("shard", shard).repartitionById(parts, F.expr(f"int(shard * {parts} div {max(shards, 1)})"))
-    return ranged.sortWithinPartitions("slot").select("slot", "shard", F.expr(f"(slot % {SHARD_SEQUENCES}L) * {stride + 1}L").alias("byte_offset"), "doc_id", "piece", "n_ids", "ids")
+    return ranged.sortWithinPartitions("shard", "slot").select("slot", "shard", F.expr(f"(slot % {SHARD_SEQUENCES}L) * {stride + 1}L").alias("byte_offset"), "doc_id", "piece", "n_ids", "ids")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -116,7 +120,16 @@ def write_shards(ordered: DataFrame, path: str) -> None:
 
     The file of a shard is its sequences in order of their slots, each followed by
     one line feed, so slot k is at ``byte_offset``.  Spark's own writer commits the
-    files, so any store and retried tasks are safe.
+    files, so any store and retried tasks are safe.  Rows are sorted by shard and
+    slot here, as the writer would put a sort by shard alone in place of another.
     """
-    raw = ordered.select("shard", F.col("ids").cast("string").alias("value"))
+    raw = ordered.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
     raw.write.partitionBy("shard").option("lineSep", "\n").text(path)
+
+
+def shards(documents: DataFrame, path: str, length: int = LENGTH, seed: int = SEED, folder: str | None = None) -> DataFrame:
+    """Write the shard files under ``path``; return their index: the rows of ``placed`` with the shard's folder in place of the ids."""
+    encoded = written(encode(documents, length, folder))
+    write_shards(placed(encoded, length, seed), path)
+    index = placed(encoded, length, seed).drop("ids")
+    return index.withColumn("folder", F.concat(F.lit(f"{path}/shard="), F.col("shard").cast("string")))

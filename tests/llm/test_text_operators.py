@@ -554,6 +554,23 @@ def test_shards_read_back_as_the_ids(spark, documents, corpus, folder, monkeypat
             assert np.frombuffer(whole[i], dtype="<u2").tolist() == [*encode.exact.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_shard_files_are_in_slot_order_without_a_cache(spark, corpus, folder, monkeypatch):
+    monkeypatch.setattr(training_order, "SHARD_SEQUENCES", 50)
+    documents = spark.createDataFrame([r for r in corpus if r[0] is not None and r[0] < 120], SCHEMA).repartition(8)
+    training_order.write_shards(training_order.training_order(documents, 32), f"{folder}/plain")
+    for path, index in [(f"{folder}/plain", training_order.training_order(documents, 32)), (f"{folder}/index", training_order.shards(documents, f"{folder}/index", 32))]:
+        encode, whole, files, rows = tokens.encoder(), {}, {}, index.collect()
+        assert sorted(r.slot for r in rows) == list(range(len(rows))) and len(rows) > 100
+        for r in sorted(rows, key=lambda r: r.piece):
+            if r.shard not in files:
+                (part,) = spark.read.format("binaryFile").load(f"{path}/shard={r.shard}").collect()
+                files[r.shard] = bytes(part.content)
+            whole[r.doc_id] = whole.get(r.doc_id, b"") + files[r.shard][r.byte_offset : r.byte_offset + 2 * r.n_ids]
+        for i, text, *_ in corpus:
+            if i in whole:
+                assert np.frombuffer(whole[i], dtype="<u2").tolist() == [*encode.exact.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 # -- empty tables, all operators ----------------------------------------------------
 
 
