@@ -2,10 +2,11 @@
 
 Counts are quantised on a logarithmic scale.  An n-gram of level q is put into a
 filter q times, as (n-gram, 1) to (n-gram, q); a reader probes these in turn, and
-the first that is missing tells the level.  One filter holds the words, one the
-pairs of words that occur twice or more.  Both are built by ranges of their
-blocks, grow with the n-grams, and are broadcast within a stated size: where the
-pairs would not fit, the smallest count kept is raised until they do.
+the first that is missing tells the level.  One filter holds the words, one all
+pairs of words, those that occur once too.  Both grow with the n-grams and are
+built by ranges of their blocks.  The filter of pairs is broadcast in parts of a
+stated size: a pass over the texts scores the tokens whose pairs lie in its part,
+and the passes' scores of a text add up.
 
 A pair's probability mixes its own estimate with the word's (add-one):
 p(w|h) = a c(hw)/c(h) + (1 - m) p(w).  The discount a and the mass m depend on the
@@ -16,6 +17,7 @@ occurrence out, summed over the corpus.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,14 @@ from statweave.llm.shingles import ODD, mixed, word_hashes, words_of
 
 # Counts of at most this many words are broadcast, the most frequent; the rest are joined.
 FREQUENT = 1 << 20
-# A filter takes at most this many bytes.
+# A pass holds at most this many bytes of the filter of pairs, one segment at least; more bytes take more passes.
 FILTER_BYTES = 1 << 29
 BITS_PER_KEY = 12
 PROBES = 6
 BLOCK_BITS = 512
 SEGMENT_BLOCKS = 1 << 14
 LEVELS = 64
-MIN_PAIR = 2
+MIN_PAIR = 1
 FLUSH = 4_000_000
 CHUNK_TOKENS = 400_000
 END = np.uint64(0xE4D)
@@ -54,10 +56,17 @@ def estimates(first: int = 1) -> np.ndarray:
 
 
 class Filter:
-    """Bits in blocks: a key's levels lie in the block that the key names."""
+    """Bits in blocks: a key's levels lie in the block that the key names.  ``bits`` may hold a part of the blocks, from ``first`` on."""
 
-    def __init__(self, bits: np.ndarray, blocks: int):
-        self.bits, self.blocks = bits, blocks
+    def __init__(self, bits: np.ndarray, blocks: int, first: int = 0):
+        self.bits, self.blocks, self.first = bits, blocks, first
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether a key's block lies in this part; true for all keys of an empty filter."""
+        if not self.blocks:
+            return np.ones(len(keys), dtype=bool)
+        at = self.block(keys, self.blocks)
+        return (at >= np.uint64(self.first)) & (at < np.uint64(self.first + len(self.bits) * 8 // BLOCK_BITS))
 
     @staticmethod
     def block(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -78,7 +87,7 @@ class Filter:
         """The level of each key: probes go on while a key's bits are all set."""
         out = np.zeros(len(keys), dtype=np.int64)
         active = np.arange(len(keys) if self.blocks else 0)
-        start = self.block(keys, self.blocks) * np.uint64(BLOCK_BITS)
+        start = (self.block(keys, self.blocks) - np.uint64(self.first)) * np.uint64(BLOCK_BITS)
         for q in range(1, LEVELS + 1):
             x = self.step(keys[active], q)
             for j in range(PROBES):
@@ -91,16 +100,25 @@ class Filter:
         return out
 
 
-def build(entries: DataFrame, keys: int) -> Filter:
-    """A filter of the rows (key, q); ``keys`` is the sum of q.  Segments are built apart and gathered, FILTER_BYTES at most."""
+def segments(keys: int) -> int:
+    """The segments of a filter of so many keys."""
+    return math.ceil(math.ceil(keys * BITS_PER_KEY / BLOCK_BITS) / SEGMENT_BLOCKS)
+
+
+def build(entries: DataFrame, keys: int, first: int = 0, last: int | None = None) -> Filter:
+    """The segments from ``first`` to before ``last`` of a filter of the rows (key, q); ``keys`` is the sum of q over all of them.  Segments are built apart and gathered."""
     blocks = math.ceil(keys * BITS_PER_KEY / BLOCK_BITS)
     if not blocks:
         return Filter(np.zeros(0, dtype=np.uint8), 0)
+    last = segments(keys) if last is None else last
 
     def deal(batches):
         for batch in batches:
             x = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             segment = (Filter.block(x, blocks) // np.uint64(SEGMENT_BLOCKS)).astype(np.int32)
+            inside = (segment >= first) & (segment < last)
+            if not inside.all():
+                batch, segment = batch.filter(pa.array(inside)), segment[inside]
             yield pa.RecordBatch.from_arrays([pa.array(segment), batch.column("key"), batch.column("q")], ["segment", "key", "q"])
 
     def fill(group: pa.Table) -> pa.Table:
@@ -118,10 +136,11 @@ def build(entries: DataFrame, keys: int) -> Filter:
     dealt = entries.select("key", "q").mapInArrow(deal, "segment int, key long, q int")
     found = dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary").toLocalIterator()
     size = SEGMENT_BLOCKS * BLOCK_BITS // 8
-    out = np.zeros(math.ceil(blocks / SEGMENT_BLOCKS) * size, dtype=np.uint8)
+    out = np.zeros((last - first) * size, dtype=np.uint8)
     for row in found:
-        out[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return Filter(out, blocks)
+        at = (row["segment"] - first) * size
+        out[at : at + size] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return Filter(out, blocks, first * SEGMENT_BLOCKS)
 
 
 def _tokens(text: str | None) -> np.ndarray:
@@ -262,14 +281,10 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
     held_words = spark.sparkContext.broadcast(words)
     pairs = written(pair_counts(texts, held_words, n))
 
-    # The filter of pairs: the smallest count kept is raised only where the bits would not fit.
     graded_pairs = _levels(pairs, MIN_PAIR)
-    per = sorted((r.q, r.n) for r in graded_pairs.groupBy("q").agg(F.count("*").alias("n")).collect())
-    lowest = next(q for q in range(1, LEVELS + 2) if sum(a * k for a, k in per if a >= q) * BITS_PER_KEY <= 8 * FILTER_BYTES)
-    kept = graded_pairs.where(F.col("q") >= lowest)
-    filter_ = build(kept, sum(a * k for a, k in per if a >= lowest))
+    pair_levels = graded_pairs.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
     at = F.col("key").bitwiseAND(F.lit(63)).alias("at")
-    told = {r.at: (r.c, r.less) for r in kept.groupBy(at).agg(F.sum("c").alias("c"), F.sum(F.col("c") - 1).alias("less")).collect()}
+    told = {r.at: (r.c, r.less) for r in pairs.groupBy(at).agg(F.sum("c").alias("c"), F.sum(F.col("c") - 1).alias("less")).collect()}
     discount, mass = np.zeros(64), np.zeros(64)
     for q, (c, less) in told.items():
         if q in by_level and c:
@@ -281,27 +296,36 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
     keys_ = frequent.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys_)
     top = keys_[order], frequent.column("c").to_numpy().astype(np.float64)[order]
-    model = spark.sparkContext.broadcast((words, filter_, top, discount, mass))
+    step = max(1, FILTER_BYTES * 8 // (SEGMENT_BLOCKS * BLOCK_BITS))
+    parts = [(i, min(i + step, segments(pair_levels))) for i in range(0, segments(pair_levels), step)] or [(0, 0)]
     whole = math.log10(n + v + 1)
     expected, expected_pairs = estimates(), estimates(MIN_PAIR)
     smooth = sum(float(expected[min(q, LEVELS)]) * k for q, (_, k) in by_level.items()) + v + 1
 
+    def likely(words_, pairs_, word, history, starts):
+        """The log10 probabilities of the tokens whose pairs lie in this part, summed by text."""
+        single = words_.levels(word)
+        before = np.concatenate([[0], single[:-1]])
+        before[starts] = words_.levels(np.array([END]))[0]
+        before = np.minimum(before, 63)
+        key = _pair_keys(history, word, before)
+        mine = pairs_.holds(key)
+        before, lone = before[mine], (expected[single[mine]] + 1) / smooth
+        both = np.minimum(pairs_.levels(key[mine]), LEVELS)
+        ratio = np.minimum(expected_pairs[both] / np.maximum(expected[before], 1.0), 1.0)
+        p = discount[before] * ratio + (1 - mass[before]) * lone
+        each = np.zeros(len(word))
+        each[mine] = np.log10(np.minimum(p, 1.0))
+        return np.add.reduceat(each, starts)
+
     def run(batches):
-        words_, pairs_, (keys, c), discount_, mass_ = model.value
+        words_, pairs_, keys, c = held_words.value, model.value, *held_top.value
         for batch, index, tokens in _chunks(batches):
             sizes = np.array([len(t) for t in tokens])
             of = np.repeat(np.arange(len(tokens)), sizes)
             word, history = np.concatenate(tokens), np.concatenate([_before(t) for t in tokens])
-            single = words_.levels(word)
-            lone = (expected[single] + 1) / smooth
-            before = np.concatenate([[0], single[:-1]])
             starts = np.cumsum(sizes) - sizes
-            before[starts] = words_.levels(np.array([END]))[0]
-            before = np.minimum(before, 63)
-            both = np.minimum(pairs_.levels(_pair_keys(history, word, before)), LEVELS)
-            ratio = np.minimum(expected_pairs[both] / np.maximum(expected[before], 1.0), 1.0)
-            p = discount_[before] * ratio + (1 - mass_[before]) * lone
-            scores = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+            scores = likely(words_, pairs_, word, history, starts)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
                 known = keys[place] == word
@@ -324,12 +348,31 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
                 none = [pa.nulls(e, t) for t in (chosen.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rest_of[edge]]), *none, pa.array(rest[edge].view(np.int64)), pa.array(often)], NAMES)
 
+    def again(batches):
+        for batch, index, tokens in _chunks(batches):
+            word, history = np.concatenate(tokens), np.concatenate([_before(t) for t in tokens])
+            sizes = np.array([len(t) for t in tokens])
+            scores = likely(held_words.value, model.value, word, history, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(index)), pa.array(scores)], ["_row", "_more"])
+
     kind = documents.schema["doc_id"].dataType.simpleString()
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    # Several passes read the same rows under the same numbers.
+    numbered = written(numbered) if len(parts) > 1 else numbered
+    held_top = spark.sparkContext.broadcast(top)
+    model = spark.sparkContext.broadcast(build(graded_pairs, pair_levels, *parts[0]))
     out = written(numbered.mapInArrow(run, f"_row long, doc_id {kind}, _train boolean, n_tokens long, n_known long, part double, score double, key long, times long"))
     rare = out.where("key is not null").select("_row", "key", "times").join(counts, "key")
     added = rare.groupBy("_row").agg(F.sum("times").alias("_times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_part"))
     found = out.where("key is null").drop("key", "times").join(sized(written(added)), "_row", "left")
+    more = []
+    for part in parts[1:]:
+        model.unpersist()
+        model = spark.sparkContext.broadcast(build(graded_pairs, pair_levels, *part))
+        more.append(written(numbered.select("_row", "text").mapInArrow(again, "_row long, _more double")))
+    if more:
+        sums = reduce(DataFrame.unionByName, more).groupBy("_row").agg(F.sum("_more").alias("_more"))
+        found = found.join(sums, "_row").withColumn("score", F.col("score") + F.col("_more"))
     base = F.col("part") + F.coalesce("_part", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)
     return found.select(
         "doc_id",

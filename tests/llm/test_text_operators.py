@@ -477,6 +477,27 @@ def test_base_score_is_the_exact_word_model(spark, documents, corpus, monkeypatc
     assert all(r.score > 1.2 * r.base_score for r in got)
 
 
+def test_pairs_in_passes_score_the_same_and_counts_of_one_stay(spark, documents, monkeypatch):
+    train = F.col("doc_id") % 7 != 2
+    monkeypatch.setattr(language_model, "SEGMENT_BLOCKS", 64)
+
+    def scores():
+        return {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in language_model.score(documents, train).collect()}
+
+    one = scores()
+    monkeypatch.setattr(language_model, "FILTER_BYTES", 2 * 64 * language_model.BLOCK_BITS // 8)
+    made, build = [], language_model.build
+    monkeypatch.setattr(language_model, "build", lambda *a: made.append(a[2:]) or build(*a))
+    several = scores()
+    assert len([m for m in made if m]) > 2 and one.keys() == several.keys()
+    assert all(math.isclose(one[k], several[k], rel_tol=1e-9) for k in one)
+
+    texts = [f"a w{i} b" for i in range(20)] + [f"w{i} c b" for i in range(20) for _ in range(3)]
+    empty = spark.sparkContext.broadcast(language_model.Filter(np.zeros(0, dtype=np.uint8), 0))
+    counts = language_model.pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), empty, 100)
+    assert Counter(r.c for r in counts.collect()) == {1: 40, 3: 40, 20: 1, 60: 1, 80: 1}
+
+
 def test_filter_levels():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
