@@ -6,6 +6,9 @@ of n shingles that is contained to the share t misses at most n - ceil(t n) of
 them, so one more hash than that always meets a document that contains it,
 however long the document is.  Documents probe with all their shingles; what a
 sketch hash meets is a candidate, and exact containment of the shingles decides.
+
+An item of under five words is one shingle of all its words, as such a document
+is: it is found where it is the whole document, not inside a longer one.
 """
 
 from __future__ import annotations
