@@ -8,11 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statweave.plans.tables import checkpoint_dir
 
-# A keyed table is broadcast only after its rows were counted to be at most this many.
+# A keyed table is broadcast only after its rows and their bytes were counted to be at most this many.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
 # White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 # A task cuts what Arrow hands it into pieces of about this many characters, so that memory stays level.
@@ -42,9 +44,34 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table made by ``written`` once nothing reads it any more."""
+    paths = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for path in paths:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getName().startswith("text-"):
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """Mark a written table for broadcast if it was counted to be small; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Mark a written table for broadcast if its rows and bytes were counted to be few; otherwise the join shuffles."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    rows, total = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
 
 
 def highest(sizes: dict[int, int], most: int) -> int:
@@ -64,8 +91,13 @@ def text_of(name: str = "text") -> Column:
 
 
 def text_hashes(text: Column) -> list[Column]:
-    """Two 64-bit hashes that stand for a text in joins."""
-    return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    """Two 64-bit hashes that stand for a text in joins.
+
+    A hash of several columns is that of the last one, seeded with that of those
+    before it.  The constant has to come first: behind the text it would only
+    scramble the first hash, and the two would hold 64 bits between them.
+    """
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
 def text_key(text: Column) -> list[Column]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import decontaminate, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
+from statweave.llm import decontaminate, exact_dedup, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
 from statweave.llm.common import scratch, table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,15 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+COPIES = r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as text from documents),
+g as (select text, min(doc_id) as keep_id, count(*) as group_size from t group by text)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256 from t join g using (text)
+"""
+
+
+@query("op12_exact_dedup", COPIES)
+def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, folder, "documents"))
