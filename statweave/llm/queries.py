@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import decontaminate, exact_dedup, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
+from statweave.llm import centroid_clusters, decontaminate, exact_dedup, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
 from statweave.llm.common import scratch, table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,32 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as te
 @query("op12_exact_dedup", COPIES)
 def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
+
+
+_VECTORS = """
+with kept as (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id::varchar)) - 1 as c, v from kept qualify c < 16)"""
+_ROUND = """,
+a{i} as (select r, arg_min(c, (d, c)) as c, min(d) as d
+         from (select x.r, k.c, list_sum(list_transform(list_zip(x.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept x, c{i} k) group by r)"""
+_MOVE = """,
+s{i} as (select c, j, floor(sum(v[j]) / count(*))::bigint as m from a{i} join kept using (r), range(1, 65) g(j) group by c, j),
+c{n} as (select c, coalesce(moved.v, c{i}.v) as v from c{i} left join (select c, list(m order by j) as v from s{i} group by c) moved using (c))"""
+CLUSTERED = (
+    _VECTORS
+    + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, n=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+       sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join kept using (r) join c3 using (c)
+"""
+)
+
+
+@query("op11_centroid_clustering", CLUSTERED)
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    assigned, centroids = centroid_clusters.cluster(table(spark, folder, "embeddings"))
+    return centroid_clusters.summary(assigned, centroids)
