@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statweave.llm import centroid_clusters, decontaminate, exact_dedup, fingerprints, language_model, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
+from statweave.llm import centroid_clusters, decontaminate, exact_dedup, fingerprints, language_model, lexical_search, lines, ngram_join, packing, sharding, token_counts, toxicity, training_order
 from statweave.llm.common import scratch, table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,22 @@ from a3 join kept using (r) join c3 using (c)
 def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     assigned, centroids = centroid_clusters.cluster(table(spark, folder, "embeddings"))
     return centroid_clusters.summary(assigned, centroids)
+
+
+RANKED = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+d as (select doc_id, w, len(w) as n from w where len(w) > 0),
+s as (select count(*) as docs, sum(n)::bigint as words from d),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+p as (select doc_id, n, t, count(*) as tf from (select doc_id, n, unnest(w) as t from d) group by all),
+f as (select t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as weight from p, s group by t),
+r as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words)))))::bigint as score
+      from i join p using (t) join f using (t), s group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from r where score > 0 qualify rank <= 10
+"""
+
+
+@query("op13_ranked_lexical_search", RANKED)
+def ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
