@@ -15,10 +15,13 @@ table is written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statweave.llm.common import sized, small_batches, written
@@ -30,6 +33,10 @@ SHARD_SEQUENCES = 16_384
 END = 2
 SEED = 20
 ROUNDS = 6
+# Rounds in which shards are written; more take less space for shuffles and read the encoded ids more often.
+WRITE_ROUNDS = 2
+# Bytes of ids that a task holds before it sends them.
+FLUSH_BYTES = 64 << 20
 
 
 def permuted(numbers: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
@@ -51,7 +58,7 @@ def permuted(numbers: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
 
 
 def encode(documents: DataFrame, length: int = LENGTH, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, its ids with the end id (16-bit little-endian), its task and the sequences before it there."""
+    """One row per document: doc_id, its ids with the end id (16-bit little-endian), how many, its task and the sequences before it there."""
     small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -60,12 +67,13 @@ def encode(documents: DataFrame, length: int = LENGTH, folder: str | None = None
         ids_of, before, task = encoder(folder), 0, TaskContext.get().partitionId()
         for batch in batches:
             data = [np.append(ids_of(t.as_py()), np.uint32(END)).astype("<u2").tobytes() for t in batch.column("text")]
-            n = np.array([-(-len(d) // (2 * length)) for d in data], dtype=np.int64)
+            size = np.array([len(d) // 2 for d in data], dtype=np.int64)
+            n = -(-size // length)
             first = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary()), pa.array(np.full(len(n), task)), pa.array(first), pa.array(n)], ["doc_id", "ids", "task", "first", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary()), pa.array(size), pa.array(np.full(len(n), task)), pa.array(first), pa.array(n)], ["doc_id", "ids", "size", "task", "first", "n"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, task long, first long, n long")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, size long, task long, first long, n long")
 
 
 def training_order(documents: DataFrame, length: int = LENGTH, seed: int = SEED, folder: str | None = None) -> DataFrame:
@@ -73,46 +81,112 @@ def training_order(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
     return placed(written(encode(documents, length, folder)), length, seed)
 
 
-def placed(encoded: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """One row per sequence, range-partitioned and sorted by slot: slot, shard, byte_offset, doc_id, piece, n_ids, ids.
+def _numbered(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """The encoded documents with ``at``, the number of their first sequence in the whole table, and the count of all sequences."""
+    tasks = encoded.groupBy("task").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(tasks.select("task", F.coalesce(before, F.lit(0)).alias("start"), "n"))
+    count = starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return encoded.join(sized(starts.select("task", "start")), "task").withColumn("at", F.col("first") + F.col("start")), count
+
+
+def _cut(batch: pa.RecordBatch, length: int, count: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row, piece, size and slot of each sequence of the documents of a batch."""
+    n, at, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "at", "size"))
+    row = np.repeat(np.arange(len(n)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, piece, np.minimum(size[row] - piece * length, length), permuted(at[row] + piece, count, seed)
+
+
+def placed(encoded: DataFrame, length: int = LENGTH, seed: int = SEED, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """One row per sequence, or those of a share (k of n) of the shards, range-partitioned and sorted by slot: slot, shard, byte_offset, doc_id, piece, n_ids, ids.
 
     ``ids`` always has 2 * length bytes; what lies after the first ``n_ids`` is
     padding with the end id.  A null text is empty and gives one sequence; every
     row of a repeated document gets its own; an empty table gives no sequences.
+
+    Sequences travel without padding, those of one task for one partition together
+    in compressed Arrow streams, as the ids of one sequence alone compress badly.
     """
     spark = encoded.sparkSession
-    tasks = encoded.groupBy("task").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = written(tasks.select("task", F.coalesce(before, F.lit(0)).alias("start"), "n"))
-    count = starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    numbered, count = _numbered(encoded)
     stride = 2 * length
     pad = np.uint16(END).tobytes()
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    shards = -(-count // SHARD_SEQUENCES)
+    low, high = (shards * k // share[1] for k in (share[0], share[0] + 1))
+    # Slots are dense, so equal ranges of shards are equal partitions; no sample is drawn.
+    parts = max(1, min(high - low, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (high - low) * SHARD_SEQUENCES * stride // (64 << 20))))
+
+    def send(batches):
+        held, size = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            part = (rows.column("slot").to_numpy() // SHARD_SEQUENCES - low) * parts // max(high - low, 1)
+            rows = rows.take(pa.array(np.argsort(part, kind="stable")))
+            names, sizes = np.unique(part, return_counts=True)
+            at, blobs = 0, []
+            for k in sizes.tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.slice(at, k).combine_chunks())
+                blobs.append(sink.getvalue().to_pybytes())
+                at += k
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+        for batch in batches:
+            row, piece, n_ids, slots = _cut(batch, length, count, seed)
+            mine = (slots >= low * SHARD_SEQUENCES) & (slots < high * SHARD_SEQUENCES)
+            row, piece, n_ids, slots = row[mine], piece[mine], n_ids[mine], slots[mine]
+            ids = batch.column("ids")
+            raw = [ids[i].as_py() for i in range(batch.num_rows)]
+            data = [raw[i][p * stride : (p + 1) * stride] for i, p in zip(row.tolist(), piece.tolist(), strict=True)]
+            columns = [pa.array(slots), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(n_ids.astype(np.int32)), pa.array(data, pa.binary())]
+            held.append(pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "piece", "n_ids", "ids"]))
+            size += sum(map(len, data))
+            if size > FLUSH_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def unpack(batches):
+        for batch in batches:
+            for blob in batch.column("rows"):
+                with pa.ipc.open_stream(blob.as_buffer()) as stream:
+                    for rows in stream:
+                        data = [d.as_py() for d in rows.column("ids")]
+                        full = pa.array([d + pad * (length - len(d) // 2) for d in data], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("slot", "doc_id", "piece", "n_ids")), full], ["slot", "doc_id", "piece", "n_ids", "ids"])
+
+    sent = numbered.select("doc_id", "ids", "size", "n", "at").mapInArrow(send, "part int, rows binary")
+    rows = sent.repartitionById(parts, "part").mapInArrow(unpack, f"slot long, doc_id {kind}, piece int, n_ids int, ids binary")
+    ranged = rows.select("slot", _shard(), _offset(length), "doc_id", "piece", "n_ids", "ids")
+    return ranged.sortWithinPartitions("shard", "slot")
+
+
+def _shard() -> Column:
+    return F.expr(f"slot div {SHARD_SEQUENCES}L").alias("shard")
+
+
+def _offset(length: int) -> Column:
+    return F.expr(f"(slot % {SHARD_SEQUENCES}L) * {2 * length + 1}L").alias("byte_offset")
+
+
+def index(encoded: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """The rows of ``placed`` without the ids and in no order: nothing but lengths is read, and nothing is shuffled."""
+    numbered, count = _numbered(encoded.drop("ids"))
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            source, piece, size, data, number = [], [], [], [], []
-            firsts, ids = batch.column("at").to_pylist(), batch.column("ids")
-            for i, first in enumerate(firsts):
-                raw = ids[i].as_py()
-                for p in range(-(-len(raw) // stride)):
-                    part = raw[p * stride : (p + 1) * stride]
-                    source.append(i), piece.append(p), size.append(len(part) // 2), number.append(first + p)
-                    data.append(part + pad * (length - len(part) // 2))
-            slots = permuted(np.array(number, dtype=np.int64), count, seed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(data, pa.binary())],
-                ["slot", "doc_id", "piece", "n_ids", "ids"],
-            )
-
-    numbered = encoded.join(sized(starts.select("task", "start")), "task").select("doc_id", "ids", (F.col("first") + F.col("start")).alias("at"))
-    rows = numbered.mapInArrow(run, f"slot long, doc_id {kind}, piece int, n_ids int, ids binary")
-    shard = F.expr(f"slot div {SHARD_SEQUENCES}L")
-    shards = -(-count // SHARD_SEQUENCES)
-    # Slots are dense, so equal ranges of shards are equal partitions; no sample is drawn.
-    parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * stride // (64 << 20))))
-    ranged = rows.withColumn("shard", shard).repartitionById(parts, F.expr(f"int(shard * {parts} div {max(shards, 1)})"))
-    return ranged.sortWithinPartitions("shard", "slot").select("slot", "shard", F.expr(f"(slot % {SHARD_SEQUENCES}L) * {stride + 1}L").alias("byte_offset"), "doc_id", "piece", "n_ids", "ids")
+            row, piece, n_ids, slots = _cut(batch, length, count, seed)
+            columns = [pa.array(slots), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(n_ids.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "piece", "n_ids"])
+
+    rows = numbered.select("doc_id", "size", "n", "at").mapInArrow(run, f"slot long, doc_id {kind}, piece int, n_ids int")
+    return rows.select("slot", _shard(), _offset(length), "doc_id", "piece", "n_ids")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -124,12 +198,30 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     slot here, as the writer would put a sort by shard alone in place of another.
     """
     raw = ordered.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
-    raw.write.partitionBy("shard").option("lineSep", "\n").text(path)
+    raw.write.mode("append").partitionBy("shard").option("lineSep", "\n").text(path)
 
 
-def shards(documents: DataFrame, path: str, length: int = LENGTH, seed: int = SEED, folder: str | None = None) -> DataFrame:
-    """Write the shard files under ``path``; return their index: the rows of ``placed`` with the shard's folder in place of the ids."""
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the job that made them ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shards(documents: DataFrame, path: str, length: int = LENGTH, seed: int = SEED, folder: str | None = None, rounds: int = WRITE_ROUNDS) -> DataFrame:
+    """Write the shard files under ``path``; return their index: the rows of ``placed``, in no order, with the shard's folder in place of the ids.
+
+    The shards are written in rounds, each of an equal range of them, and a round's
+    shuffle files are removed when it ends: on disk lie the encoded ids, a round's
+    share of them in a shuffle, and the files.
+    """
     encoded = written(encode(documents, length, folder))
-    write_shards(placed(encoded, length, seed), path)
-    index = placed(encoded, length, seed).drop("ids")
-    return index.withColumn("folder", F.concat(F.lit(f"{path}/shard="), F.col("shard").cast("string")))
+    with _shuffles_removed(documents.sparkSession):
+        for k in range(rounds):
+            write_shards(placed(encoded, length, seed, (k, rounds)), path)
+    return index(encoded, length, seed).withColumn("folder", F.concat(F.lit(f"{path}/shard="), F.col("shard").cast("string")))
