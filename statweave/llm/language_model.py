@@ -17,15 +17,17 @@ occurrence out, summed over the corpus.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statweave.llm.common import highest, sized, small_batches, written
-from statweave.llm.shingles import ODD, mixed, word_hashes, words_of
+from statweave.llm.shingles import ODD, mixed, words_of
 
 # Counts of at most this many words are broadcast, the most frequent; the rest are joined.
 FREQUENT = 1 << 20
@@ -39,6 +41,8 @@ LEVELS = 64
 MIN_PAIR = 1
 FLUSH = 4_000_000
 CHUNK_TOKENS = 400_000
+# Words that a task numbers before it begins anew.
+LEXICON_WORDS = 500_000
 END = np.uint64(0xE4D)
 KEY_BYTES = 7
 
@@ -77,23 +81,33 @@ class Filter:
         """A new hash of the key for each level."""
         return mixed(keys + np.uint64(at * int(ODD[2]) & (1 << 64) - 1))
 
+    @staticmethod
+    def masks(keys: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit word of the block in which (key, level) lies, and its bits there."""
+        x = Filter.step(keys, at)
+        mask = np.uint64(1) << (x & np.uint64(63))
+        for j in range(1, PROBES):
+            mask |= np.uint64(1) << ((x >> np.uint64(6 * j)) & np.uint64(63))
+        return x >> np.uint64(61), mask
+
     @staticmethod
     def places(keys: np.ndarray, at: int) -> np.ndarray:
         """The bits of (key, level) in the block, one row for each probe."""
         x = Filter.step(keys, at)
-        return np.stack([(x >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1) for j in range(PROBES)])
+        return np.stack([((x >> np.uint64(61)) << np.uint64(6)) + ((x >> np.uint64(6 * j)) & np.uint64(63)) for j in range(PROBES)])
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probes go on while a key's bits are all set."""
         out = np.zeros(len(keys), dtype=np.int64)
-        active = np.arange(len(keys) if self.blocks else 0)
-        start = (self.block(keys, self.blocks) - np.uint64(self.first)) * np.uint64(BLOCK_BITS)
+        if not self.blocks:
+            return out
+        bits = self.bits.view("<u8")
+        start = (self.block(keys, self.blocks) - np.uint64(self.first)) * np.uint64(BLOCK_BITS // 64)
+        active = np.arange(len(keys))
         for q in range(1, LEVELS + 1):
-            x = self.step(keys[active], q)
-            for j in range(PROBES):
-                bit = start[active] + ((x >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1))
-                hit = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                active, x = active[hit], x[hit]
+            word, mask = self.masks(keys, q)
+            hit = (bits[start + word] & mask) == mask
+            active, keys, start = active[hit], keys[hit], start[hit]
             if not len(active):
                 break
             out[active] = q
@@ -143,53 +157,88 @@ def build(entries: DataFrame, keys: int, first: int = 0, last: int | None = None
     return Filter(out, blocks, first * SEGMENT_BLOCKS)
 
 
-def _tokens(text: str | None) -> np.ndarray:
-    words = words_of(text)
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = word_hashes(words)
-    out[-1] = END
-    return out
+class Lexicon(dict):
+    """The words that a task has met, by number; 0 is the end of a text.  What is known of a word is looked up once."""
+
+    def __init__(self):
+        super().__init__()
+        self._fresh: list[int] = []
+        self._hashes = np.array([END], dtype=np.uint64)
+        self._told: dict[str, np.ndarray] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        self._fresh.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = number = len(self) + 1
+        return number
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        out = np.zeros(len(words) + 1, dtype=np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return out
+
+    def hashes(self) -> np.ndarray:
+        if self._fresh:
+            self._hashes = np.concatenate([self._hashes, np.array(self._fresh, dtype=np.uint64)])
+            self._fresh = []
+        return self._hashes
+
+    def told(self, name: str, look_up: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """``look_up`` of the hashes of all words, asked of new ones only."""
+        hashes, known = self.hashes(), self._told.get(name)
+        if known is None:
+            self._told[name] = look_up(hashes)
+        elif len(known) < len(hashes):
+            self._told[name] = np.concatenate([known, look_up(hashes[len(known) :])])
+        return self._told[name]
 
 
 def _chunks(batches):
-    """Row indices and tokens of each batch, in chunks of bounded tokens."""
+    """Row indices and tokens of each batch, in chunks of bounded tokens, with the lexicon that numbers them."""
+    lexicon = Lexicon()
     for batch in batches:
         rows, held, size = [], [], 0
         for i, text in enumerate(batch.column("text")):
             rows.append(i)
-            held.append(_tokens(text.as_py()))
+            held.append(lexicon.numbers(text.as_py()))
             size += len(held[-1])
             if size > CHUNK_TOKENS:
-                yield batch, rows, held
+                yield batch, rows, held, lexicon
                 rows, held, size = [], [], 0
+                if len(lexicon) > LEXICON_WORDS:
+                    lexicon = Lexicon()
         if rows:
-            yield batch, rows, held
+            yield batch, rows, held, lexicon
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(key, c): how often each token occurs; tasks add up their own first."""
 
     def run(batches):
-        held, size = [], 0
-        for _, _, tokens in _chunks(batches):
-            held += tokens
-            size += sum(map(len, tokens))
-            if size > FLUSH:
-                yield _counted(held)
-                held, size = [], 0
-        if held:
-            yield _counted(held)
-
-    def _counted(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
+        last, totals = None, np.zeros(0, dtype=np.int64)
+        for _, _, tokens, lexicon in _chunks(batches):
+            if last is not None and lexicon is not last:
+                yield _counted(last, totals)
+                totals = totals[:0]
+            last, n = lexicon, np.bincount(np.concatenate(tokens), minlength=len(totals))
+            n[: len(totals)] += totals
+            totals = n
+        if last is not None:
+            yield _counted(last, totals)
+
+    def _counted(lexicon, totals):
+        some = np.flatnonzero(totals)
+        return pa.RecordBatch.from_arrays([pa.array(lexicon.hashes()[some].view(np.int64)), pa.array(totals[some])], ["key", "c"])
 
     return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _before(tokens: np.ndarray) -> np.ndarray:
-    """The history of each token; a text begins after an end."""
-    return np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
+def _before(tokens: list[np.ndarray]) -> np.ndarray:
+    """The number of the word before each token; a text begins after an end."""
+    numbers = np.concatenate(tokens)
+    out = np.empty_like(numbers)
+    out[0], out[1:] = 0, numbers[:-1]
+    return out
 
 
 def _pair_keys(history: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -224,11 +273,11 @@ def pair_counts(texts: DataFrame, words, total: int) -> DataFrame:
             names = ["block", "once", "more", "counts"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names)
 
-        for _, _, tokens in _chunks(batches):
-            word = np.concatenate(tokens)
-            history = np.concatenate([_before(t) for t in tokens])
-            held.append(_pair_keys(history, word, words.value.levels(history)))
-            size += len(word)
+        for _, _, tokens, lexicon in _chunks(batches):
+            hashes, levels = lexicon.hashes(), lexicon.told("level", words.value.levels)
+            before = _before(tokens)
+            held.append(_pair_keys(hashes[before], hashes[np.concatenate(tokens)], levels[before]))
+            size += len(before)
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -302,38 +351,38 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
     expected, expected_pairs = estimates(), estimates(MIN_PAIR)
     smooth = sum(float(expected[min(q, LEVELS)]) * k for q, (_, k) in by_level.items()) + v + 1
 
-    def likely(words_, pairs_, word, history, starts):
+    def likely(words_, pairs_, tokens, lexicon, starts):
         """The log10 probabilities of the tokens whose pairs lie in this part, summed by text."""
-        single = words_.levels(word)
-        before = np.concatenate([[0], single[:-1]])
-        before[starts] = words_.levels(np.array([END]))[0]
-        before = np.minimum(before, 63)
-        key = _pair_keys(history, word, before)
+        hashes, levels = lexicon.hashes(), np.minimum(lexicon.told("level", words_.levels), LEVELS)
+        word, before = np.concatenate(tokens), _before(tokens)
+        key = _pair_keys(hashes[before], hashes[word], np.minimum(levels[before], 63))
         mine = pairs_.holds(key)
-        before, lone = before[mine], (expected[single[mine]] + 1) / smooth
+        history, lone = np.minimum(levels[before[mine]], 63), (expected[levels[word[mine]]] + 1) / smooth
         both = np.minimum(pairs_.levels(key[mine]), LEVELS)
-        ratio = np.minimum(expected_pairs[both] / np.maximum(expected[before], 1.0), 1.0)
-        p = discount[before] * ratio + (1 - mass[before]) * lone
+        ratio = np.minimum(expected_pairs[both] / np.maximum(expected[history], 1.0), 1.0)
+        p = discount[history] * ratio + (1 - mass[history]) * lone
         each = np.zeros(len(word))
         each[mine] = np.log10(np.minimum(p, 1.0))
         return np.add.reduceat(each, starts)
 
     def run(batches):
         words_, pairs_, keys, c = held_words.value, model.value, *held_top.value
-        for batch, index, tokens in _chunks(batches):
+
+        def frequent_count(hashes):
+            place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+            return np.where(keys[place] == hashes, c[place], 0.0) if len(keys) else np.zeros(len(hashes))
+
+        for batch, index, tokens, lexicon in _chunks(batches):
             sizes = np.array([len(t) for t in tokens])
             of = np.repeat(np.arange(len(tokens)), sizes)
-            word, history = np.concatenate(tokens), np.concatenate([_before(t) for t in tokens])
             starts = np.cumsum(sizes) - sizes
-            scores = likely(words_, pairs_, word, history, starts)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
-                known = keys[place] == word
-                part = np.add.reduceat(np.where(known, np.log10(c[place] + 1), 0.0), starts)
-            else:
-                known, part = np.zeros(len(word), dtype=bool), np.zeros(len(tokens))
+            scores = likely(words_, pairs_, tokens, lexicon, starts)
+            word = np.concatenate(tokens)
+            count = lexicon.told("count", frequent_count)[word]
+            known = count > 0
+            part = np.add.reduceat(np.log10(count + 1), starts)
             n_known = np.add.reduceat(known.astype(np.int64), starts)
-            rest, rest_of = word[~known], of[~known]
+            rest, rest_of = lexicon.hashes()[word[~known]], of[~known]
             pair = np.lexsort((rest, rest_of))
             rest, rest_of = rest[pair], rest_of[pair]
             edge = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (rest_of[1:] != rest_of[:-1])])) if len(rest) else np.empty(0, dtype=np.int64)
@@ -349,10 +398,9 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rest_of[edge]]), *none, pa.array(rest[edge].view(np.int64)), pa.array(often)], NAMES)
 
     def again(batches):
-        for batch, index, tokens in _chunks(batches):
-            word, history = np.concatenate(tokens), np.concatenate([_before(t) for t in tokens])
+        for batch, index, tokens, lexicon in _chunks(batches):
             sizes = np.array([len(t) for t in tokens])
-            scores = likely(held_words.value, model.value, word, history, np.cumsum(sizes) - sizes)
+            scores = likely(held_words.value, model.value, tokens, lexicon, np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(index)), pa.array(scores)], ["_row", "_more"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
