@@ -1172,6 +1172,20 @@ def _(t):
     return _issues(t).select("kind", "location", "severity", "n")
 
 
+@query(
+    "near_labels",
+    """with l as (select distinct 'c_name' as variable, lower(trim(c_name)) as s from customer union select distinct 's_name', lower(trim(s_name)) from supplier
+      union select distinct 'p_type', lower(trim(p_type)) from part),
+     p as (select a.variable, a.s as a, b.s as b, abs(len(a.s) - len(b.s)) as gap from l a join l b on a.variable = b.variable and a.s < b.s and abs(len(a.s) - len(b.s)) <= 2)
+     select variable, count(*) as pairs from p where case when contains(a, b) or contains(b, a) then gap = 1 else gap + case when gap = 0 then hamming(a, b)
+      else list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: (a[i] <> b[i])::int)) end <= 2 end group by variable""",
+)
+def _(t):
+    names = t.customer.select("c_name", F.lit(None).cast("string").alias("s_name"), F.lit(None).cast("string").alias("p_type"))
+    names = names.union(t.supplier.select(F.lit(None), "s_name", F.lit(None))).union(t.part.select(F.lit(None), F.lit(None), "p_type"))
+    return quality.near_labels(names, ["c_name", "s_name", "p_type"])[0]
+
+
 @query(
     "quality_summary",
     QUALITY_SQL

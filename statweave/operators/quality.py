@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statweave.functions.columns import col, data_columns, is_missing, known, num, strip, to_timestamp_any
-from statweave.operators.profile import column_facts, distinct_counts, duplicate_rows, long_values, top_values, value_text, with_role
+from statweave.operators.profile import column_facts, distinct_counts, duplicate_rows, long_values, value_text, with_role
+from statweave.plans.neighbours import near_pairs
 from statweave.plans.quantiles import exact_quantiles
 
 # Name parts of quantities that cannot be negative.
@@ -100,8 +101,8 @@ def assess_quality(df: DataFrame, now: datetime | None = None) -> DataFrame:
                 add("inconsistent_categories", c, "low", counts[f"{c}|space"], proposed=_proposal("strip", c))
             if c in variants:
                 add("inconsistent_categories", c, "medium", proposed=_proposal("normalize_case", c))
-            if near.get(c):
-                add("potential_data_entry_errors", c, "low", len(near[c]), examples=[f"{a} ≈ {b}" for a, b in near[c][:10]])
+            if c in near:
+                add("potential_data_entry_errors", c, "low", near[c][0], examples=[f"{a} ≈ {b}" for a, b in near[c][1]])
     if wanted:
         shown = reduce(DataFrame.unionAll, wanted.values()).groupBy("seq").agg(F.collect_list("v").alias("v"))
         for r in shown.collect():
@@ -188,17 +189,25 @@ def similar(a: Column, b: Column) -> Column:
     return (F.length(a) > 0) & (F.length(b) > 0) & (gap <= 2) & F.when(inside, gap == 1).otherwise(differing.between(1, 2))
 
 
-def _near_labels(df: DataFrame, labels: list[str]) -> dict[str, list[tuple[str, str]]]:
-    """Similar pairs of labels of each column; a column with this role has few."""
+def near_labels(df: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(variable, pairs): how many pairs of labels of each column are :func:`similar`; (variable, seq, first, second): the first ten, commonest labels first.
+
+    Labels that differ only by case or outer spaces are one word of the search.
+    """
+    counts = long_values(df, labels).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("count"))
+    place = F.struct((-F.col("count")).alias("c"), F.left("value", F.lit(40)).alias("v"))
+    words = counts.groupBy("variable", F.lower(strip(F.col("value"))).alias("word")).agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("place"), F.min_by("value", place).alias("label"))
+    return near_pairs(words)
+
+
+def _near_labels(df: DataFrame, labels: list[str]) -> dict[str, tuple[int, list[tuple[str, str]]]]:
     if not labels:
         return {}
-    top = top_values(df, labels, None)
-    first = top.select("variable", F.col("rank").alias("r1"), F.col("value").alias("a"))
-    second = top.select("variable", F.col("rank").alias("r2"), F.col("value").alias("b"))
-    pairs = first.join(second, "variable").where((F.col("r1") < F.col("r2")) & (F.lower("a") != F.lower("b")) & similar(F.col("a"), F.col("b")))
-    out: dict[str, list[tuple[str, str]]] = {}
-    for r in pairs.orderBy("variable", "r1", "r2").collect():
-        out.setdefault(r["variable"], []).append((r["a"], r["b"]))
+    pairs, first = near_labels(df, labels)
+    out: dict[str, tuple[int, list[tuple[str, str]]]] = {r["variable"]: (r["pairs"], []) for r in pairs.collect()}
+    if out:
+        for r in first.orderBy("variable", "seq").collect():
+            out[r["variable"]][1].append((r["first"], r["second"]))
     return out
 
 
