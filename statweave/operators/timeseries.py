@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from statweave.functions import dist
 from statweave.functions.columns import col, drop_missing, num, present, require, text_list, to_timestamp_any
 from statweave.functions.tails import t_p
+from statweave.operators import likelihood
 from statweave.operators.groups import Y, as_list, side_by_side
 from statweave.plans.gram import solve
 from statweave.plans.positions import CHUNK, HALO, POS, chunk_window, chunked, order_columns, positions
@@ -288,13 +289,27 @@ def _past(values: list, k: int) -> float:
     return 0.0 if v is None or v != v else float(v)
 
 
-def arima(df: DataFrame, y: str, time: str | None = None, order=(1, 1, 1), steps: int = 12, by: Sequence[str] = (), order_by=None) -> StatResult:
-    return _arima(df, y, time, tuple(order), None, int(steps), by, order_by, "arima", f"ARIMA{tuple(order)}")
+def _fitted(df: DataFrame, y: str, time, order, seasonal, steps: int, by, order_by, method: str, label: str, fit: str) -> StatResult:
+    order, seasonal = tuple(int(v) for v in order), tuple(int(v) for v in seasonal) if seasonal else None
+    if fit == "regression":
+        return _arima(df, y, time, order, seasonal, steps, by, order_by, method, label)
+    if fit != "likelihood":
+        raise ValueError("fit is 'likelihood' or 'regression'.")
+    poly = _difference(order[1], seasonal[1] if seasonal else 0, seasonal[3] if seasonal else 1)
+    return likelihood.arima(series(df, y, time, list(by), order_by), by, order, seasonal, poly, steps, method, label)
 
 
-def sarima(df: DataFrame, y: str, time: str | None = None, order=(1, 1, 1), seasonal_order=(1, 1, 1, 12), steps: int = 12, by: Sequence[str] = (), order_by=None) -> StatResult:
+def arima(df: DataFrame, y: str, time: str | None = None, order=(1, 1, 1), steps: int = 12, by: Sequence[str] = (), order_by=None, fit: str = "likelihood") -> StatResult:
+    """Exact maximum likelihood, stationary and invertible; ``fit="regression"`` takes two linear regressions instead."""
+    return _fitted(df, y, time, order, None, int(steps), by, order_by, "arima", f"ARIMA{tuple(order)}", fit)
+
+
+def sarima(
+    df: DataFrame, y: str, time: str | None = None, order=(1, 1, 1), seasonal_order=(1, 1, 1, 12), steps: int = 12, by: Sequence[str] = (), order_by=None, fit: str = "likelihood"
+) -> StatResult:
+    """Maximum likelihood with free parameters and a diffuse start, whose rows do not count; ``fit="regression"`` as in :func:`arima`."""
     label = f"SARIMA{tuple(order)}x{tuple(seasonal_order)}"
-    return _arima(df, y, time, tuple(order), tuple(seasonal_order), int(steps), by, order_by, "sarima", label)
+    return _fitted(df, y, time, order, seasonal_order, int(steps), by, order_by, "sarima", label, fit)
 
 
 # -- exponential smoothing ---------------------------------------------------------
