@@ -1,14 +1,17 @@
 """Bootstrap and permutation inference without moving rows through one task.
 
 Values are counted, cut into ranges, and the resample is drawn in two exact
-stages: how many draws fall into each range (one small draw per segment), then
-which values inside the range (one task per range).  For the bootstrap the
-first stage is multinomial, for the permutation multivariate hypergeometric,
-so the result has the same distribution as resampling the whole column.
+stages: how many draws fall into each range, then which values inside the range
+(one task per range).  The first stage runs down a tree over the ranges: a node
+deals its draws to its children, for a block of replicates at a time, so neither
+a row nor a task holds all ranges for all replicates.  For the bootstrap a node's
+draws are multinomial, for the permutation multivariate hypergeometric, and the
+result has the same distribution as resampling the whole column.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,6 +29,11 @@ from statweave.result import StatResult
 
 # Distinct values per resampling task.
 VALUES_PER_TASK = 50_000
+# Children of a node of the tree over the ranges, and replicates dealt at a time.
+FAN_OUT = 64
+BLOCK = 250
+# Up to here the generator's own hypergeometric draws are exact.
+GENERATOR_LIMIT = 1_000_000_000
 
 
 def _generator(seed: int, key: tuple) -> np.random.Generator:
@@ -33,18 +41,58 @@ def _generator(seed: int, key: tuple) -> np.random.Generator:
     return np.random.default_rng([seed, digest, len(repr(key))])
 
 
+_SMALL = np.array([math.lgamma(k + 1.0) for k in range(64)])
+
+
+def _log_factorial_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(a! / b!), without the cancellation that two large logarithms would suffer."""
+    small = (a < 32) | (b < 32)
+    p, q = np.where(small, 64.0, a), np.where(small, 64.0, b)
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    out = (p - q) * (np.log(q) - 1) + (p + 0.5) * np.log1p((p - q) / q) + series(p) - series(q)
+    if small.any():
+        whole = lambda x: np.array([_SMALL[int(v)] if v < 64 else math.lgamma(v + 1.0) for v in x])
+        out[small] = whole(a[small]) - whole(b[small])
+    return out
+
+
+def _by_ratio_of_uniforms(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws of any size: points under the square root of the density, in a box that holds all of it.
+
+    The box is the table mountain hat for densities that are concave in the
+    logarithm; rejection makes the draws exact, whatever the hat.
+    """
+    g, b, m = (x.astype(float) for x in (good, bad, take))
+    total = g + b
+    low, high = np.maximum(0.0, m - b), np.minimum(g, m)
+    mode = np.clip(np.floor((m + 1) * (g + 1) / (total + 2)), low, high)
+    middle = m * g / total + 0.5
+    spread = np.sqrt(np.maximum(m * (g / total) * (b / total) * (total - m) / np.maximum(total - 1, 1), 0.0) + 0.5)
+    width = 2 * np.sqrt(2 / math.e) * spread + (3 - 2 * np.sqrt(3 / math.e))
+    out, open_ = np.zeros(len(g)), np.arange(len(g))
+    while len(open_):
+        u, v = 1.0 - rng.random(len(open_)), rng.random(len(open_))
+        x = np.floor(middle[open_] + width[open_] * (v - 0.5) / u)
+        inside = (x >= low[open_]) & (x <= high[open_])
+        at, x, u = open_[inside], x[inside], u[inside]
+        k, gg, bb, mm = mode[at], g[at], b[at], m[at]
+        log = -(_log_factorial_ratio(x, k) + _log_factorial_ratio(gg - x, gg - k) + _log_factorial_ratio(mm - x, mm - k) + _log_factorial_ratio(bb - mm + x, bb - mm + k))
+        taken = 2 * np.log(u) <= log
+        out[at[taken]] = x[taken]
+        left = np.ones(len(open_), dtype=bool)
+        left[np.flatnonzero(inside)[taken]] = False
+        open_ = open_[left]
+    return out.astype(np.int64)
+
+
 def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """Hypergeometric draws; beyond the generator's range, the normal limit (exact mean and variance)."""
-    total = good + bad
-    small = total < 1_000_000_000
+    """Exact hypergeometric draws: by the generator within its range, by ratio of uniforms beyond."""
+    small = good + bad < GENERATOR_LIMIT
     out = np.zeros(len(take), np.int64)
     if small.any():
         out[small] = rng.hypergeometric(good[small], bad[small], take[small])
     if (~small).any():
-        g, t, m = good[~small].astype(float), total[~small].astype(float), take[~small].astype(float)
-        sd = np.sqrt(m * (g / t) * (1 - g / t) * (t - m) / np.maximum(t - 1, 1))
-        drawn = np.rint(m * g / t + sd * rng.standard_normal(len(m)))
-        out[~small] = np.clip(drawn, np.maximum(0, m - (t - g)), np.minimum(g, m)).astype(np.int64)
+        out[~small] = _by_ratio_of_uniforms(rng, good[~small], bad[~small], take[~small])
     return out
 
 
@@ -65,27 +113,47 @@ def _ranges(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _draws(ranged: DataFrame, by: list[str], reps: int, seed: int, take: str | None) -> DataFrame:
-    """Per (segment, range): the number of draws of every replicate, as an array."""
+    """Per (segment, range, block of replicates): how many draws each replicate has in the range, and in those before it."""
     extra = [take] if take else []
-    sizes = ranged.groupBy(*by, RANGE).agg(F.sum("_c").alias("_size"), *[F.max(t).alias(t) for t in extra])
-    schema = T.StructType([ranged.schema[b] for b in by] + [T.StructField(RANGE, T.IntegerType()), T.StructField("_before", T.ArrayType(T.LongType())), T.StructField("_m", T.ArrayType(T.LongType()))])
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RANGE)
-        n = pdf["_size"].to_numpy(np.int64)
-        rng = _generator(seed, tuple(pdf[by].iloc[0]) if by else ())
-        if take:
-            split = _split_without_replacement(rng, n, np.full(reps, int(pdf[take].iloc[0])))
-        else:
-            split = rng.multinomial(int(n.sum()), n / n.sum(), size=reps)
-        before = np.cumsum(split, axis=1) - split
-        out = pdf[[*by, RANGE]].copy()
-        out["_before"] = list(before.T)
-        out["_m"] = list(split.T)
-        return out
-
-    keyed = sizes.groupBy(*(by or [F.lit(0).alias("_all")]))
-    return keyed.applyInPandas(draw, schema)
+    sizes = cut(ranged.groupBy(*by, RANGE).agg(F.sum("_c").alias("_size"), *[F.max(t).alias(t) for t in extra]))
+    depth, ranges = 1, sizes.agg(F.max(RANGE)).first()[0] or 0
+    while FAN_OUT**depth <= ranges:
+        depth += 1
+    keys = [ranged.schema[b] for b in by]
+    node = [T.StructField("_node", T.LongType()), T.StructField("_block", T.IntegerType())]
+    arrays = [T.StructField("_before", T.ArrayType(T.LongType())), T.StructField("_m", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*keys, *node, *arrays])
+
+    def deal(level: int):
+        def run(children: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
+            children = children.sort_values("_node")
+            n = children["_size"].to_numpy(np.int64)
+            key = tuple(children[by].iloc[0]) if by else ()
+            rows = []
+            for block, before, m in zip(parents["_block"], parents["_before"], parents["_m"], strict=True):
+                rng = _generator(seed, (*key, level, int(children["_node"].iloc[0]) // FAN_OUT, int(block)))
+                m = np.asarray(m, np.int64)
+                split = _split_without_replacement(rng, n, m) if take else np.array([rng.multinomial(int(k), n / n.sum()) for k in m])
+                earlier = np.cumsum(split, axis=1) - split + np.asarray(before, np.int64)[:, None]
+                rows += [(int(c), int(block), earlier[:, i].tolist(), split[:, i].tolist()) for i, c in enumerate(children["_node"])]
+            out = pd.DataFrame(rows, columns=["_node", "_block", "_before", "_m"])
+            for name in by:
+                out[name] = [children[name].iloc[0]] * len(out)
+            return out[schema.names]
+
+        return run
+
+    blocks = [(k, min(BLOCK, reps - k * BLOCK)) for k in range(-(-reps // BLOCK))]
+    per_block = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(size).alias("size")) for k, size in blocks])).alias("_b")
+    total = F.max(take) if take else F.sum("_size")
+    root = sizes.groupBy(*by).agg(total.cast("long").alias("_total")).select(*by, "_total", per_block)
+    zero = F.lit(0).cast("long")
+    dealt = root.select(*by, zero.alias("_node"), F.col("_b.k").alias("_block"), F.array_repeat(zero, F.col("_b.size")).alias("_before"), F.array_repeat("_total", F.col("_b.size")).alias("_m"))
+    for level in range(1, depth + 1):
+        at = F.floor(F.col(RANGE) / float(FAN_OUT ** (depth - level))).cast("long")
+        nodes = sizes.groupBy(*by, at.alias("_node")).agg(F.sum("_size").alias("_size")).withColumn("_parent", F.floor(F.col("_node") / FAN_OUT))
+        dealt = nodes.groupBy(*by, "_parent").cogroup(dealt.withColumn("_parent", F.col("_node")).groupBy(*by, "_parent")).applyInPandas(deal(level), schema)
+    return dealt.withColumn(RANGE, F.col("_node").cast("int")).drop("_node")
 
 
 def _per_range(ranged: DataFrame, draws: DataFrame, by: list[str], fn, fields: list[T.StructField]) -> DataFrame:
@@ -93,9 +161,13 @@ def _per_range(ranged: DataFrame, draws: DataFrame, by: list[str], fn, fields: l
     keys = [*by, RANGE]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("_v")
+        left, right = left.sort_values("_v"), right.sort_values("_block")
         key = tuple(right[by].iloc[0]) if by else ()
-        out = fn(left, right.iloc[0], (*key, int(right[RANGE].iloc[0])))
+        # The blocks of replicates one behind the other.
+        split = right.iloc[0].copy()
+        for name in ("_before", "_m"):
+            split[name] = np.concatenate([np.asarray(x, np.int64) for x in right[name]])
+        out = fn(left, split, (*key, int(split[RANGE])))
         # Keys are repeated from the input, which keeps their type when nothing was drawn here.
         keys = right[by].iloc[np.zeros(len(out), int)].reset_index(drop=True)
         return pd.concat([keys, out.reset_index(drop=True)], axis=1)[schema.names]
@@ -238,4 +310,4 @@ def permutation_test(df: DataFrame, y: str, x: str, levels: Sequence[str] | None
         (F.col("n_1") + F.col("n_2")).alias("n"),
         text_list(F.when(~ok, F.lit("requires exactly 2 groups"))).alias("warnings"),
     )
-    return StatResult("permutation_test", "Two-group permutation test (mean difference)", stats, formula="P(|Δ*| ≥ |Δ_obs|) under random reassignment of labels", by=by)
+    return StatResult("permutation_test", "Two-group permutation test (mean difference)", stats, formula="share of relabelled mean differences at least as large as the one seen", by=by)
