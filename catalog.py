@@ -338,6 +338,20 @@ def _(t):
     return table.select("term", (F.col("sum_sq") / 1e9).alias("sum_sq"), "df", "F")
 
 
+CONTRASTS = """with c as (select o_orderstatus as a, o_orderpriority as b, count(*) as n, avg(o_totalprice) as m, var_samp(o_totalprice) * (count(*) - 1) as ss from orders group by 1, 2),
+ z as (select min(a) as a0, min(b) as b0, sqrt(sum(ss) / (sum(n) - count(*))) as s from c),
+ j as (select c.a, c.b, a0, b0, s, c.m as m, 1.0 / c.n as v, r.m as rm, 1.0 / r.n as rv, k.m as km, 1.0 / k.n as kv, o.m as om, 1.0 / o.n as ov
+  from c, z, c r, c k, c o where r.a = c.a and r.b = b0 and k.a = a0 and k.b = c.b and o.a = a0 and o.b = b0)
+ select case when a = a0 and b = b0 then 'Intercept' when b = b0 then 'C(A)[T.' || a || ']' when a = a0 then 'C(B)[T.' || b || ']' else 'C(A)[T.' || a || ']:C(B)[T.' || b || ']' end as term,
+  case when a = a0 and b = b0 then m when b = b0 or a = a0 then m - om else m - rm - km + om end as coef,
+  s * sqrt(case when a = a0 and b = b0 then v when b = b0 or a = a0 then v + ov else v + rv + kv + ov end) as se from j"""
+
+
+@query("twoway_anova_coefficients", CONTRASTS, "coef:4 se:4")
+def _(t):
+    return anova.twoway_anova(t.orders, "o_totalprice", "o_orderstatus", "o_orderpriority").tables["params"].select("term", "coef", "se")
+
+
 @query("twoway_anova_params")
 def _(t):
     return anova.twoway_anova(t.orders, "o_totalprice", "o_orderstatus", "o_orderpriority").tables["params"]

@@ -6,6 +6,7 @@ the data.  The few that meet data rows (normal cdf, quantile) take arrays.
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -299,6 +300,40 @@ def studentized_range_sf(q: float, k: int, df: float) -> float:
     return min(1.0, max(0.0, 1.0 - float(np.sum(w * _range_cdf(q * s, k)))))
 
 
+def studentized_range_sf_array(q: np.ndarray, k: int, df: float) -> np.ndarray:
+    """:func:`studentized_range_sf` of many values, to about 1e-9.
+
+    It is smooth in q, so beyond a few values it is read from polynomials through
+    Chebyshev points, shared by all values of the same k and df.
+    """
+    q = np.asarray(q, float)
+    if len(q) <= len(_NODES):
+        return np.array([studentized_range_sf(float(v), k, df) for v in q])
+    # Pieces of equal width in log(1 + q), as far as these values need them.
+    at = np.log1p(np.maximum(q, 0.0)) / _PIECE
+    pieces = _range_pieces(int(k), float(df), int(at.max()) + 1)
+    piece = at.astype(np.int64)
+    inside = piece < len(pieces)
+    out = np.zeros(len(q))
+    out[inside] = np.polynomial.chebyshev.chebval(2 * (at[inside] - piece[inside]) - 1, pieces[piece[inside]].T, tensor=False)
+    return np.clip(np.where(q <= 0, 1.0, out), 0.0, 1.0)
+
+
+_PIECE = 0.05
+_PIECES: dict[tuple[int, float], list[np.ndarray]] = {}
+
+
+def _range_pieces(k: int, df: float, count: int) -> np.ndarray:
+    """Chebyshev coefficients of the upper tail piece by piece, until under 1e-10 is left; kept for the next batch."""
+    degree, pieces = 14, _PIECES.setdefault((k, df), [])
+    nodes = (np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1)) + 1) / 2
+    while len(pieces) < count and not (pieces and np.abs(pieces[-1][0]) < 1e-10):
+        values = [studentized_range_sf(float(np.expm1(v)), k, df) for v in (len(pieces) + nodes) * _PIECE]
+        pieces.append(np.polynomial.chebyshev.chebfit(2 * nodes - 1, values, degree))
+    return np.array(pieces)
+
+
+@functools.lru_cache(maxsize=64)
 def studentized_range_ppf(p: float, k: int, df: float) -> float:
     lo, hi = 0.0, 8.0
     while studentized_range_sf(hi, k, df) > 1 - p:

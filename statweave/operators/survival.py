@@ -17,10 +17,12 @@ from statweave.operators.groups import as_list, side_by_side
 from statweave.plans.dominance import dense_rank, ordered_pairs
 from statweave.plans.gram import dot, gram, solve
 from statweave.plans.ranks import attach_ranks, cut_points, running
+from statweave.plans.systems import conjugate_gradients
 from statweave.plans.tables import attach, centre, cut, null_safe, per_segment
 from statweave.result import StatResult
 
-MAX_GROUPS = 200
+# Up to so many groups each is a column of the table of times; more are rows of it.
+DENSE_GROUPS = 50
 # The product runs through logarithms: a curve that reaches one half exactly may land a rounding error above it.
 HALF = 0.5 + 1e-12
 
@@ -81,9 +83,10 @@ def logrank(df: DataFrame, duration: str, event: str, group: str, by: Sequence[s
     """k-sample log-rank test from observed minus expected events over the pooled event times."""
     by = list(by)
     rows = _sample(df, duration, event, group, by).where("_g is not null")
-    levels = sorted(r[0] for r in rows.select("_g").distinct().limit(MAX_GROUPS + 1).collect())
-    if len(levels) > MAX_GROUPS:
-        raise ValueError(f"Log-rank compares at most {MAX_GROUPS} groups.")
+    levels = sorted(r[0] for r in rows.select("_g").distinct().limit(DENSE_GROUPS + 1).collect())
+    if len(levels) > DENSE_GROUPS:
+        stats = _logrank_of_many(rows, by)
+        return StatResult("logrank", "Log-rank test", stats.withColumn("warnings", text_list()), by=by)
     if len(levels) < 2 and not by:
         raise ValueError("Log-rank needs at least 2 groups.")
     k = len(levels)
@@ -125,6 +128,47 @@ def logrank(df: DataFrame, duration: str, event: str, group: str, by: Sequence[s
     return StatResult("logrank", "Log-rank test", stats.withColumn("warnings", text_list()), by=by)
 
 
+def _logrank_of_many(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The test for any number of groups, from the rows (time, group) alone.
+
+    With n_t at risk, of them n_tj in group j, and w_t the weight of a time, the
+    covariance V takes x to x_j sum_t w_t n_tj / n_t - sum_t w_t n_tj s_t / n_t^2, where
+    s_t = sum_j n_tj x_j.  A row is at risk up to its time, so s_t is a running sum from
+    the last time on and the sums over t are running sums from the first: V is applied
+    in two passes over the rows and never written down.  The statistic is
+    gap'x with V x = gap, which has a solution as all gaps add up to nothing.
+    """
+    cells = cut(rows.groupBy(*by, "_t", "_g").agg(F.count(F.lit(1)).alias("_c"), F.sum("_e").alias("_e")))
+    cuts = cut_points(cells, "_t")
+    times = cells.groupBy(*by, "_t").agg(F.sum("_c").alias("_n"), F.sum("_e").alias("_d"))
+    at_risk = (F.col("_n") + F.col("_n_before")).cast("double")
+    risk = running(times, "_t", ["_n"], by, cuts, unique=True, descending=True).select(*by, "_t", "_d", at_risk.alias("_r"))
+    w = F.when((F.col("_r") > 1) & (F.col("_d") > 0), F.col("_d") * (F.col("_r") - F.col("_d")) / (F.col("_r") - 1)).otherwise(F.lit(0.0))
+    risk = cut(risk.select(*by, "_t", w.alias("_w"), "_r", (F.col("_d") / F.col("_r")).alias("_h"), (w / F.col("_r")).alias("_v")))
+    summed = running(risk, "_t", ["_h", "_v"], by, cuts, unique=True)
+    upto = cut(summed.select(*by, "_t", (F.col("_h") + F.col("_h_before")).alias("_sh"), (F.col("_v") + F.col("_v_before")).alias("_sv")))
+    own = null_safe(cells, upto, [*by, "_t"]).groupBy(*by, "_g").agg(F.sum("_e").alias("_o"), F.sum("_c").alias("_size"), F.sum(F.col("_c") * F.col("_sh")).alias("_x"), F.sum(F.col("_c") * F.col("_sv")).alias("_d"))
+    groups = cut(own.select(*by, "_g", (F.col("_o") - F.col("_x")).alias("_b"), "_d", "_size"))
+
+    def product(x: DataFrame) -> DataFrame:
+        weighted = attach(cells, x, [*by, "_g"]).groupBy(*by, "_t").agg(F.sum(F.col("_c") * F.col("_x")).alias("_s"))
+        seen = running(cut(weighted), "_t", ["_s"], by, cuts, unique=True, descending=True).select(*by, "_t", (F.col("_s") + F.col("_s_before")).alias("_s"))
+        share = null_safe(risk, seen, [*by, "_t"]).select(*by, "_t", (F.col("_w") * F.col("_s") / (F.col("_r") * F.col("_r"))).alias("_q"))
+        total = running(cut(share), "_t", ["_q"], by, cuts, unique=True).select(*by, "_t", (F.col("_q") + F.col("_q_before")).alias("_q"))
+        taken = null_safe(cells, total, [*by, "_t"]).groupBy(*by, "_g").agg(F.sum(F.col("_c") * F.col("_q")).alias("_taken"))
+        both = null_safe(null_safe(x, groups.select(*by, "_g", "_d"), [*by, "_g"]), taken, [*by, "_g"])
+        return both.select(*by, "_g", (F.col("_x") * F.col("_d") - F.col("_taken")).alias("_y"))
+
+    solved = conjugate_gradients(product, groups.select(*by, "_g", "_b", "_d"), by, ["_g"])
+    table = null_safe(groups, solved, [*by, "_g"]).groupBy(*by).agg(F.sum(F.col("_b") * F.col("_x")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"), F.sum("_size").alias("n"))
+
+    def finish(r):
+        tested = r["df"] > 0
+        yield {"chi2": r["chi2"] if tested else None, "p_value": dist.chi2_sf(r["chi2"], r["df"]) if tested else None, "df": r["df"], "n": r["n"]}
+
+    return per_segment(table, by, [("chi2", "double"), ("p_value", "double"), ("df", "long"), ("n", "long")], finish)
+
+
 # -- Cox ------------------------------------------------------------------------
 
 COX_STEPS = 30
