@@ -636,4 +636,4 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents, fold
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
