@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -172,34 +173,57 @@ def _logrank_of_many(rows: DataFrame, by: list[str]) -> DataFrame:
 # -- Cox ------------------------------------------------------------------------
 
 COX_STEPS = 30
-EXACT_TIES = 20_000
+# Points of a rule for a block of ties; a block of no more ties than this is summed as it is.
+RULE_POINTS = 14
 
 
-def _tie_terms(s0: float, d0: float, d: int) -> tuple[float, ...]:
-    """Sums over l < d of log(den), 1/den, c/den, 1/den², c/den², c²/den² with c = l/d, den = s0 - c d0."""
-    if d <= 2 * EXACT_TIES:
-        c, w = np.arange(d) / d, np.ones(d)
-    else:
-        # Smooth part by quadrature of the midpoint sum, the last terms one by one.
-        cutoff = d - EXACT_TIES
-        nodes, weights = np.polynomial.legendre.leggauss(200)
-        lo, hi = -0.5 / d, (cutoff - 0.5) / d
-        c = np.concatenate([0.5 * (hi - lo) * nodes + 0.5 * (hi + lo), np.arange(cutoff, d) / d])
-        w = np.concatenate([0.5 * (hi - lo) * weights * d, np.ones(EXACT_TIES)])
-    den = s0 - c * d0
-    inv = w / den
-    return float(w @ np.log(den)), float(inv.sum()), float(c @ inv), float((inv / den).sum()), float(c @ (inv / den)), float((c * c) @ (inv / den))
+@lru_cache(maxsize=256)
+def _block_rule(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights that sum a polynomial over 0, 1, ..., size - 1 exactly up to degree 2 RULE_POINTS - 1.
+
+    The Gauss rule of the discrete uniform measure, from the recurrence of the
+    discrete Chebyshev polynomials.
+    """
+    n = min(size, RULE_POINTS)
+    if n == size:
+        return np.arange(size, dtype=float), np.ones(size)
+    k = np.arange(1, n, dtype=float)
+    # In units of the block's half length, so that no power of a large size arises.
+    beta = k * k * (1 - (k / size) ** 2) / (4 * k * k - 1)
+    points, vectors = np.linalg.eigh(np.diag(np.sqrt(beta), 1) + np.diag(np.sqrt(beta), -1))
+    return (size - 1) / 2 + points * size / 2, vectors[0] ** 2 * size
+
+
+def _tie_rule(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares c = l/d and weights that stand for the sum over l = 0, ..., d - 1.
+
+    Counted from the last tie, blocks double.  A denominator s0 - c d0 is no
+    less than its distance to the last tie plus one, in steps of d0/d, so it
+    changes by a factor of at most two within a block, and the rule's error is
+    below 6^-28 of a term, however many ties there are.
+    """
+    places, weights = [np.zeros(1)], [np.ones(1)]
+    start = 1
+    while start < d:
+        size = min(start, d - start)
+        at, w = _block_rule(size)
+        places.append(start + at)
+        weights.append(w)
+        start += size
+    return (d - 1 - np.concatenate(places)) / d, np.concatenate(weights)
 
 
 @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in "labefg"]))
 def _efron(s0: pd.Series, d0: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """Efron's tie sums per event time."""
+    """Efron's tie sums per event time: over l < d of log(den), 1/den, c/den, 1/den², c/den², c²/den² with c = l/d, den = s0 - c d0."""
     out = np.zeros((len(s0), 6))
     s, t, n = s0.to_numpy(float), d0.to_numpy(float), d.to_numpy(np.int64)
-    one = n == 1
-    out[one, 0], out[one, 1], out[one, 3] = np.log(s[one]), 1 / s[one], 1 / s[one] ** 2
-    for i in np.flatnonzero(~one):
-        out[i] = _tie_terms(s[i], t[i], int(n[i]))
+    for ties in np.unique(n):
+        rows = np.flatnonzero(n == ties)
+        c, w = _tie_rule(int(ties))
+        den = s[rows, None] - c * t[rows, None]
+        inv = 1 / den
+        out[rows] = np.column_stack([np.log(den) @ w, inv @ w, inv @ (c * w), inv**2 @ w, inv**2 @ (c * w), inv**2 @ (c * c * w)])
     return pd.DataFrame(out, columns=list("labefg"))
 
 

@@ -227,13 +227,38 @@ def test_cox_against_brute_force(tiny_limits, df, pdf):
     assert stats["concordance"] == pytest.approx(good / total)
 
 
-def test_large_tie_sums():
-    exact = [sum(f) for f in zip(*[survival._tie_terms(5e5, 3e5, 30_000)])]
-    survival_limit, survival.EXACT_TIES = survival.EXACT_TIES, 2_000
-    try:
-        assert survival._tie_terms(5e5, 3e5, 30_000) == pytest.approx(exact, rel=1e-8)
-    finally:
-        survival.EXACT_TIES = survival_limit
+@pytest.mark.parametrize("ties", [1, 2, 14, 15, 29, 1000, 39_999, 40_001, 300_007])
+@pytest.mark.parametrize("ratio", [1.0, 1.0000001, 2.0, 1e6])
+def test_tie_sums_against_plain_sums(ties, ratio):
+    dead = 3.7 * ties
+    c = np.arange(ties) / ties
+    den = dead * ratio - c * dead
+    plain = [np.log(den).sum(), (1 / den).sum(), (c / den).sum(), (1 / den**2).sum(), (c / den**2).sum(), (c * c / den**2).sum()]
+    got = survival._efron.func(pd.Series([dead * ratio] * 2), pd.Series([dead] * 2), pd.Series([ties] * 2))
+    assert np.allclose(got.to_numpy(), [plain] * 2, rtol=1e-11, atol=0)
+
+
+def test_tie_rules_grow_with_the_logarithm_of_the_ties():
+    assert len(survival._tie_rule(10**12)[0]) < 600
+    assert survival._tie_rule(10**12)[1].sum() == pytest.approx(1e12)
+
+
+def test_cox_scores_are_zero_with_many_ties(spark):
+    """At the fitted coefficient the score equation, written out tie by tie, is zero; one time holds more deaths than the rules sum one by one."""
+    rng = np.random.default_rng(5)
+    t = np.where(rng.random(3000) < 0.5, 2.0, rng.integers(1, 6, 3000).astype(float))
+    x, e = rng.normal(size=3000), (rng.random(3000) < 0.7).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"t": t, "x": x, "e": e}))
+    got = survival.cox_ph(rows, "t", "e", "x").tables["coefficients"].first()
+    r, score, information = np.exp(x * got["coef"]), 0.0, 0.0
+    for when in np.unique(t[e == 1]):
+        risk, dead = t >= when, (t == when) & (e == 1)
+        c = np.arange(dead.sum()) / dead.sum()
+        s0, s1, s2 = ((r * x**k)[risk].sum() - c * (r * x**k)[dead].sum() for k in range(3))
+        score += x[dead].sum() - (s1 / s0).sum()
+        information += (s2 / s0 - (s1 / s0) ** 2).sum()
+    assert abs(score) < 1e-6
+    assert got["se_coef"] == pytest.approx(information**-0.5, rel=1e-9)
 
 
 def test_survival_edges(spark):
