@@ -2,6 +2,8 @@
 
 import json
 import math
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -176,6 +178,77 @@ def test_version_store(spark, folder, dirty):
         store.load("d")
 
 
+def test_writers_at_once_get_versions_of_their_own(spark, folder):
+    store = VersionStore(spark, folder)
+    store.write("d", spark.range(3), "first")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: VersionStore(spark, folder).write("d", spark.range(n), f"{n} rows"), range(10, 18)))
+    assert sorted(got) == list(range(2, 10))
+    assert {store.load("d", v).count() for v in got} == set(range(10, 18))
+    log = store.log("d").toPandas().sort_values("seq")
+    assert list(log["seq"]) == list(range(1, 10))
+    # Each version names the one that was current when it was made, so undo walks back through all of them.
+    assert list(log["version_from"].iloc[1:]) == list(log["version_to"].iloc[:-1])
+
+
+def test_a_lost_race_is_run_again_on_the_new_log(spark, folder):
+    store, other = VersionStore(spark, folder), VersionStore(spark, folder)
+    store.write("d", spark.range(1))
+    asked = []
+
+    def events():
+        seen = store.log("d").count()
+        asked.append(seen)
+        if len(asked) == 1:
+            other.write("d", spark.range(2))
+        return [{"event": "note", "current": seen}]
+
+    assert [(r["seq"], r["current"]) for r in store._record("d", events)] == [(3, 2)]
+    assert asked == [1, 2] and store.log("d").count() == 3
+    assert not store._publish(f"{folder}/d/log/{1:019d}.json", "{}") and store.log("d").where("seq = 1").count() == 1
+    assert not [f for f in os.listdir(f"{folder}/d/log") if f.startswith(".") and not f.endswith(".crc")]
+
+
+def test_notes_count_the_rows_of_every_step_in_one_job(spark, folder):
+    rows = spark.createDataFrame([(i % 20, float(i % 20) if i % 20 else None, f" n{i % 3} ") for i in range(40)], "k int, v double, s string")
+    rows.write.parquet(f"{folder}/rows")
+    ops = [
+        {"operation": "strip", "column": "s"},
+        {"operation": "drop_rows_missing", "columns": ["v"]},
+        {"operation": "filter", "query": "k < 10"},
+        {"operation": "rename", "column": "v", "new_name": "w"},
+    ]
+    df, tell = cleaning.observed_operations(spark.read.parquet(f"{folder}/rows"), ops)
+    spark.sparkContext.setJobGroup("notes", "")
+    try:
+        df.write.parquet(f"{folder}/out")
+        notes = tell()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("notes")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    assert [n[n.index("(") :] for n in notes] == ["(40 rows, 0 fewer)", "(38 rows, 2 fewer)", "(18 rows, 20 fewer)", "(18 rows, 0 fewer)"]
+
+
+def test_notes_of_all_operations_have_counts(spark, folder, dirty):
+    store = VersionStore(spark, folder)
+    store.ingest("d", dirty)
+    ops = [
+        {"operation": "drop_duplicates"},
+        {"operation": "normalize_case", "column": "place", "case": "lower"},
+        {"operation": "impute", "column": "price", "method": "median"},
+        {"operation": "winsorize", "column": "price"},
+        {"operation": "clip_nonnegative", "column": "price"},
+        {"operation": "impute_all"},
+        {"operation": "encode", "column": "place", "method": "label"},
+        {"operation": "transform", "column": "twice", "method": "zscore"},
+        {"operation": "drop_columns", "columns": ["k"]},
+    ]
+    version, notes = store.clean("d", ops)
+    assert version == 2 and len(notes) == len(ops)
+    assert notes[0] == "Repeated rows taken out (40 rows, 1 fewer)" and all(n.endswith("(40 rows, 0 fewer)") for n in notes[1:])
+
+
 def test_checks_and_flags(spark):
     rng = np.random.default_rng(1)
     rows = [("s1", "a", float(v)) for v in rng.normal(0, 1, 12)] + [("s1", "b", float(v)) for v in rng.exponential(9, 12)]
