@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from statweave.functions import dist
 from statweave.functions.columns import col, drop_missing, num, present, require, text_list, to_timestamp_any
+from statweave.functions.smoothing import CurvedSmoother
 from statweave.functions.tails import t_p
 from statweave.operators import likelihood
 from statweave.operators.groups import Y, as_list, side_by_side
@@ -453,15 +454,21 @@ def exp_smoothing(
     by: Sequence[str] = (),
     order_by=None,
 ) -> StatResult:
-    """Additive Holt–Winters with the least-squares start state; weights by grid refinement.
+    """Holt–Winters with the least-squares start state; weights by grid refinement.
 
-    Every pass handles all chunks of all series in parallel; their state maps
-    are then composed, so a long series does not run through one task.
+    Trend and season are "add", "mul" or None.  Every pass handles all chunks of
+    all series in parallel; their state maps are then composed, so a long series
+    does not run through one task.  A multiplicative part needs positive values
+    and several passes, see :mod:`statweave.functions.smoothing`.
     """
-    if trend not in ("add", "additive", None) or (seasonal and seasonal_periods and seasonal not in ("add", "additive")):
-        raise ValueError("Only additive trend and seasonality are supported.")
+    kinds = {None: None, "": None, "add": "add", "additive": "add", "mul": "mul", "multiplicative": "mul"}
+    if trend not in kinds or seasonal not in kinds:
+        raise ValueError("Trend and seasonality are 'add', 'mul' or None.")
+    trend, seasonal = kinds[trend], kinds[seasonal]
     by, steps = list(by), int(steps)
     period = int(seasonal_periods) if seasonal and seasonal_periods else 0
+    if "mul" in (trend, seasonal if period else None):
+        return _curved(df, y, time, trend, seasonal if period else None, period, steps, by, order_by)
     smoother = Smoother(bool(trend), period)
     free = [True, bool(trend), period > 0]
     rows = series(df, y, time, by, order_by)
@@ -494,6 +501,10 @@ def exp_smoothing(
                 value += z[first + period - 1 - (h - 1) % period]
             yield {"step": h, "forecast": value}
 
+    return _smoothed(best, by, forecast_rows)
+
+
+def _smoothed(best: DataFrame, by: list[str], forecast_rows, *warnings) -> StatResult:
     theta = F.col("_theta")
     stats = best.select(
         *by,
@@ -502,7 +513,142 @@ def exp_smoothing(
         theta[0].alias("smoothing_level"),
         (theta[0] * theta[1]).alias("smoothing_trend"),
         (theta[2] * (1 - theta[0])).alias("smoothing_seasonal"),
-        text_list().alias("warnings"),
+        text_list(*warnings).alias("warnings"),
     )
     tables = {"forecast": per_segment(best, by, [("step", "int"), ("forecast", "double")], forecast_rows)}
     return StatResult("exp_smoothing", "Exponential smoothing", stats, tables, by=by)
+
+
+# Passes in which the start states of a round of candidates come to rest, and the relative change that counts as rest.
+CURVED_PASSES = 25
+STILL = 1e-9
+
+
+def _both(left: DataFrame, right: DataFrame, keys: list[str], fn, schema: T.StructType) -> DataFrame:
+    """``fn`` on the rows of both tables that share a key.
+
+    A union, not a cogroup: Spark takes the size of a cogroup for the product of
+    its sides, and over many passes that number alone grows past all bounds.
+    """
+    tagged = left.withColumn("_right", F.lit(False)).unionByName(right.withColumn("_right", F.lit(True)), allowMissingColumns=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["_right"].to_numpy(bool)
+        return fn(pdf[~side], pdf[side])
+
+    return tagged.groupBy(*[col(k) for k in keys]).applyInPandas(run, schema)
+
+
+def _curved(df: DataFrame, y: str, time: str | None, trend: str | None, seasonal: str | None, period: int, steps: int, by: list[str], order_by) -> StatResult:
+    """Smoothing whose recursion is not linear: Newton passes over all chunks at once, for a grid of weights that is refined.
+
+    A pass linearises every chunk near its start state for every candidate, joins
+    the chunks in a tree, solves for the series' start state and hands new start
+    states down the same tree.
+    """
+    curved, linear = CurvedSmoother(trend, seasonal, period), Smoother(bool(trend), period)
+    size, free = curved.size, [True, bool(trend), period > 0]
+    rows = series(df, y, time, by, order_by)
+    rows = cut(rows.withColumn(CHUNK, F.floor(col(POS) / SMOOTHING_ROWS)).select(*by, CHUNK, POS, Y))
+    top, least = rows.agg(F.max(CHUNK), F.min(Y)).first()
+    if top is None:
+        raise ValueError(f"'{y}' holds no numbers.")
+    if least <= 0:
+        raise ValueError(f"'{y}' has to be positive for a multiplicative part.")
+    keys = [rows.schema[b] for b in by]
+    many = T.ArrayType(T.DoubleType())
+    map_schema = T.StructType([*keys, T.StructField(CHUNK, T.LongType()), T.StructField("_rows", T.LongType()), T.StructField("_map", many), T.StructField("_used", many), T.StructField("_centre", many)])
+    start_schema = T.StructType([*keys, T.StructField(CHUNK, T.LongType()), T.StructField("_starts", many), T.StructField("_theta", many), T.StructField("_best", many), T.StructField("_chosen", T.IntegerType()), T.StructField("_gap", T.DoubleType())])
+
+    def candidates(centre, span: float) -> np.ndarray:
+        return _grid(None if centre is None else list(centre), span, free)
+
+    def linearise(span: float):
+        def run(values: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+            values = values.sort_values(POS)
+            ys = values[Y].to_numpy(float)
+            known_ = len(starts) > 0
+            centre = starts["_theta"].iloc[0] if known_ else None
+            theta = candidates(centre, span)
+            start = np.asarray(starts["_starts"].iloc[0], float).reshape(-1, size) if known_ else curved.guess(ys)[None, :]
+            start = np.broadcast_to(start, (len(theta), size)) if len(start) == 1 else start
+            out = values[[*by, CHUNK]].iloc[:1].copy()
+            out["_rows"] = len(ys)
+            # A series that is one chunk needs no other's end state: its passes run here.
+            parts, start = curved.settled(ys, theta, start, CURVED_PASSES, STILL) if top == 0 else (curved.chunk(ys, theta, start), start)
+            out["_map"] = [linear.pack(parts)]
+            out["_used"] = [start.ravel().tolist()]
+            out["_centre"] = [None if centre is None else list(centre)]
+            return out
+
+        return run
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _composer(linear, by)(pdf)
+        first = pdf.sort_values("_part").iloc[0]
+        out["_used"], out["_centre"] = [first["_used"]], [first["_centre"]]
+        return out
+
+    def choose(span: float):
+        def run(r):
+            theta = candidates(r["_centre"], span)
+            a, o, q, rr, c = linear.unpack(r["_map"])
+            used = np.asarray(r["_used"], float).reshape(-1, size)
+            z, sse = curved.improved(used, q, rr, c)
+            i = int(np.argmin(sse))
+            yield {"_theta": theta[i].tolist(), "_state": (a[i] @ z[i] + o[i]).tolist(), "sse": float(sse[i]), "n": r["_rows"], "_starts": z.ravel().tolist(), "_chosen": i, "_centre": None if r["_centre"] is None else list(r["_centre"])}
+
+        return run
+
+    def hand_down(pdf: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        """Start states of the parts of one node, in their order, from the node's own."""
+        pdf, node = pdf.sort_values(CHUNK), node.iloc[0]
+        z, i = np.asarray(node["_starts"], float).reshape(-1, size), int(node["_chosen"])
+        out = []
+        for flat, used in zip(pdf["_map"], pdf["_used"], strict=True):
+            old = np.asarray(used, float).reshape(-1, size)
+            z = curved.kept_near(z, old)
+            out.append((z.ravel().tolist(), curved.change(z[i], old[i])))
+            a, o, *_ = linear.unpack(flat)
+            with np.errstate(all="ignore"):
+                z = np.einsum("gij,gj->gi", a, z) + o
+        found = pdf[[*by, CHUNK]].copy()
+        found["_starts"], found["_gap"] = [s for s, _ in out], [g for _, g in out]
+        found["_chosen"] = i
+        for name in ("_theta", "_best"):
+            found[name] = [node[name]] * len(found)
+        return found[[f.name for f in start_schema.fields]]
+
+    fields = [("_theta", "array<double>"), ("_state", "array<double>"), ("sse", "double"), ("n", "long"), ("_starts", "array<double>"), ("_chosen", "int"), ("_centre", "array<double>")]
+    starts, best, gap = rows.sparkSession.createDataFrame([], start_schema), None, math.inf
+    for round_ in range(5):
+        span = 0.2 / 2.0**round_
+        for _ in range(CURVED_PASSES):
+            levels = [cut(_both(rows, starts, [*by, CHUNK], linearise(span), map_schema))]
+            chunks = top
+            while chunks > 0:
+                parts = levels[-1].withColumn("_part", col(CHUNK)).withColumn(CHUNK, F.floor(col(CHUNK) / FAN_IN))
+                levels.append(cut(parts.groupBy(*by, CHUNK).applyInPandas(compose, map_schema)))
+                chunks //= FAN_IN
+            best = cut(per_segment(levels[-1].drop(CHUNK), by, fields, choose(span)))
+            # Down the tree; a node keeps the centre of its grid while the round lasts.
+            starts = best.select(*by, "_starts", col("_centre").alias("_theta"), col("_theta").alias("_best"), "_chosen", F.lit(0).cast("long").alias(CHUNK))
+            for level in reversed(levels):
+                node = F.floor(col(CHUNK) / FAN_IN) if level is not levels[-1] else F.lit(0).cast("long")
+                parts = level.withColumn("_node", node)
+                starts = cut(_both(parts, starts.withColumnRenamed(CHUNK, "_node"), [*by, "_node"], hand_down, start_schema))
+            gap = starts.agg(F.max("_gap")).first()[0]
+            if gap <= STILL:
+                break
+        if round_ == 4:
+            break
+        # The next, finer grid lies round the best weights and starts from their states.
+        own = F.slice(col("_starts"), col("_chosen") * size + 1, size)
+        starts = cut(starts.withColumns({"_starts": own, "_theta": col("_best")}))
+
+    def forecast_rows(r):
+        for h, value in enumerate(curved.forecast(np.array(r["_state"]), steps), 1):
+            yield {"step": h, "forecast": value}
+
+    warnings = [] if gap <= STILL else [F.lit("The start states of some series had not come to rest.")]
+    return _smoothed(best, by, forecast_rows, *warnings)
