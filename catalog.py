@@ -936,6 +936,11 @@ def _(t):
     return timeseries.exp_smoothing(_monthly(t), "quantity", "month", seasonal="add", seasonal_periods=12, by=["l_returnflag"]).tables["forecast"]
 
 
+@query("exp_smoothing_multiplicative")
+def _(t):
+    return timeseries.exp_smoothing(_monthly(t), "quantity", "month", trend="mul", seasonal="mul", seasonal_periods=12, by=["l_returnflag"]).tables["forecast"]
+
+
 # -- multivariate ----------------------------------------------------------------------------
 
 
