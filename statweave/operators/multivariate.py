@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,30 +143,32 @@ def factor_analysis(df: DataFrame, columns: Sequence[str] | None = None, n_facto
     return StatResult("factor_analysis", "Exploratory factor analysis", stats, tables, by=by)
 
 
+# Distances to centres are column expressions up to so many terms, and computed per Arrow batch beyond.
+EXPRESSION_TERMS = 256
+
+
 def kmeans(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, seed: int = 0, n_init: int = 1) -> StatResult:
-    """Clusters of the standardised columns; the silhouette uses squared distances."""
+    """Clusters of the standardised columns; the silhouette uses squared distances.
+
+    Start centres come from Spark's k-means||; each round after it is one pass of sums per task over the numbers alone.
+    """
     columns = list(columns or numeric_columns(df))
     rows, names = complete(df, columns, [])
     facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()
     if not facts["n"]:
         raise ValueError("No complete rows.")
     scaled = rows.select(*[((col(n) - facts[f"m{n}"]) / (facts[f"s{n}"] or 1.0)).alias(n) for n in names])
-    # Every iteration reads the vectors again, so they are kept.
+    # Every round reads the rows again, so they are kept.
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).persist()
-    models = [KMeans(k=int(k), seed=seed + i, maxIter=300, tol=1e-4).fit(vectors) for i in range(n_init)]
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    centers = np.array(model.clusterCenters())
-    labelled = model.transform(vectors)
-    off = F.lit(0.0)
-    for j, n in enumerate(names):
-        pick = F.element_at(F.array(*[F.lit(float(c[j])) for c in centers]), col("prediction") + 1)
-        off = off + (col(n) - pick) * (col(n) - pick)
+    points = vectors.select(*names)
+    starts = [np.array(KMeans(k=int(k), seed=seed + i, maxIter=0).fit(vectors).clusterCenters()) for i in range(n_init)]
+    centers, _ = min((_moved(points, s, max_iter=300, tol=1e-4) for s in starts), key=lambda found: found[1])
     spark = df.sparkSession
-    sizes = labelled.groupBy(col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("_off"))
-    sizes = cut(sizes)
+    table = cut(_assigned(points, centers))
+    sizes = table.select("cluster", "n", "_off")
     silhouette = None
     if len(centers) > 1 and facts["n"] > len(centers):
-        silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(labelled))
+        silhouette = _silhouette(points, centers, table.collect(), facts["n"])
     vectors.unpersist()
     stats = sizes.agg(F.sum("_off").alias("inertia"), F.sum("n").alias("n")).select(
         F.lit(int(k)).cast("long").alias("k"), "inertia", F.lit(silhouette).cast("double").alias("silhouette"), "n", text_list().alias("warnings")
@@ -174,6 +178,91 @@ def kmeans(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3, seed
     return StatResult("kmeans", f"K-means clustering (k={k})", stats, {"centers": table, "sizes": sizes.drop("_off")})
 
 
+def _nearest(batch: pa.RecordBatch, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a batch, their nearest centres (ties: the first) and squared distances."""
+    x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+    nearest, off = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for i, c in enumerate(centers):
+        d = ((x - c) ** 2).sum(axis=1)
+        closer = d < off
+        nearest[closer], off[closer] = i, d[closer]
+    return x, nearest, off
+
+
+def _assigned(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Of each cluster that has rows: cluster, n, sums of the columns and of squares, summed squared distances."""
+    k, p = centers.shape
+    if k * p <= EXPRESSION_TERMS:
+        x = [col(c) for c in points.columns]
+        square = lambda c: reduce(add, [(v - float(m)) * (v - float(m)) for v, m in zip(x, c)])
+        away = [F.col(f"_d{i}") for i in range(k)]
+        measured = points.select(*x, *[square(c).alias(f"_d{i}") for i, c in enumerate(centers)])
+        measured = measured.withColumn("_off", F.least(*away) if k > 1 else away[0])
+        nearest = F.coalesce(*[F.when(d == F.col("_off"), F.lit(i)) for i, d in enumerate(away)])
+        return measured.groupBy(nearest.alias("cluster")).agg(
+            F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("_sums"), F.sum(reduce(add, [v * v for v in x])).alias("_squares"), F.sum("_off").alias("_off")
+        )
+
+    def run(batches):
+        n, sums, squares, offs = np.zeros(k, np.int64), np.zeros((k, p)), np.zeros(k), np.zeros(k)
+        for batch in batches:
+            x, nearest, off = _nearest(batch, centers)
+            n += np.bincount(nearest, minlength=k)
+            for j in range(p):
+                sums[:, j] += np.bincount(nearest, x[:, j], minlength=k)
+            squares += np.bincount(nearest, (x * x).sum(axis=1), minlength=k)
+            offs += np.bincount(nearest, off, minlength=k)
+        some = np.flatnonzero(n)
+        parts = [some.astype(np.int32), n[some], sums[some].tolist(), squares[some], offs[some]]
+        types = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, types)], ["cluster", "n", "_sums", "_squares", "_off"])
+
+    found = points.mapInArrow(run, "cluster int, n long, _sums array<double>, _squares double, _off double")
+    return found.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("_sums")[j]) for j in range(p)]).alias("_sums"), F.sum("_squares").alias("_squares"), F.sum("_off").alias("_off"))
+
+
+def _moved(points: DataFrame, centers: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
+    """Centres moved to the means of their rows until none moves farther than ``tol``, and the summed squared distances before the last move."""
+    cost = math.inf
+    for _ in range(max_iter):
+        found = _assigned(points, centers).collect()
+        moved = centers.copy()
+        for r in found:
+            moved[r["cluster"]] = np.array(r["_sums"]) / r["n"]
+        cost = sum(r["_off"] for r in found)
+        far = ((moved - centers) ** 2).sum(axis=1).max()
+        centers = moved
+        if far <= tol * tol:
+            break
+    return centers, cost
+
+
+def _silhouette(points: DataFrame, centers: np.ndarray, clusters: list, n: int) -> float | None:
+    """Mean silhouette under squared distances; a row's summed distance to a cluster follows from the cluster's sums."""
+    if len(clusters) < 2:
+        return None
+    place = {r["cluster"]: i for i, r in enumerate(clusters)}
+    own = np.array([place.get(i, -1) for i in range(len(centers))])
+    size, sums, squares = (np.array([r[c] for r in clusters], float) for c in ("n", "_sums", "_squares"))
+
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            x, nearest, _ = _nearest(batch, centers)
+            mine, every = own[nearest], np.arange(len(x))
+            mean = (x * x).sum(axis=1)[:, None] + squares / size - 2 * x @ (sums / size[:, None]).T
+            lone = size[mine] == 1
+            a = mean[every, mine] * size[mine] / np.where(lone, 1, size[mine] - 1)
+            mean[every, mine] = np.inf
+            b = mean.min(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(a < b, 1 - a / b, np.where(a > b, b / a - 1, 0.0))
+            total += float(np.where(lone, 0.0, s).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
+
+    return float(points.mapInArrow(run, "s double").agg(F.sum("s")).first()[0]) / n
+
+
 MANOVA_FIELDS = [("statistic", "string"), ("value", "double"), ("num_df", "double"), ("den_df", "double"), ("F", "double"), ("p_value", "double")]
 
 

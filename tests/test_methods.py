@@ -375,3 +375,23 @@ def test_frequency_keeps_every_level(spark):
     rows = spark.createDataFrame([(f"v{i}",) for i in range(300)] + [("hot",)] * 30000, "v string")
     table = descriptive.frequency(rows, "v").tables["frequencies"]
     assert table.count() == 301 and table.where("level = 'hot'").first()["percent"] == 99.01
+
+
+@pytest.mark.parametrize("terms", [0, 256])
+def test_kmeans_agrees_with_sparks_own(spark, monkeypatch, terms):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    monkeypatch.setattr(multivariate, "EXPRESSION_TERMS", terms)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1, (60, 3)) for m in (0, 4, 9)])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3).cache()
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    theirs = KMeans(k=3, seed=0, maxIter=300, tol=1e-4).fit(vectors)
+    centers = np.array(KMeans(k=3, seed=0, maxIter=0).fit(vectors).clusterCenters())
+    moved, _ = multivariate._moved(df, centers, 300, 1e-4)
+    assert np.allclose(moved, theirs.clusterCenters())
+    clusters = multivariate._assigned(df, moved).collect()
+    assert {r["cluster"]: r["n"] for r in clusters} == dict(enumerate(theirs.summary.clusterSizes))
+    assert multivariate._silhouette(df, moved, clusters, len(x)) == pytest.approx(ClusteringEvaluator().evaluate(theirs.transform(vectors)))
