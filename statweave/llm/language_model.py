@@ -19,15 +19,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statweave.llm.common import highest, sized, small_batches, written
-from statweave.llm.shingles import ODD, mixed, words_of
+from statweave.llm.shingles import ODD, mixed, word_hashes
 
 # Counts of at most this many words are broadcast, the most frequent; the rest are joined.
 FREQUENT = 1 << 20
@@ -41,9 +42,16 @@ LEVELS = 64
 MIN_PAIR = 1
 FLUSH = 4_000_000
 CHUNK_TOKENS = 400_000
+# Keys that a task deals to segments at once, and that Arrow hands it in a batch: they are narrow, other than texts.
+DEAL = 500_000
+NARROW_ROWS = 50_000
+# Texts are split, and their distinct words numbered, in pieces of about this many bytes; a longer text is a piece of its own.
+PIECE_BYTES = 1 << 22
 # Words that a task numbers before it begins anew.
 LEXICON_WORDS = 500_000
 END = np.uint64(0xE4D)
+# The word with the two bits that twelve bits of a hash name.
+TWO_BITS = (np.uint64(1) << (np.arange(4096, dtype=np.uint64) & np.uint64(63))) | (np.uint64(1) << (np.arange(4096, dtype=np.uint64) >> np.uint64(6)))
 KEY_BYTES = 7
 
 
@@ -85,10 +93,10 @@ class Filter:
     def masks(keys: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
         """The 64-bit word of the block in which (key, level) lies, and its bits there."""
         x = Filter.step(keys, at)
-        mask = np.uint64(1) << (x & np.uint64(63))
-        for j in range(1, PROBES):
-            mask |= np.uint64(1) << ((x >> np.uint64(6 * j)) & np.uint64(63))
-        return x >> np.uint64(61), mask
+        probes, mask = x.view(np.int64), np.zeros(len(x), dtype=np.uint64)
+        for j in range(0, PROBES, 2):
+            mask |= TWO_BITS[(probes >> 6 * j) & 4095]
+        return (x >> np.uint64(61)).view(np.int64), mask
 
     @staticmethod
     def places(keys: np.ndarray, at: int) -> np.ndarray:
@@ -102,11 +110,11 @@ class Filter:
         if not self.blocks:
             return out
         bits = self.bits.view("<u8")
-        start = (self.block(keys, self.blocks) - np.uint64(self.first)) * np.uint64(BLOCK_BITS // 64)
+        start = (self.block(keys, self.blocks).view(np.int64) - self.first) * (BLOCK_BITS // 64)
         active = np.arange(len(keys))
         for q in range(1, LEVELS + 1):
             word, mask = self.masks(keys, q)
-            hit = (bits[start + word] & mask) == mask
+            hit = np.flatnonzero((bits[start + word] & mask) == mask)
             active, keys, start = active[hit], keys[hit], start[hit]
             if not len(active):
                 break
@@ -120,67 +128,116 @@ def segments(keys: int) -> int:
 
 
 def build(entries: DataFrame, keys: int, first: int = 0, last: int | None = None) -> Filter:
-    """The segments from ``first`` to before ``last`` of a filter of the rows (key, q); ``keys`` is the sum of q over all of them.  Segments are built apart and gathered."""
+    """The segments from ``first`` to before ``last`` of a filter of the rows (key, q); ``keys`` is the sum of q over all of them.
+
+    Tasks pack their keys by segment, segments are built apart and gathered.
+    """
     blocks = math.ceil(keys * BITS_PER_KEY / BLOCK_BITS)
     if not blocks:
         return Filter(np.zeros(0, dtype=np.uint8), 0)
     last = segments(keys) if last is None else last
 
     def deal(batches):
+        held, size = [], 0
         for batch in batches:
-            x = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            segment = (Filter.block(x, blocks) // np.uint64(SEGMENT_BLOCKS)).astype(np.int32)
-            inside = (segment >= first) & (segment < last)
-            if not inside.all():
-                batch, segment = batch.filter(pa.array(inside)), segment[inside]
-            yield pa.RecordBatch.from_arrays([pa.array(segment), batch.column("key"), batch.column("q")], ["segment", "key", "q"])
+            held.append(batch)
+            size += batch.num_rows
+            if size > DEAL:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(batches) -> pa.RecordBatch:
+        key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in batches]).view(np.uint64)
+        q = np.concatenate([b.column("q").to_numpy(zero_copy_only=False) for b in batches]).astype(np.uint8)
+        segment = Filter.block(key, blocks).view(np.int64) // SEGMENT_BLOCKS
+        inside = (segment >= first) & (segment < last)
+        order = np.flatnonzero(inside)
+        order = order[np.argsort(segment[order])]
+        key, q, segment = key[order].astype("<u8"), q[order], segment[order]
+        edge = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(order) else order
+        parts = [(key[a:b].tobytes(), q[a:b].tobytes()) for a, b in pairwise([*edge.tolist(), len(order)])]
+        columns = [pa.array(segment[edge].astype(np.int32)), pa.array([k for k, _ in parts], pa.binary()), pa.array([n for _, n in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "keys", "levels"])
 
     def fill(group: pa.Table) -> pa.Table:
         segment = group.column("segment")[0].as_py()
-        x = group.column("key").to_numpy().view(np.uint64)
-        q = group.column("q").to_numpy()
-        bits = np.zeros(SEGMENT_BLOCKS * BLOCK_BITS, dtype=bool)
-        local = (Filter.block(x, blocks) - np.uint64(segment * SEGMENT_BLOCKS)) * np.uint64(BLOCK_BITS)
+        x = np.frombuffer(b"".join(group.column("keys").to_pylist()), dtype="<u8")
+        q = np.frombuffer(b"".join(group.column("levels").to_pylist()), dtype=np.uint8)
+        bits = np.zeros(SEGMENT_BLOCKS * BLOCK_BITS // 64, dtype="<u8")
+        start = (Filter.block(x, blocks).view(np.int64) - segment * SEGMENT_BLOCKS) * (BLOCK_BITS // 64)
         for at in range(1, int(q.max()) + 1):
-            some = q >= at
-            for place in Filter.places(x[some], at):
-                bits[(local[some] + place).astype(np.int64)] = True
-        return pa.table({"segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    dealt = entries.select("key", "q").mapInArrow(deal, "segment int, key long, q int")
-    found = dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary").toLocalIterator()
-    size = SEGMENT_BLOCKS * BLOCK_BITS // 8
-    out = np.zeros((last - first) * size, dtype=np.uint8)
-    for row in found:
-        at = (row["segment"] - first) * size
-        out[at : at + size] = np.frombuffer(row["bits"], dtype=np.uint8)
+            some = np.flatnonzero(q >= at)
+            x, q, start = x[some], q[some], start[some]
+            word, mask = Filter.masks(x, at)
+            np.bitwise_or.at(bits, start + word, mask)
+        return pa.table({"segment": pa.array([segment], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    conf, name = entries.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, NARROW_ROWS)
+    try:
+        dealt = entries.select("key", "q").mapInArrow(deal, "segment int, keys binary, levels binary")
+        found = dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary").toLocalIterator()
+        size = SEGMENT_BLOCKS * BLOCK_BITS // 8
+        out = np.zeros((last - first) * size, dtype=np.uint8)
+        for row in found:
+            at = (row["segment"] - first) * size
+            out[at : at + size] = np.frombuffer(row["bits"], dtype=np.uint8)
+    finally:
+        conf.set(name, before)
     return Filter(out, blocks, first * SEGMENT_BLOCKS)
 
 
-class Lexicon(dict):
-    """The words that a task has met, by number; 0 is the end of a text.  What is known of a word is looked up once."""
+class Lexicon:
+    """The words that a task has met, numbered by their hashes; 0 is the end of a text.  What is known of a word is looked up once."""
 
     def __init__(self):
-        super().__init__()
-        self._fresh: list[int] = []
         self._hashes = np.array([END], dtype=np.uint64)
+        # The hashes in ascending order, and their numbers.
+        self._sorted, self._number = self._hashes[:0], np.zeros(0, dtype=np.int64)
         self._told: dict[str, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        self._fresh.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = number = len(self) + 1
-        return number
+    def __len__(self) -> int:
+        return len(self._sorted)
 
     def numbers(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        out = np.zeros(len(words) + 1, dtype=np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.tokens(pa.array([text], pa.string()))[0]
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the tokens of all texts, one text after the other, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False), _bytes(coded.dictionary)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        if b"" in words:
+            # White space before the first word or behind the last.
+            empty = words.index(b"")
+            del words[empty]
+            some = code != empty
+            code, row = code[some] - (code[some] > empty), row[some]
+            sizes = np.bincount(row, minlength=len(sizes))
+        out = np.zeros(len(code) + len(sizes), dtype=np.int64)
+        out[np.arange(len(code)) + row] = self._numbered(word_hashes(words))[code]
+        return out, sizes + 1
+
+    def _numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes; new ones are numbered as they come."""
+        order = np.argsort(hashes)
+        place = np.searchsorted(self._sorted, hashes[order])
+        known = self._sorted[np.minimum(place, len(self) - 1)] == hashes[order] if len(self) else np.zeros(len(order), dtype=bool)
+        out = np.zeros(len(hashes), dtype=np.int64)
+        out[order[known]] = self._number[place[known]]
+        fresh = np.sort(order[~known])
+        out[fresh] = np.arange(len(fresh)) + len(self._hashes)
+        self._hashes = np.concatenate([self._hashes, hashes[fresh]])
+        added = order[~known]
+        self._sorted, self._number = np.insert(self._sorted, place[~known], hashes[added]), np.insert(self._number, place[~known], out[added])
         return out
 
     def hashes(self) -> np.ndarray:
-        if self._fresh:
-            self._hashes = np.concatenate([self._hashes, np.array(self._fresh, dtype=np.uint64)])
-            self._fresh = []
         return self._hashes
 
     def told(self, name: str, look_up: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -193,22 +250,49 @@ class Lexicon(dict):
         return self._told[name]
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    _, ends, data = words.cast(pa.large_binary()).buffers()
+    if not len(words):
+        return []
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in pairwise(np.frombuffer(ends, dtype=np.int64)[: len(words) + 1].tolist())]
+
+
+def _runs(sizes: np.ndarray, most: int):
+    """(first, last) of consecutive rows, as many as bring their sizes to more than ``most``."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, done + most, side="right")) + 1, len(sizes))
+        yield first, last
+        first = last
+
+
+def _pieces(batches):
+    """Consecutive rows with about PIECE_BYTES of text together: several batches, or part of one."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        for first, last in _runs(lengths, PIECE_BYTES):
+            held.append(batch.slice(first, last - first))
+            size += int(lengths[first:last].sum())
+            if size > PIECE_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _chunks(batches):
-    """Row indices and tokens of each batch, in chunks of bounded tokens, with the lexicon that numbers them."""
+    """Rows in chunks of bounded tokens: the rows, their tokens, how many each row has, and the lexicon that numbers them."""
     lexicon = Lexicon()
-    for batch in batches:
-        rows, held, size = [], [], 0
-        for i, text in enumerate(batch.column("text")):
-            rows.append(i)
-            held.append(lexicon.numbers(text.as_py()))
-            size += len(held[-1])
-            if size > CHUNK_TOKENS:
-                yield batch, rows, held, lexicon
-                rows, held, size = [], [], 0
-                if len(lexicon) > LEXICON_WORDS:
-                    lexicon = Lexicon()
-        if rows:
-            yield batch, rows, held, lexicon
+    for piece in _pieces(batches):
+        tokens, sizes = lexicon.tokens(piece.column("text"))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for first, last in _runs(sizes, CHUNK_TOKENS):
+            yield piece.slice(first, last - first), tokens[at[first] : at[last]], sizes[first:last], lexicon
+        if len(lexicon) > LEXICON_WORDS:
+            lexicon = Lexicon()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -216,11 +300,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         last, totals = None, np.zeros(0, dtype=np.int64)
-        for _, _, tokens, lexicon in _chunks(batches):
+        for _, tokens, _, lexicon in _chunks(batches):
             if last is not None and lexicon is not last:
                 yield _counted(last, totals)
                 totals = totals[:0]
-            last, n = lexicon, np.bincount(np.concatenate(tokens), minlength=len(totals))
+            last, n = lexicon, np.bincount(tokens, minlength=len(totals))
             n[: len(totals)] += totals
             totals = n
         if last is not None:
@@ -233,11 +317,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _before(tokens: list[np.ndarray]) -> np.ndarray:
+def _before(tokens: np.ndarray) -> np.ndarray:
     """The number of the word before each token; a text begins after an end."""
-    numbers = np.concatenate(tokens)
-    out = np.empty_like(numbers)
-    out[0], out[1:] = 0, numbers[:-1]
+    out = np.empty_like(tokens)
+    out[0], out[1:] = 0, tokens[:-1]
     return out
 
 
@@ -273,10 +356,10 @@ def pair_counts(texts: DataFrame, words, total: int) -> DataFrame:
             names = ["block", "once", "more", "counts"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names)
 
-        for _, _, tokens, lexicon in _chunks(batches):
+        for _, tokens, _, lexicon in _chunks(batches):
             hashes, levels = lexicon.hashes(), lexicon.told("level", words.value.levels)
             before = _before(tokens)
-            held.append(_pair_keys(hashes[before], hashes[np.concatenate(tokens)], levels[before]))
+            held.append(_pair_keys(hashes[before], hashes[tokens], levels[before]))
             size += len(before)
             if size > FLUSH:
                 yield flush()
@@ -331,9 +414,10 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
     pairs = written(pair_counts(texts, held_words, n))
 
     graded_pairs = _levels(pairs, MIN_PAIR)
-    pair_levels = graded_pairs.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
     at = F.col("key").bitwiseAND(F.lit(63)).alias("at")
-    told = {r.at: (r.c, r.less) for r in pairs.groupBy(at).agg(F.sum("c").alias("c"), F.sum(F.col("c") - 1).alias("less")).collect()}
+    sums = graded_pairs.groupBy(at).agg(F.sum("c").alias("c"), F.sum(F.col("c") - 1).alias("less"), F.sum("q").alias("q")).collect()
+    pair_levels = sum(r.q for r in sums)
+    told = {r.at: (r.c, r.less) for r in sums}
     discount, mass = np.zeros(64), np.zeros(64)
     for q, (c, less) in told.items():
         if q in by_level and c:
@@ -351,12 +435,12 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
     expected, expected_pairs = estimates(), estimates(MIN_PAIR)
     smooth = sum(float(expected[min(q, LEVELS)]) * k for q, (_, k) in by_level.items()) + v + 1
 
-    def likely(words_, pairs_, tokens, lexicon, starts):
+    def likely(words_, pairs_, word, lexicon, starts):
         """The log10 probabilities of the tokens whose pairs lie in this part, summed by text."""
         hashes, levels = lexicon.hashes(), np.minimum(lexicon.told("level", words_.levels), LEVELS)
-        word, before = np.concatenate(tokens), _before(tokens)
+        before = _before(word)
         key = _pair_keys(hashes[before], hashes[word], np.minimum(levels[before], 63))
-        mine = pairs_.holds(key)
+        mine = pairs_.holds(key) if len(parts) > 1 else slice(None)
         history, lone = np.minimum(levels[before[mine]], 63), (expected[levels[word[mine]]] + 1) / smooth
         both = np.minimum(pairs_.levels(key[mine]), LEVELS)
         ratio = np.minimum(expected_pairs[both] / np.maximum(expected[history], 1.0), 1.0)
@@ -372,12 +456,10 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
             place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
             return np.where(keys[place] == hashes, c[place], 0.0) if len(keys) else np.zeros(len(hashes))
 
-        for batch, index, tokens, lexicon in _chunks(batches):
-            sizes = np.array([len(t) for t in tokens])
-            of = np.repeat(np.arange(len(tokens)), sizes)
+        for chosen, word, sizes, lexicon in _chunks(batches):
+            of = np.repeat(np.arange(len(sizes)), sizes)
             starts = np.cumsum(sizes) - sizes
-            scores = likely(words_, pairs_, tokens, lexicon, starts)
-            word = np.concatenate(tokens)
+            scores = likely(words_, pairs_, word, lexicon, starts)
             count = lexicon.told("count", frequent_count)[word]
             known = count > 0
             part = np.add.reduceat(np.log10(count + 1), starts)
@@ -387,21 +469,20 @@ def score(documents: DataFrame, train: Column) -> DataFrame:
             rest, rest_of = rest[pair], rest_of[pair]
             edge = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (rest_of[1:] != rest_of[:-1])])) if len(rest) else np.empty(0, dtype=np.int64)
             often = np.diff(np.concatenate([edge, [len(rest)]])) if len(edge) else np.empty(0, dtype=np.int64)
-            chosen = batch.select(["_row", "doc_id", "_train"]).take(pa.array(index))
-            m, e = len(tokens), len(edge)
-            ids = chosen.column("_row").to_numpy(zero_copy_only=False)
+            row, doc_id, train_ = (chosen.column(c) for c in NAMES[:3])
+            m, e = len(sizes), len(edge)
+            ids = row.to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [chosen.column("_row"), chosen.column("doc_id"), chosen.column("_train"), pa.array(sizes), pa.array(n_known), pa.array(part), pa.array(scores), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], NAMES
+                [row, doc_id, train_, pa.array(sizes), pa.array(n_known), pa.array(part), pa.array(scores), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], NAMES
             )
             if e:
-                none = [pa.nulls(e, t) for t in (chosen.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                none = [pa.nulls(e, t) for t in (doc_id.type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rest_of[edge]]), *none, pa.array(rest[edge].view(np.int64)), pa.array(often)], NAMES)
 
     def again(batches):
-        for batch, index, tokens, lexicon in _chunks(batches):
-            sizes = np.array([len(t) for t in tokens])
-            scores = likely(held_words.value, model.value, tokens, lexicon, np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(index)), pa.array(scores)], ["_row", "_more"])
+        for chosen, word, sizes, lexicon in _chunks(batches):
+            scores = likely(held_words.value, model.value, word, lexicon, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([chosen.column("_row"), pa.array(scores)], ["_row", "_more"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())

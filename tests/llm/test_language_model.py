@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,42 @@ def test_a_lexicon_looks_each_word_up_once():
     lexicon.numbers("b c")
     assert (lexicon.told("x", look_up)[: len(first)] == first).all()
     assert asked == [3, 1] and len(lexicon.hashes()) == 4 and lexicon.hashes()[0] == np.uint64(lm.END)
+
+
+def test_distinct_words_of_a_piece_are_hashed_once_and_tokens_stay(monkeypatch):
+    asked, plain = [], lm.word_hashes
+    monkeypatch.setattr(lm, "word_hashes", lambda words: asked.extend(words) or plain(words))
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
+    texts = ["  A b ", None, "", "x\x0b\x0cY\x1cz\x85 \t", "É é\r\nÉ", "\n", "a " * 200, "b a b"]
+    batches = [pa.record_batch([pa.array(texts[i : i + 3], pa.string())], ["text"]) for i in (0, 3, 6)]
+    rows, hashes = [], []
+    for chunk, tokens, sizes, lexicon in lm._chunks(batches):
+        rows.extend(chunk.column("text").to_pylist())
+        assert len(sizes) == chunk.num_rows and sizes.sum() == len(tokens)
+        hashes.extend(x.tolist() for x in np.split(lexicon.hashes()[tokens], np.cumsum(sizes)[:-1]))
+    assert rows == texts
+    assert hashes == [[*plain(words_of(t)).tolist(), int(lm.END)] for t in texts]
+    assert sorted(asked) == sorted({w for t in texts for w in words_of(t)})
+
+
+def test_keys_travel_packed_and_segments_hold_the_same_bits(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT_BLOCKS", 64)
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 56, 20_000))
+    q = rng.geometric(0.6, len(keys)).astype(np.int32)
+    entries = spark.createDataFrame(pa.table({"key": keys, "q": q}).to_pandas(), "key long, q int").repartition(3)
+    blocks = math.ceil(int(q.sum()) * lm.BITS_PER_KEY / lm.BLOCK_BITS)
+    bits = np.zeros(lm.segments(int(q.sum())) * 64 * lm.BLOCK_BITS, dtype=bool)
+    x = keys.astype(np.uint64)
+    for at in range(1, int(q.max()) + 1):
+        for place in lm.Filter.places(x[q >= at], at):
+            bits[(lm.Filter.block(x[q >= at], blocks) * np.uint64(lm.BLOCK_BITS) + place).astype(np.int64)] = True
+    wanted = np.packbits(bits, bitorder="little")
+    size, rows = 64 * lm.BLOCK_BITS // 8, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sent, of = [], type(entries).mapInArrow
+    monkeypatch.setattr(type(entries), "mapInArrow", lambda self, *a, **b: sent.append(of(self, *a, **b)) or sent[-1])
+    assert (lm.build(entries, int(q.sum())).bits == wanted).all()
+    assert (lm.build(entries, int(q.sum()), 2, 5).bits == wanted[2 * size : 5 * size]).all()
+    # A row for each segment and task, not for each key.
+    assert sent[0].count() <= 3 * lm.segments(int(q.sum())) < len(keys) / 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
